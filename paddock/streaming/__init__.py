@@ -1,0 +1,8 @@
+"""Streaming.
+
+The course statistics have no streaming operator: they are batch
+aggregations over race tables, with one event-time column used only in a
+lower-bound filter and a latest-race sort.  Nothing is built here on
+purpose; the package slot is kept so the layout matches the other
+modules.
+"""
