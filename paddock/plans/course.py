@@ -21,6 +21,7 @@ from paddock.operators.breakdown import (
     dimension_view,
     finish,
 )
+from paddock.functions.text import percent_text_expr
 from paddock.operators.fact import runner_fact, with_jockey
 from paddock.operators.joins import MAX_BROADCAST_ROWS, bounded_broadcast
 from paddock.operators.report import display, highlight_cells, highlight_colours, payload
@@ -81,6 +82,31 @@ class CourseAnalysis:
         rows = breakdown_rows(fact, jockey_fact, dims)
         return finish(aggregate(rows, KEY_COLS), dims, (), self.min_jockey_finishes)
 
+    def side_totals(self, dim) -> DataFrame:
+        """Per dimension value, before the NULL-key and three-side rules:
+        finish counts, payout-side rows and money (native key type)."""
+        d = dim if isinstance(dim, Dimension) else dimension(dim)
+        fact = self.fact()
+        jockey_fact = with_jockey(fact, self.tables) if d.kind == JOCKEY else None
+        agg = aggregate(breakdown_rows(fact, jockey_fact, [d]), KEY_COLS)
+        return agg.withColumn("dim_key", F.col("dim_key").cast(d.key_type))
+
+    def arrival_counts(self, dim) -> DataFrame:
+        """Finish counts per value (NULL value included)."""
+        return self.side_totals(dim).select(
+            "dim_key", "no1", "no2", "no3", "no4",
+            (F.col("no1") + F.col("no2") + F.col("no3") + F.col("no4")).alias("total_count"))
+
+    def recovery(self, dim, side: str = "win") -> DataFrame:
+        """Payout recovery per value (NULL value included); side 'win' or 'place'."""
+        rows, money, name = (("w_rows", "w_money", "win_recovery") if side == "win"
+                             else ("p_rows", "p_money", "d_win_recovery"))
+        return self.side_totals(dim).select(
+            "dim_key", F.col(rows).alias("runners"), F.col(money).alias("payout"),
+            percent_text_expr(money, rows, 10).alias(f"{name}_rate"),
+            F.when(F.col(money) >= F.col(rows) * 100, F.lit(1)).otherwise(F.lit(0))
+             .alias(f"{name}_100_over"))
+
     def breakdown(self, dim, ordered: bool = True) -> DataFrame:
         d = dim if isinstance(dim, Dimension) else dimension(dim)
         return dimension_view(self.breakdown_all([d]), d, ordered=ordered)
@@ -98,6 +124,11 @@ class CourseAnalysis:
         return highlight_colours(self.breakdown(d, ordered=False), d)
 
     # -- reports ------------------------------------------------------------
+    def payload(self, dim) -> DataFrame:
+        """One row: the JSON report payload of one dimension."""
+        d = dim if isinstance(dim, Dimension) else dimension(dim)
+        return payload(self.breakdown(d, ordered=False), d)
+
     def reports(self, dims=INSERTED) -> DataFrame:
         """Analysis rows (one per dimension) from one multi-dimension job."""
         dims = _dims(dims)
