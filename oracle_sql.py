@@ -15,7 +15,7 @@ times first, rate ranks put NULL rates last.
 from __future__ import annotations
 
 from paddock.plans.check_criteria import CHECK_COURSE, CHECK_COURSE_OPT, CHECK_GRADED, CHECK_SINCE
-from paddock.plans.criteria import DAY_PRESETS, Criteria
+from paddock.plans.criteria import DAY_PRESETS, GOING_EN, SURFACE, Criteria
 from paddock.plans.dimensions import (
     BUCKET,
     DIMENSIONS,
@@ -26,7 +26,7 @@ from paddock.plans.dimensions import (
     dimension,
     table_header,
 )
-from paddock.sources.tables import PLACE_NAMES
+from paddock.sources.tables import PLACE_NAMES, PLACE_ROMAJI
 
 BINDING = """
 race AS (
@@ -321,7 +321,7 @@ def payload_json_sql(dim: Dimension, source: str, group: str = "") -> str:
     order = "win_rate_ranking, dim_key" if dim.kind == JOCKEY else "dim_key"
     header = "json_array(" + ", ".join(q(h) for h in table_header(dim)) + ")"
     data = (f"CAST(json_object('table_header', {header}, 'data', "
-            f"coalesce(json_group_array({row} ORDER BY {order}), json_array())) AS VARCHAR)")
+            f"coalesce(to_json(list({row} ORDER BY {order})), json_array())) AS VARCHAR)")
     if group:
         return f"SELECT {group}, {data} AS data FROM ({source}) b GROUP BY {group}"
     return f"SELECT {data} AS data FROM ({source}) b"
@@ -366,6 +366,27 @@ def all_courses_sql(since: str, dims=DIMENSIONS, min_jockey_finishes: int = 20)
     return with_binding(*ctes) + "\nUNION ALL\n".join(f"SELECT * FROM ({s}) x{i}" for i, s in enumerate(selects))
 
 
+def all_courses_reports_sql(since: str, dims) -> str:
+    place = "CASE place_id " + " ".join(f"WHEN {k} THEN {q(v)}" for k, v in sorted(PLACE_ROMAJI.items())) + " END"
+    surface = "CASE race_type " + " ".join(f"WHEN {q(ja)} THEN {q(en)}" for ja, en in SURFACE.values()) + " END"
+    going = "CASE turf_cond " + " ".join(f"WHEN {q(ja)} THEN {q(en)}" for ja, en in GOING_EN.items()) + " END"
+    days = "CASE preset " + " ".join(f"WHEN {p} THEN {q('-'.join(map(str, ds)))}"
+                                     for p, ds in sorted(DAY_PRESETS.items())) + " END"
+    parts = []
+    for d in dims:
+        src = (f"SELECT * REPLACE (CAST(dim_key AS {DUCK_TYPES[d.key_type]}) AS dim_key) "
+               f"FROM ({all_courses_sql(since, [d])}) a "
+               f"WHERE place_id IN ({', '.join(map(str, sorted(PLACE_ROMAJI)))}) "
+               f"AND race_type IN ({', '.join(q(ja) for ja, _ in SURFACE.values())}) "
+               f"AND turf_cond IN ({', '.join(q(ja) for ja in GOING_EN)})")
+        parts.append(
+            f"SELECT {q(d.slug)} || '-' || {place} || '-' || {surface} || '-' || CAST(length AS VARCHAR) "
+            f"|| '-' || {going} || '-' || {days} AS analysis_key, place_id, length, {q(d.memo)} AS memo, "
+            f"turf_cond, race_type, {days} AS days, data "
+            f"FROM ({payload_json_sql(d, src, COURSE)}) p")
+    return "\nUNION ALL\n".join(parts)
+
+
 # -- registry -----------------------------------------------------------------
 
 def oracle_statements() -> dict[str, str]:
@@ -399,4 +420,5 @@ def oracle_statements() -> dict[str, str]:
     out["grade_race_course"] = course_card_sql(CHECK_GRADED)
     out["course_summary"] = summary_sql(CHECK_GRADED)
     out["all_courses_breakdown"] = all_courses_sql(CHECK_SINCE)
+    out["all_courses_reports"] = all_courses_reports_sql(CHECK_SINCE, [dimension(n) for n in INSERTED])
     return out
