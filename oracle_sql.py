@@ -86,8 +86,10 @@ master_place AS (
 DUCK_TYPES = {"int": "INTEGER", "string": "VARCHAR", "decimal(4,1)": "DECIMAL(4,1)"}
 
 
-def with_binding(*ctes: str) -> str:
-    return "WITH " + ",\n".join([BINDING.strip(), *ctes]) + "\n"
+def with_binding(*ctes: str, binding: bool = True) -> str:
+    """WITH clause: the binding CTEs (unless the race tables already exist) + ``ctes``."""
+    parts = ([BINDING.strip()] if binding else []) + list(ctes)
+    return ("WITH " + ",\n".join(parts) + "\n") if parts else ""
 
 
 def q(text: str) -> str:
@@ -215,12 +217,13 @@ def breakdown_ctes(c: Criteria, dim: Dimension) -> list[str]:
             *side_ctes("", _base(dim, "sel"), key_sql(dim))]
 
 
-def breakdown_sql(c: Criteria, dim: Dimension, min_jockey_finishes: int = 20) -> str:
+def breakdown_sql(c: Criteria, dim: Dimension, min_jockey_finishes: int = 20,
+                  binding: bool = True) -> str:
     body = (f"SELECT CAST(k AS {DUCK_TYPES[dim.key_type]}) AS dim_key, {label_sql(dim)} AS dim_value,"
             f"{metrics_sql()}")
     if dim.kind == JOCKEY:
         body += ",\n  CAST(total AS BIGINT) AS total_count"
-    sql = with_binding(*breakdown_ctes(c, dim)) + body + "\nFROM j WHERE k IS NOT NULL"
+    sql = with_binding(*breakdown_ctes(c, dim), binding=binding) + body + "\nFROM j WHERE k IS NOT NULL"
     if dim.kind == JOCKEY:
         sql = f"SELECT * FROM ({sql}) t WHERE total_count >= {min_jockey_finishes}"
     return sql
@@ -343,7 +346,8 @@ def analysis_rows_sql(c: Criteria, dims) -> str:
 COURSE = "place_id, race_type, length, turf_cond, preset"
 
 
-def all_courses_sql(since: str, dims=DIMENSIONS, min_jockey_finishes: int = 20) -> str:
+def all_courses_sql(since: str, dims=DIMENSIONS, min_jockey_finishes: int = 20,
+                    binding: bool = True) -> str:
     presets = ", ".join(f"({p}, [{', '.join(map(str, ds))}])" for p, ds in sorted(DAY_PRESETS.items()))
     ctes = [
         f"r AS (SELECT race_id, place_id, race_type, length, turf_cond, days FROM race "
@@ -363,7 +367,8 @@ def all_courses_sql(since: str, dims=DIMENSIONS, min_jockey_finishes: int = 20)
         if d.kind == JOCKEY:
             sel = f"SELECT * FROM ({sel}) t WHERE total_count >= {min_jockey_finishes}"
         selects.append(sel)
-    return with_binding(*ctes) + "\nUNION ALL\n".join(f"SELECT * FROM ({s}) x{i}" for i, s in enumerate(selects))
+    return (with_binding(*ctes, binding=binding)
+            + "\nUNION ALL\n".join(f"SELECT * FROM ({s}) x{i}" for i, s in enumerate(selects)))
 
 
 def all_courses_reports_sql(since: str, dims) -> str:
