@@ -5,6 +5,9 @@ rule wins and a value no rule matches (NULL, or a value in a gap between
 rules) gets NULL.  Rules keep the original bounds exactly, including the
 overlap at 14 for the running style (14 is caught by bucket 3) and the
 gaps between half-second time buckets.
+
+Expressions are produced as Spark SQL text, so a whole CASE is one
+expression handed to the JVM.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from paddock.functions.sql import quote
+
 # ---------------------------------------------------------------------------
 # Bucket bounds and display labels.  They must equal the
 # original course-statistics definitions byte for byte (labels include their
@@ -77,31 +82,57 @@ LAST_3F_LABELS = {
 }
 # ---------------------------------------------------------------------------
 
+_OPS = {"eq": "=", "lt": "<", "ge": ">="}
+
 
-def _rule_condition(value: Column, rule: tuple) -> Column:
+def _literal(v) -> str:
+    # Decimals keep their scale (31.5 is DECIMAL(3,1)), so comparisons with
+    # a DECIMAL column are exact.
+    return str(v)
+
+
+def _rule_sql(value: str, rule: tuple) -> str:
     op = rule[0]
-    if op == "eq":
-        return value == F.lit(rule[1])
-    if op == "lt":
-        return value < F.lit(rule[1])
-    if op == "ge":
-        return value >= F.lit(rule[1])
     if op == "between":
-        return value.between(F.lit(rule[1]), F.lit(rule[2]))
+        return f"{value} BETWEEN {_literal(rule[1])} AND {_literal(rule[2])}"
+    if op in _OPS:
+        return f"{value} {_OPS[op]} {_literal(rule[1])}"
     raise ValueError(f"unknown bucket rule {rule!r}")
 
 
-def bucket_expr(value: Column, rules: list) -> Column:
+def bucket_sql(value: str, rules: list) -> str:
     """Searched CASE over ``rules``; no match gives NULL (no ELSE)."""
+    whens = " ".join(f"WHEN {_rule_sql(value, rule)} THEN {bucket_id}" for bucket_id, rule in rules)
+    return f"(CASE {whens} END)"
+
+
+def label_sql(bucket: str, labels: dict) -> str:
+    """Simple CASE from bucket id to label; unknown id gives NULL."""
+    whens = " ".join(f"WHEN {bucket_id} THEN {quote(text)}" for bucket_id, text in labels.items())
+    return f"(CASE {bucket} {whens} END)"
+
+
+def bucket_expr(value: Column | str, rules: list) -> Column:
+    """Bucket of a column given by name (one SQL CASE) or as a Column."""
+    if isinstance(value, str):
+        return F.expr(bucket_sql(value, rules))
     expr = None
-    for bucket_id, rule in rules:
-        cond = _rule_condition(value, rule)
+    for bucket_id, (op, *bounds) in rules:
+        if op == "between":
+            cond = value.between(F.lit(bounds[0]), F.lit(bounds[1]))
+        elif op == "eq":
+            cond = value == F.lit(bounds[0])
+        elif op == "lt":
+            cond = value < F.lit(bounds[0])
+        else:
+            cond = value >= F.lit(bounds[0])
         expr = F.when(cond, F.lit(bucket_id)) if expr is None else expr.when(cond, F.lit(bucket_id))
     return expr
 
 
-def label_expr(bucket: Column, labels: dict) -> Column:
-    """Simple CASE from bucket id to label; unknown id gives NULL."""
+def label_expr(bucket: Column | str, labels: dict) -> Column:
+    if isinstance(bucket, str):
+        return F.expr(label_sql(bucket, labels))
     expr = None
     for bucket_id, text in labels.items():
         cond = bucket == F.lit(bucket_id)

@@ -6,8 +6,8 @@ for non-negative values.  The text keeps thousands separators
 (``1,234.6%``).  A zero denominator or a NULL numerator gives NULL text,
 as a division by zero or a sum over no payouts does in the original SQL.
 
-The helpers take column *names* of already-aggregated BIGINT columns and
-return SQL expressions, so everything stays inside whole-stage codegen.
+The helpers take SQL of already-aggregated BIGINT values and return SQL
+text (``*_sql``) or a Column, so everything stays inside whole-stage codegen.
 """
 
 from __future__ import annotations
@@ -22,26 +22,35 @@ def tenths_sql(num: str, den: str, scale: int) -> str:
             f"(CAST({2 * scale} AS BIGINT) * {num} + {den}) div (2 * {den}) END)")
 
 
-def percent_text_expr(num: str, den: str, scale: int) -> Column:
+def percent_text_sql(num: str, den: str, scale: int) -> str:
     """'12.3%' text of ``scale * num / den`` tenths.
 
     ``scale`` is 1000 for a rate of counts (num/den*100 with one decimal)
     and 10 for a payout recovery (payout per 100-yen stake, in percent).
     """
     t = tenths_sql(num, den, scale)
-    return F.expr(
-        f"concat(format_number({t} div 10, 0), '.', CAST({t} % 10 AS STRING), '%')"
-    )
+    return f"concat(format_number({t} div 10, 0), '.', CAST({t} % 10 AS STRING), '%')"
 
 
-def ratio_expr(num: str, den: str) -> Column:
+def percent_text_expr(num: str, den: str, scale: int) -> Column:
+    return F.expr(percent_text_sql(num, den, scale))
+
+
+def ratio_sql(num: str, den: str) -> str:
     """Exact-as-decimal num/den for ordering; NULL when den is 0."""
-    return F.try_divide(F.col(num).cast("decimal(20,0)"), F.col(den).cast("decimal(20,0)"))
+    return f"try_divide(CAST({num} AS DECIMAL(20,0)), CAST({den} AS DECIMAL(20,0)))"
 
 
-def record_text(no1: str, no2: str, no3: str, no4: str) -> Column:
+def ratio_expr(num: str, den: str) -> Column:
+    return F.expr(ratio_sql(num, den))
+
+
+def record_sql(no1: str, no2: str, no3: str, no4: str) -> str:
     """'n1-n2-n3-n4/total' finish record."""
-    parts = [F.col(c).cast("string") for c in (no1, no2, no3, no4)]
-    total = (F.col(no1) + F.col(no2) + F.col(no3) + F.col(no4)).cast("string")
-    return F.concat(parts[0], F.lit("-"), parts[1], F.lit("-"), parts[2], F.lit("-"),
-                    parts[3], F.lit("/"), total)
+    parts = [f"CAST({c} AS STRING)" for c in (no1, no2, no3, no4)]
+    total = f"CAST({no1} + {no2} + {no3} + {no4} AS STRING)"
+    return f"concat({parts[0]}, '-', {parts[1]}, '-', {parts[2]}, '-', {parts[3]}, '/', {total})"
+
+
+def record_text(no1: str, no2: str, no3: str, no4: str) -> Column:
+    return F.expr(record_sql(no1, no2, no3, no4))

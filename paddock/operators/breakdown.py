@@ -9,34 +9,46 @@ the selected runners and joined them on the value:
   left-joined to their win payouts (every runner counts, finisher or not);
 * the same for place payouts.
 
-Here the three are one aggregation: every runner row carries its count
-measures and its payout measures, so one ``groupBy`` (partial aggregation
-map-side, then one shuffle of partial sums) produces all of them.  The
-inner joins of the original drop the NULL key, and a value missing from any
-of the three sides; the ``has_*`` flags keep that rule.
-
-Many dimensions are aggregated in the same job: each runner row is expanded
-to one row per dimension (``inline`` of an array of structs) before the
-partial aggregation, so the shuffle carries partial sums per
-(dimension, value), not runners.
+Here they are one aggregation over one scan.  Every runner row carries its
+count and payout measures and is expanded (one ``Generate``) into one row
+per requested dimension:
+
+* keyed dimensions emit ``(dim, key)``;
+* the jockey dimension emits one row per jockey name the runner joins,
+  weighted by the number of horse rows it joins (inner-join semantics);
+* an in-race rank dimension emits ``(race, time)``: the rank is not known
+  per runner, it comes from the other runners of the race.
+
+A first aggregation (partial sums map-side, one shuffle of partial sums)
+groups these rows.  The in-race rank rows, now one per distinct time of a
+race, go through a window per race -- a bounded group even for a huge race
+-- that turns running sums into ranks; their rows are re-keyed by rank
+(separately per side when payout rows repeat, as the original ranked the
+left-joined rows).  A second aggregation over the small re-keyed rows gives
+the final sums.  The inner joins of the original drop the NULL key and any
+value missing from one of the three sides; the ``has_*`` flags keep that
+rule.
+
+Expressions are written as Spark SQL text (``selectExpr``): the same plan
+as the Column API, built with a handful of calls into the JVM.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.functions.text import percent_text_expr, ratio_expr, record_text
+from paddock.functions.sql import ident, quote
+from paddock.functions.text import percent_text_sql, ratio_sql, record_sql
 from paddock.plans.dimensions import BUCKET, JOCKEY, RACE_RANK, Dimension
 
 COUNTS = ("no1", "no2", "no3", "no4")
 PAYOUTS = ("w_rows", "w_money", "p_rows", "p_money")
 MEASURES = COUNTS + PAYOUTS
 FLAGS = ("has_c", "has_w", "has_p")
-KEY_COLS = ("dim", "dim_key", "key_order")
-KEY_ORDER_TYPE = "decimal(12,1)"
+KEY_COLS = ("dim", "dim_key")
+RANK_COLS = ("rr_race", "rr_time")
+KEY_ORDER_TYPE = "DECIMAL(12,1)"
 
 METRIC_COLUMNS = (
     "record", "win_rate_pct", "rentai_rate_pct", "fukusho_rate_pct",
@@ -46,107 +58,53 @@ METRIC_COLUMNS = (
 )
 
 
-def runner_measures() -> list[Column]:
+def _cols(names) -> list[str]:
+    return [ident(c) for c in names]
+
+
+def measures_sql() -> list[str]:
     """Measures of one runner row (a fact row)."""
-    ao = F.col("arrival_order")
-    counted = F.col("seq").isNotNull()
 
-    def at(cond: Column) -> Column:
-        return F.when(cond & counted, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+    def at(cond: str) -> str:
+        return f"CAST(CASE WHEN {cond} AND seq IS NOT NULL THEN 1 ELSE 0 END AS BIGINT)"
 
     return [
-        at(ao == 1).alias("no1"),
-        at(ao == 2).alias("no2"),
-        at(ao == 3).alias("no3"),
-        at(ao > 3).alias("no4"),
-        F.greatest(F.coalesce(F.col("w_n"), F.lit(0)), F.lit(1)).cast("bigint").alias("w_rows"),
-        F.col("w_sum").cast("bigint").alias("w_money"),
-        F.greatest(F.coalesce(F.col("p_n"), F.lit(0)), F.lit(1)).cast("bigint").alias("p_rows"),
-        F.col("p_sum").cast("bigint").alias("p_money"),
+        f"{at('arrival_order = 1')} AS no1",
+        f"{at('arrival_order = 2')} AS no2",
+        f"{at('arrival_order = 3')} AS no3",
+        f"{at('arrival_order > 3')} AS no4",
+        "CAST(greatest(coalesce(w_n, 0), 1) AS BIGINT) AS w_rows",
+        "CAST(w_sum AS BIGINT) AS w_money",
+        "CAST(greatest(coalesce(p_n, 0), 1) AS BIGINT) AS p_rows",
+        "CAST(p_sum AS BIGINT) AS p_money",
     ]
 
 
-def _key_struct(dim: Dimension) -> Column:
-    key = dim.key()
-    order = key.cast(KEY_ORDER_TYPE) if dim.key_type != "string" else F.lit(None).cast(KEY_ORDER_TYPE)
-    return F.struct(F.lit(dim.slug).alias("dim"), key.cast("string").alias("dim_key"),
-                    order.alias("key_order"))
-
-
-def keyed_rows(fact: DataFrame, dims: list[Dimension], carry: tuple) -> DataFrame:
-    """One row per (runner, dimension) for dimensions keyed on the runner row."""
-    flags = [F.lit(1).alias(f) for f in FLAGS]
-    rows = fact.select(*carry, *runner_measures(), *flags,
-                       F.inline(F.array(*[_key_struct(d) for d in dims])))
-    return rows.select(*carry, *KEY_COLS, *MEASURES, *FLAGS)
-
+def _row(dim: Dimension, key: str, race: str, time: str, weight: str) -> str:
+    return (f"named_struct('dim', {quote(dim.slug)}, 'dim_key', CAST({key} AS STRING), "
+            f"'rr_race', CAST({race} AS BIGINT), 'rr_time', CAST({time} AS DECIMAL(4,1)), "
+            f"'weight', CAST({weight} AS BIGINT))")
 
-def race_rank_rows(fact: DataFrame, dim: Dimension, carry: tuple) -> DataFrame:
-    """Rows keyed by the in-race rank of ``dim.source`` (ascending, NULL first).
 
-    The rank of a runner is 1 + the number of rows of its race with a
-    strictly smaller time.  Runners are first summed per (race, time), so the
-    window sees at most one row per distinct time of a race -- a bounded
-    group even for a race holding a large share of all rows -- and ranks
-    come from running sums over those rows.
-
-    The count side ranks the runners themselves; each payout side ranks the
-    rows of the runners left-joined to that side's payouts (a runner with
-    ``n`` payout rows stands for ``max(n, 1)`` rows), as the original did.
-    With one payout row per runner the three ranks agree and one row is
-    emitted; otherwise one row per side.
-    """
-    t = (
-        fact.select("race_id", *carry, dim.source, *runner_measures())
-        .groupBy("race_id", *carry, dim.source)
-        .agg(F.count(F.lit(1)).alias("c_rows"), *[F.sum(m).alias(m) for m in MEASURES])
-    )
-    before = (Window.partitionBy("race_id").orderBy(F.col(dim.source).asc_nulls_first())
-              .rowsBetween(Window.unboundedPreceding, -1))
-
-    def rank_by(weight: str) -> Column:
-        return F.lit(1) + F.coalesce(F.sum(weight).over(before), F.lit(0))
-
-    t = t.select("race_id", *carry, *MEASURES, rank_by("c_rows").alias("rank_c"),
-                 rank_by("w_rows").alias("rank_w"), rank_by("p_rows").alias("rank_p"))
-
-    zero = F.lit(0).cast("bigint")
-    none = F.lit(None).cast("bigint")
-
-    def side(rank: str, counts: bool, win: bool, place: bool) -> Column:
-        vals = [F.col(rank).cast("bigint").alias("k")]
-        vals += [(F.col(c) if counts else zero).alias(c) for c in COUNTS]
-        vals += [(F.col("w_rows") if win else zero).alias("w_rows"),
-                 (F.col("w_money") if win else none).alias("w_money"),
-                 (F.col("p_rows") if place else zero).alias("p_rows"),
-                 (F.col("p_money") if place else none).alias("p_money")]
-        vals += [F.lit(int(flag)).alias(name) for name, flag in zip(FLAGS, (counts, win, place))]
-        return F.struct(*vals)
-
-    same = (F.col("rank_c") == F.col("rank_w")) & (F.col("rank_c") == F.col("rank_p"))
-    sides = F.when(same, F.array(side("rank_c", True, True, True))).otherwise(
-        F.array(side("rank_c", True, False, False), side("rank_w", False, True, False),
-                side("rank_p", False, False, True)))
-    rows = t.select(*carry, F.inline(sides))
-    return rows.select(*carry, F.lit(dim.slug).alias("dim"), F.col("k").cast("string").alias("dim_key"),
-                       F.col("k").cast(KEY_ORDER_TYPE).alias("key_order"), *MEASURES, *FLAGS)
-
-
-def breakdown_rows(fact: DataFrame, jockey_fact: DataFrame | None, dims: list[Dimension],
-                   carry: tuple = ()) -> DataFrame:
-    """Union of the keyed rows of every requested dimension."""
-    parts = []
-    plain = [d for d in dims if d.kind not in (RACE_RANK, JOCKEY)]
-    if plain:
-        parts.append(keyed_rows(fact, plain, carry))
+def dimension_rows(fact: DataFrame, dims: list[Dimension], carry: tuple = ()) -> DataFrame:
+    """One Generate: a row per (runner, dimension), measures times weight."""
+    rows = []
     for d in dims:
         if d.kind == RACE_RANK:
-            parts.append(race_rank_rows(fact, d, carry))
-        elif d.kind == JOCKEY:
-            if jockey_fact is None:
-                raise ValueError("the jockey dimension needs the runners joined to horse and jockey")
-            parts.append(keyed_rows(jockey_fact, [d], carry))
-    return reduce(DataFrame.unionByName, parts)
+            rows.append(_row(d, "NULL", "race_id", ident(d.source), "1"))
+        elif d.kind != JOCKEY:
+            rows.append(_row(d, d.key_sql(), "NULL", "NULL", "1"))
+    generated = f"array({', '.join(rows)})" if rows else None
+    for d in dims:
+        if d.kind == JOCKEY:
+            named = f"transform(jockey_names, jn -> {_row(d, 'jn', 'NULL', 'NULL', 'horse_n')})"
+            empty = f"array_repeat({_row(d, 'NULL', 'NULL', 'NULL', '1')}, 0)"
+            jockey_rows = (f"CASE WHEN horse_n IS NOT NULL AND jockey_names IS NOT NULL "
+                           f"THEN {named} ELSE {empty} END")
+            generated = jockey_rows if generated is None else f"concat({generated}, {jockey_rows})"
+    out = fact.selectExpr(*_cols(carry), *measures_sql(), f"inline({generated})")
+    return out.selectExpr(*_cols(carry), *KEY_COLS, *RANK_COLS, "weight AS c_rows",
+                          *[f"{m} * weight AS {m}" for m in MEASURES])
 
 
 def aggregate(rows: DataFrame, group: tuple) -> DataFrame:
@@ -155,15 +113,61 @@ def aggregate(rows: DataFrame, group: tuple) -> DataFrame:
                                     *[F.max(f).alias(f) for f in FLAGS])
 
 
-def _label(dims: list[Dimension]) -> Column:
-    expr = None
-    for d in dims:
-        if d.kind != BUCKET:
-            continue
-        lab = d.label(F.col("dim_key").try_cast("int"))
-        cond = F.col("dim") == F.lit(d.slug)
-        expr = F.when(cond, lab) if expr is None else expr.when(cond, lab)
-    return F.col("dim_key") if expr is None else expr.otherwise(F.col("dim_key"))
+def _side(key: str, counts: bool, win: bool, place: bool) -> str:
+    zero, none = "CAST(0 AS BIGINT)", "CAST(NULL AS BIGINT)"
+    fields = [f"'dim_key', CAST({key} AS STRING)"]
+    fields += [f"'{c}', {c if counts else zero}" for c in COUNTS]
+    fields += [f"'w_rows', {'w_rows' if win else zero}", f"'w_money', {'w_money' if win else none}",
+               f"'p_rows', {'p_rows' if place else zero}", f"'p_money', {'p_money' if place else none}"]
+    fields += [f"'{name}', {int(flag)}" for name, flag in zip(FLAGS, (counts, win, place))]
+    return f"named_struct({', '.join(fields)})"
+
+
+def keyed_sums(fact: DataFrame, dims: list[Dimension], carry: tuple = ()) -> DataFrame:
+    """Rows keyed by (carry, dim, dim_key) with measures and side flags,
+    ready for the final aggregation (not yet aggregated by key)."""
+    rows = dimension_rows(fact, dims, carry)
+    rank_slugs = [d.slug for d in dims if d.kind == RACE_RANK]
+    if not rank_slugs:
+        return rows.selectExpr(*_cols(carry), *KEY_COLS, *MEASURES, *[f"1 AS {f}" for f in FLAGS])
+
+    first = rows.groupBy(*carry, *KEY_COLS, *RANK_COLS).agg(
+        F.sum("c_rows").alias("c_rows"), *[F.sum(m).alias(m) for m in MEASURES])
+
+    # In-race ranks: 1 + rows of the race with a strictly smaller time (NULL
+    # first).  The window sees one row per distinct time of a race.  Keyed
+    # rows (rr_race NULL) pass through untouched.
+    part = ", ".join(_cols((*carry, "dim", "rr_race")))
+    window = (f"OVER (PARTITION BY {part} ORDER BY rr_time ASC NULLS FIRST "
+              f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+
+    def rank_by(weight: str) -> str:
+        return f"CAST(1 + coalesce(sum({weight}) {window}, 0) AS BIGINT)"
+
+    ranked = first.selectExpr(*_cols(carry), *KEY_COLS, *MEASURES, f"{rank_by('c_rows')} AS rank_c",
+                              f"{rank_by('w_rows')} AS rank_w", f"{rank_by('p_rows')} AS rank_p")
+    is_rank = f"dim IN ({', '.join(quote(s) for s in rank_slugs)})"
+    one_key = f"CASE WHEN {is_rank} THEN CAST(rank_c AS STRING) ELSE dim_key END"
+    sides = (f"CASE WHEN NOT ({is_rank}) OR (rank_c = rank_w AND rank_c = rank_p) "
+             f"THEN array({_side(one_key, True, True, True)}) "
+             f"ELSE array({_side('rank_c', True, False, False)}, {_side('rank_w', False, True, False)}, "
+             f"{_side('rank_p', False, False, True)}) END")
+    out = ranked.selectExpr(*_cols(carry), "dim", f"inline({sides})")
+    return out.selectExpr(*_cols(carry), *KEY_COLS, *MEASURES, *FLAGS)
+
+
+def _key_order_sql(dims: list[Dimension]) -> str:
+    numeric = [quote(d.slug) for d in dims if d.key_type != "string"]
+    if not numeric:
+        return f"CAST(NULL AS {KEY_ORDER_TYPE})"
+    return (f"CAST(CASE WHEN dim IN ({', '.join(numeric)}) "
+            f"THEN try_cast(dim_key AS {KEY_ORDER_TYPE}) END AS {KEY_ORDER_TYPE})")
+
+
+def _label_sql(dims: list[Dimension]) -> str:
+    whens = [f"WHEN {quote(d.slug)} THEN {d.label_sql('try_cast(dim_key AS INT)')}"
+             for d in dims if d.kind == BUCKET]
+    return f"(CASE dim {' '.join(whens)} ELSE dim_key END)" if whens else "dim_key"
 
 
 def finish(agg: DataFrame, dims: list[Dimension], part: tuple = (),
@@ -175,51 +179,46 @@ def finish(agg: DataFrame, dims: list[Dimension], part: tuple = (),
     limited to names with at least ``min_jockey_finishes`` counted finishes
     (ranks stay those among all jockeys).
     """
-    kept = agg.where((F.col("has_c") == 1) & (F.col("has_w") == 1) & (F.col("has_p") == 1)
-                     & F.col("dim_key").isNotNull())
-    kept = kept.select(
-        *part, *KEY_COLS, *MEASURES,
-        (F.col("no1") + F.col("no2") + F.col("no3") + F.col("no4")).alias("total_count"),
-        (F.col("no1") + F.col("no2")).alias("n12"),
-        (F.col("no1") + F.col("no2") + F.col("no3")).alias("n123"),
-    )
-    spec = Window.partitionBy(*part, "dim")
-
-    def rank_of(num: str) -> Column:
-        return F.rank().over(spec.orderBy(ratio_expr(num, "total_count").desc_nulls_last()))
-
-    def over_100(money: str, rows: str) -> Column:
-        return F.when(F.col(money) >= F.col(rows) * 100, F.lit(1)).otherwise(F.lit(0))
-
-    out = kept.select(
-        *part, *KEY_COLS,
-        _label(dims).alias("dim_value"),
-        record_text(*COUNTS).alias("record"),
-        percent_text_expr("no1", "total_count", 1000).alias("win_rate_pct"),
-        percent_text_expr("n12", "total_count", 1000).alias("rentai_rate_pct"),
-        percent_text_expr("n123", "total_count", 1000).alias("fukusho_rate_pct"),
-        rank_of("no1").alias("win_rate_ranking"),
-        rank_of("n12").alias("rentai_rate_ranking"),
-        rank_of("n123").alias("fukusho_rate_ranking"),
-        percent_text_expr("w_money", "w_rows", 10).alias("win_recovery_rate"),
-        percent_text_expr("p_money", "p_rows", 10).alias("d_win_recovery_rate"),
-        over_100("w_money", "w_rows").alias("win_recovery_100_over"),
-        over_100("p_money", "p_rows").alias("d_win_recovery_100_over"),
+    kept = agg.where("has_c = 1 AND has_w = 1 AND has_p = 1 AND dim_key IS NOT NULL").selectExpr(
+        *_cols(part), *KEY_COLS, *MEASURES,
+        "no1 + no2 + no3 + no4 AS total_count", "no1 + no2 AS n12", "no1 + no2 + no3 AS n123")
+    by = ", ".join(_cols((*part, "dim")))
+
+    def rank_of(num: str) -> str:
+        return f"rank() OVER (PARTITION BY {by} ORDER BY {ratio_sql(num, 'total_count')} DESC NULLS LAST)"
+
+    def over_100(money: str, rows: str) -> str:
+        return f"CASE WHEN {money} >= {rows} * 100 THEN 1 ELSE 0 END"
+
+    out = kept.selectExpr(
+        *_cols(part), *KEY_COLS,
+        f"{_key_order_sql(dims)} AS key_order",
+        f"{_label_sql(dims)} AS dim_value",
+        f"{record_sql(*COUNTS)} AS record",
+        f"{percent_text_sql('no1', 'total_count', 1000)} AS win_rate_pct",
+        f"{percent_text_sql('n12', 'total_count', 1000)} AS rentai_rate_pct",
+        f"{percent_text_sql('n123', 'total_count', 1000)} AS fukusho_rate_pct",
+        f"{rank_of('no1')} AS win_rate_ranking",
+        f"{rank_of('n12')} AS rentai_rate_ranking",
+        f"{rank_of('n123')} AS fukusho_rate_ranking",
+        f"{percent_text_sql('w_money', 'w_rows', 10)} AS win_recovery_rate",
+        f"{percent_text_sql('p_money', 'p_rows', 10)} AS d_win_recovery_rate",
+        f"{over_100('w_money', 'w_rows')} AS win_recovery_100_over",
+        f"{over_100('p_money', 'p_rows')} AS d_win_recovery_100_over",
         "total_count",
     )
-    jockey_slugs = [d.slug for d in dims if d.kind == JOCKEY]
+    jockey_slugs = [quote(d.slug) for d in dims if d.kind == JOCKEY]
     if jockey_slugs:
-        out = out.where(~F.col("dim").isin(*jockey_slugs)
-                        | (F.col("total_count") >= F.lit(min_jockey_finishes)))
+        out = out.where(f"dim NOT IN ({', '.join(jockey_slugs)}) OR total_count >= {int(min_jockey_finishes)}")
     return out
 
 
 def dimension_view(df: DataFrame, dim: Dimension, part: tuple = (), ordered: bool = True) -> DataFrame:
     """One dimension of a finished breakdown, with its key in its native type."""
-    cols = [*part, F.col("dim_key").cast(dim.key_type).alias("dim_key"), "dim_value", *METRIC_COLUMNS]
+    cols = [*_cols(part), f"CAST(dim_key AS {dim.key_type}) AS dim_key", "dim_value", *METRIC_COLUMNS]
     if dim.kind == JOCKEY:
         cols.append("total_count")
-    out = df.where(F.col("dim") == F.lit(dim.slug)).select(*cols)
+    out = df.where(f"dim = {quote(dim.slug)}").selectExpr(*cols)
     if not ordered:
         return out
     if dim.kind == JOCKEY:

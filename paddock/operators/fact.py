@@ -6,12 +6,16 @@ needs:
 * finish position and ``seq`` (the counted column);
 * the raw columns the dimensions are computed from;
 * per ticket type, the number of payout rows the runner joins (``w_n``,
-  ``p_n``) and their sum (``w_sum``, ``p_sum``).
+  ``p_n``) and their sum (``w_sum``, ``p_sum``);
+* optionally, for the jockey breakdown, how many horse rows and which
+  jockey names the runner joins (``horse_n``, ``jockey_names``).
 
 Payouts are aggregated to one row per (race, horse number) *before* the
 join, so the join never fans out; a runner with ``n`` payout rows stands
 for ``max(n, 1)`` rows of the original left join, which is what the
-recovery denominator counts.
+recovery denominator counts.  Horses and jockeys are likewise reduced to
+one row per id, so the fact stays one row per runner and every breakdown
+is computed from a single scan.
 """
 
 from __future__ import annotations
@@ -29,15 +33,9 @@ RUNNER_COLUMNS = (
 )
 
 
-def refund_by_runner(refund: DataFrame, race_ids: DataFrame | None = None) -> DataFrame:
-    """(race_id, horse_no) -> w_n, w_sum, p_n, p_sum.
-
-    ``race_ids`` (a small, broadcast DataFrame of selected race ids) filters
-    the payouts map-side before they are aggregated.
-    """
+def refund_by_runner(refund: DataFrame) -> DataFrame:
+    """(race_id, horse_no) -> w_n, w_sum, p_n, p_sum (ticket types 1 and 2 only)."""
     r = refund.where(F.col("ticket_type").isin(WIN_TICKET, PLACE_TICKET))
-    if race_ids is not None:
-        r = r.join(race_ids, "race_id", "left_semi")
     win = F.col("ticket_type") == WIN_TICKET
     place = F.col("ticket_type") == PLACE_TICKET
     return r.groupBy("race_id", "horse_no").agg(
@@ -49,20 +47,33 @@ def refund_by_runner(refund: DataFrame, race_ids: DataFrame | None = None) -> Da
 
 
 def runner_fact(tables: RaceTables, races: DataFrame, race_cols: tuple = (),
-                races_are_small: bool = False) -> DataFrame:
+                races_are_small: bool = False, jockeys: bool = False) -> DataFrame:
     """Selected races (``race_id`` + ``race_cols``) joined to their runners.
 
     When ``races_are_small`` the caller has already wrapped ``races`` in a
-    checked broadcast; the payouts are then semi-joined to the same ids.
+    checked broadcast: results and payouts are then read for those races
+    only (map-side semi join, or the tables' own per-race reader).
     """
     races = races.select("race_id", *race_cols)
-    runners = tables.result.select(*RUNNER_COLUMNS).join(races, "race_id")
-    pay = refund_by_runner(tables.refund, races.select("race_id") if races_are_small else None)
-    return runners.join(pay, ["race_id", "horse_no"], "left")
+    if races_are_small:
+        ids = races.select("race_id")
+        runners = tables.results_for(ids).select(*RUNNER_COLUMNS)
+        if race_cols:
+            runners = runners.join(races, "race_id")
+        pay = refund_by_runner(tables.refunds_for(ids))
+    else:
+        runners = tables.result.select(*RUNNER_COLUMNS).join(races, "race_id")
+        pay = refund_by_runner(tables.refund)
+    fact = runners.join(pay, ["race_id", "horse_no"], "left")
+    return with_jockey_keys(fact, tables) if jockeys else fact
 
 
-def with_jockey(fact: DataFrame, tables: RaceTables) -> DataFrame:
-    """Runners whose horse and jockey exist, with the jockey's name."""
-    horses = tables.horse.select(F.col("id").alias("horse_id"))
-    jockeys = tables.jockey.select(F.col("id").alias("jockey_id"), F.col("name").alias("jockey_name"))
-    return fact.join(horses, "horse_id").join(jockeys, "jockey_id")
+def with_jockey_keys(fact: DataFrame, tables: RaceTables) -> DataFrame:
+    """Attach ``horse_n`` (rows of the runner's horse id) and ``jockey_names``
+    (names of the rows of its jockey id).  The jockey breakdown counts a
+    runner once per (horse row, jockey row) pair, as an inner join would;
+    runners without either are missing from it only."""
+    horses = tables.horse.groupBy(F.col("id").alias("horse_id")).agg(F.count(F.lit(1)).alias("horse_n"))
+    jockeys = tables.jockey.groupBy(F.col("id").alias("jockey_id")).agg(
+        F.collect_list("name").alias("jockey_names"))
+    return fact.join(horses, "horse_id", "left").join(jockeys, "jockey_id", "left")

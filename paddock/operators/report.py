@@ -9,9 +9,9 @@ and the two recoveries yellow when at or above 100 %.  The payload is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from paddock.functions.sql import ident, quote
 from paddock.plans.dimensions import BUCKET, JOCKEY, TABLE_COLUMNS, Dimension, table_header
 
 # ---------------------------------------------------------------------------
@@ -32,78 +32,103 @@ _CELLS = (
 )
 assert tuple(c[0] for c in _CELLS) == TABLE_COLUMNS
 
+JSON_OPTIONS = "map('ignoreNullFields', 'false')"
 
-def rank_colour(rank: Column) -> Column:
-    expr = None
-    for r, colour in RANK_COLOURS.items():
-        expr = F.when(rank == r, F.lit(colour)) if expr is None else expr.when(rank == r, F.lit(colour))
-    return expr
 
+def rank_colour_sql(rank: str) -> str:
+    whens = " ".join(f"WHEN {r} THEN {quote(c)}" for r, c in RANK_COLOURS.items())
+    return f"(CASE {rank} {whens} END)"
 
-def flag_colour(flag: Column) -> Column:
-    return F.when(flag == 1, F.lit(RECOVERY_COLOUR))
 
+def flag_colour_sql(flag: str) -> str:
+    return f"(CASE WHEN {flag} = 1 THEN {quote(RECOVERY_COLOUR)} END)"
 
-def cell_colour(value_col: str, driver: str | None) -> Column:
+
+def _colour_sql(driver: str | None) -> str:
     if driver is None:
-        return F.lit(None).cast("string")
+        return "CAST(NULL AS STRING)"
     if driver.endswith("_ranking"):
-        return rank_colour(F.col(driver))
-    return flag_colour(F.col(driver))
+        return rank_colour_sql(driver)
+    return flag_colour_sql(driver)
 
 
-def label_value(dim: Dimension) -> Column:
-    """The label column's value: bucket label, else the key itself."""
-    return F.col("dim_value") if dim.kind == BUCKET else F.col("dim_key")
+def label_value_sql(dim: Dimension) -> str:
+    """The label column's value: bucket label, else the key in its native type."""
+    return "dim_value" if dim.kind == BUCKET else f"try_cast(dim_key AS {dim.key_type})"
 
 
 def highlight_colours(view: DataFrame, dim: Dimension, part: tuple = ()) -> DataFrame:
     """Flat colour columns of a dimension view (one per coloured cell)."""
-    return view.select(
-        *part, "dim_key",
-        rank_colour(F.col("win_rate_ranking")).alias("win_rate_color"),
-        rank_colour(F.col("rentai_rate_ranking")).alias("rentai_rate_color"),
-        rank_colour(F.col("fukusho_rate_ranking")).alias("fukusho_rate_color"),
-        flag_colour(F.col("win_recovery_100_over")).alias("win_recovery_color"),
-        flag_colour(F.col("d_win_recovery_100_over")).alias("d_win_recovery_color"),
+    return view.selectExpr(
+        *[ident(c) for c in part], "dim_key",
+        f"{rank_colour_sql('win_rate_ranking')} AS win_rate_color",
+        f"{rank_colour_sql('rentai_rate_ranking')} AS rentai_rate_color",
+        f"{rank_colour_sql('fukusho_rate_ranking')} AS fukusho_rate_color",
+        f"{flag_colour_sql('win_recovery_100_over')} AS win_recovery_color",
+        f"{flag_colour_sql('d_win_recovery_100_over')} AS d_win_recovery_color",
     )
 
 
-def report_row(dim: Dimension) -> Column:
+def _cell(value: str, colour: str) -> str:
+    return f"named_struct('value', {value}, 'schema', {colour})"
+
+
+def report_row_sql(dim: Dimension) -> str:
     """One payload row: label cell then the six report cells, by display name."""
-    cells = [F.struct(label_value(dim).alias("value"), F.lit(None).cast("string").alias("schema"))
-             .alias(dim.column_ja)]
-    for name, value_col, driver in _CELLS:
-        cells.append(F.struct(F.col(value_col).alias("value"),
-                              cell_colour(value_col, driver).alias("schema")).alias(name))
-    return F.struct(*cells)
+    fields = [f"{quote(dim.column_ja)}, {_cell(label_value_sql(dim), 'CAST(NULL AS STRING)')}"]
+    fields += [f"{quote(name)}, {_cell(value, _colour_sql(driver))}" for name, value, driver in _CELLS]
+    return f"named_struct({', '.join(fields)})"
 
 
 def highlight_cells(view: DataFrame, dim: Dimension, part: tuple = ()) -> DataFrame:
     """The view as cell structs, rank and flag columns dropped."""
-    row = report_row(dim)
-    return view.select(*part, "dim_key", row.alias("row")).select(*part, "dim_key", "row.*")
+    cols = [ident(c) for c in part]
+    return (view.selectExpr(*cols, "dim_key", f"{report_row_sql(dim)} AS row")
+            .selectExpr(*cols, "dim_key", "row.*"))
+
+
+def _by_dim(dims: list[Dimension], value) -> str:
+    whens = " ".join(f"WHEN {quote(d.slug)} THEN {value(d)}" for d in dims)
+    return f"(CASE dim {whens} END)"
+
+
+def payload_header_sql(dims: list[Dimension]) -> str:
+    """JSON text of the table header of the dimension in ``dim``."""
+    return _by_dim(dims, lambda d: f"to_json(array({', '.join(quote(h) for h in table_header(d))}))")
+
+
+def report_memo_sql(dims: list[Dimension]) -> str:
+    """Memo of the dimension in ``dim``."""
+    return _by_dim(dims, lambda d: quote(d.memo))
 
 
-def payload(view: DataFrame, dim: Dimension, part: tuple = ()) -> DataFrame:
-    """``part`` columns + ``data``: the JSON payload of each group.
+def payloads(df: DataFrame, dims: list[Dimension], part: tuple = ()) -> DataFrame:
+    """``part`` + ``dim`` + ``data``: the JSON payload of each (group, dimension).
 
-    Rows of a group are gathered with ``collect_list`` -- one row per
-    dimension value, so a group is bounded by the dimension's cardinality --
-    and sorted by key (jockeys: win-rate rank, then name).
+    One aggregation serves every dimension: each row is turned into its JSON
+    text by its dimension's cell layout, and the rows of a group are gathered
+    with ``collect_list`` -- one row per dimension value, so a group is
+    bounded by the dimension's cardinality -- and sorted by key (jockeys:
+    win-rate rank, then name).  The envelope is written around the row
+    texts, so the output equals ``to_json`` of the whole payload.
     """
-    order = ([F.col("win_rate_ranking"), F.col("dim_key")] if dim.kind == JOCKEY
-             else [F.col("dim_key")])
-    entry = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], report_row(dim).alias("row"))
-    header = F.array(*[F.lit(h) for h in table_header(dim)])
-    grouped = view.groupBy(*part).agg(F.sort_array(F.collect_list(entry)).alias("rows"))
-    body = F.struct(header.alias("table_header"),
-                    F.transform(F.col("rows"), lambda x: x["row"]).alias("data"))
-    return grouped.select(*part, F.to_json(body, {"ignoreNullFields": "false"}).alias("data"))
+    jockey = [quote(d.slug) for d in dims if d.kind == JOCKEY]
+    rank_first = (f"CASE WHEN dim IN ({', '.join(jockey)}) THEN win_rate_ranking ELSE 0 END"
+                  if jockey else "0")
+    row_json = _by_dim(dims, lambda d: f"to_json({report_row_sql(d)}, {JSON_OPTIONS})")
+    cols = [ident(c) for c in part]
+    entries = df.selectExpr(
+        *cols, "dim",
+        f"named_struct('o0', {rank_first}, 'o1', key_order, 'o2', dim_key, 'j', {row_json}) AS entry")
+    grouped = entries.groupBy(*part, "dim").agg({"entry": "collect_list"}).withColumnRenamed(
+        "collect_list(entry)", "rows")
+    body = (f"concat('{{\"table_header\":', {payload_header_sql(dims)}, ',\"data\":[', "
+            f"array_join(transform(sort_array(rows), x -> x.j), ','), ']}}')")
+    return grouped.selectExpr(*cols, "dim", f"{body} AS data")
 
 
 def display(view: DataFrame, dim: Dimension) -> DataFrame:
     """The display table: label column, then the six report columns."""
-    cols = [label_value(dim).alias(dim.column_ja)]
-    cols += [F.col(value_col).alias(name) for name, value_col, _ in _CELLS]
-    return view.select(*cols)
+    cols = [f"{label_value_sql(dim)} AS {ident(dim.column_ja)}"]
+    cols += [f"{value} AS {ident(name)}" for name, value, _ in _CELLS]
+    return view.selectExpr(*cols)

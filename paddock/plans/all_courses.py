@@ -17,22 +17,12 @@ plan for the same criteria (tested).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paddock.operators.breakdown import (
-    FLAGS,
-    KEY_COLS,
-    MEASURES,
-    aggregate,
-    breakdown_rows,
-    dimension_view,
-    finish,
-)
-from paddock.operators.fact import runner_fact, with_jockey
-from paddock.operators.report import payload
+from paddock.operators.breakdown import FLAGS, KEY_COLS, MEASURES, aggregate, finish, keyed_sums
+from paddock.operators.fact import runner_fact
+from paddock.operators.report import payloads, report_memo_sql
 from paddock.operators.sink import analysis_frame
 from paddock.plans.course import MIN_JOCKEY_FINISHES, _dims
 from paddock.plans.criteria import COURSE_SINCE, DAY_PRESETS, GOING_EN, SURFACE
@@ -59,9 +49,8 @@ def all_courses_breakdown(tables: RaceTables, since: str = COURSE_SINCE, dims=No
     dims = _dims(dims)
     carry = COURSE_COLS + ("days",)
     races = tables.race.where(F.col("date_and_time") > F.lit(since).cast("timestamp_ntz"))
-    fact = runner_fact(tables, races, carry)
-    jockey_fact = with_jockey(fact, tables) if any(d.kind == JOCKEY for d in dims) else None
-    per_day = aggregate(breakdown_rows(fact, jockey_fact, dims, carry), carry + KEY_COLS)
+    fact = runner_fact(tables, races, carry, jockeys=any(d.kind == JOCKEY for d in dims))
+    per_day = aggregate(keyed_sums(fact, dims, carry), carry + KEY_COLS)
     per_preset = per_day.select(
         *COURSE_COLS, F.explode(F.try_element_at(day_presets(), F.col("days"))).alias("preset"),
         *KEY_COLS, *MEASURES, *FLAGS)
@@ -83,12 +72,9 @@ def all_courses_reports(tables: RaceTables, since: str = COURSE_SINCE, dims=INSE
     going = F.element_at(_literal_map(GOING_EN), F.col("turf_cond"))
     days = F.element_at(_literal_map({p: "-".join(map(str, ds)) for p, ds in DAY_PRESETS.items()}),
                         F.col("preset"))
-    parts = []
-    for d in dims:
-        view = dimension_view(everything, d, PRESET_COLS, ordered=False)
-        parts.append(payload(view, d, PRESET_COLS).select(
-            F.concat_ws("-", F.lit(d.slug), place, surface, F.col("length").cast("string"), going, days)
-             .alias("analysis_key"),
-            "place_id", "length", F.lit(d.memo).alias("memo"), "turf_cond", "race_type",
-            days.alias("days"), "data"))
-    return analysis_frame(reduce(DataFrame.unionByName, parts))
+    found = payloads(everything, dims, PRESET_COLS)
+    return analysis_frame(found.select(
+        F.concat_ws("-", F.col("dim"), place, surface, F.col("length").cast("string"), going, days)
+         .alias("analysis_key"),
+        "place_id", "length", F.expr(report_memo_sql(dims)).alias("memo"), "turf_cond", "race_type",
+        days.alias("days"), "data"))

@@ -9,22 +9,21 @@ and nothing big is shuffled.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.operators.breakdown import (
-    KEY_COLS,
-    aggregate,
-    breakdown_rows,
-    dimension_view,
-    finish,
-)
 from paddock.functions.text import percent_text_expr
-from paddock.operators.fact import runner_fact, with_jockey
+from paddock.operators.breakdown import KEY_COLS, aggregate, dimension_view, finish, keyed_sums
+from paddock.operators.fact import runner_fact
 from paddock.operators.joins import MAX_BROADCAST_ROWS, bounded_broadcast
-from paddock.operators.report import display, highlight_cells, highlight_colours, payload
+from paddock.operators.report import (
+    display,
+    highlight_cells,
+    highlight_colours,
+    payload_header_sql,
+    payloads,
+    report_memo_sql,
+)
 from paddock.operators.sink import analysis_frame, write_analysis
 from paddock.plans.criteria import Criteria
 from paddock.plans.dimensions import DIMENSIONS, INSERTED, JOCKEY, Dimension, dimension
@@ -60,35 +59,35 @@ class CourseAnalysis:
             self._selected = bounded_broadcast(self.races().select("race_id"), self.max_broadcast_rows)
         return self._selected
 
-    def fact(self) -> DataFrame:
+    def fact(self, jockeys: bool = False) -> DataFrame:
+        ids, small = self.selected_ids()
+        return runner_fact(self.tables, ids, (), races_are_small=small, jockeys=jockeys)
+
+    def _runners(self) -> DataFrame:
         ids, small = self.selected_ids()
-        return runner_fact(self.tables, ids, (), races_are_small=small)
+        if small:
+            return self.tables.results_for(ids).select("race_id")
+        return self.tables.result.select("race_id").join(ids, "race_id")
 
     # -- counts -------------------------------------------------------------
     def count_race(self) -> DataFrame:
         return self.races().agg(F.count(F.lit(1)).alias("target_race"))
 
     def count_horse(self) -> DataFrame:
-        ids, _ = self.selected_ids()
-        return (self.tables.result.select("race_id").join(ids, "race_id")
-                .agg(F.count(F.lit(1)).alias("target_race")))
+        return self._runners().agg(F.count(F.lit(1)).alias("target_race"))
 
     # -- breakdowns ---------------------------------------------------------
     def breakdown_all(self, dims=None) -> DataFrame:
         """All requested dimensions in one job, keyed by ``dim`` (slug)."""
         dims = _dims(dims)
-        fact = self.fact()
-        jockey_fact = with_jockey(fact, self.tables) if any(d.kind == JOCKEY for d in dims) else None
-        rows = breakdown_rows(fact, jockey_fact, dims)
-        return finish(aggregate(rows, KEY_COLS), dims, (), self.min_jockey_finishes)
+        fact = self.fact(jockeys=any(d.kind == JOCKEY for d in dims))
+        return finish(aggregate(keyed_sums(fact, dims), KEY_COLS), dims, (), self.min_jockey_finishes)
 
     def side_totals(self, dim) -> DataFrame:
         """Per dimension value, before the NULL-key and three-side rules:
         finish counts, payout-side rows and money (native key type)."""
         d = dim if isinstance(dim, Dimension) else dimension(dim)
-        fact = self.fact()
-        jockey_fact = with_jockey(fact, self.tables) if d.kind == JOCKEY else None
-        agg = aggregate(breakdown_rows(fact, jockey_fact, [d]), KEY_COLS)
+        agg = aggregate(keyed_sums(self.fact(jockeys=d.kind == JOCKEY), [d]), KEY_COLS)
         return agg.withColumn("dim_key", F.col("dim_key").cast(d.key_type))
 
     def arrival_counts(self, dim) -> DataFrame:
@@ -126,28 +125,32 @@ class CourseAnalysis:
     # -- reports ------------------------------------------------------------
     def payload(self, dim) -> DataFrame:
         """One row: the JSON report payload of one dimension."""
-        d = dim if isinstance(dim, Dimension) else dimension(dim)
-        return payload(self.breakdown(d, ordered=False), d)
+        return self.reports([dim]).select("data")
 
     def reports(self, dims=INSERTED) -> DataFrame:
-        """Analysis rows (one per dimension) from one multi-dimension job."""
+        """Analysis rows, one per dimension in ``dims`` order, from one job.
+
+        A dimension with no rows still gets its report (an empty table).
+        """
         dims = _dims(dims)
         c = self.criteria
-        everything = self.breakdown_all(dims)
-        parts = []
-        for d in dims:
-            view = dimension_view(everything, d, ordered=False)
-            parts.append(payload(view, d).select(
-                F.lit(c.analysis_key(d.slug)).alias("analysis_key"),
-                F.lit(c.place_id).alias("place_id"),
-                F.lit(c.length).alias("length"),
-                F.lit(d.memo).alias("memo"),
-                F.lit(c.turf_cond).alias("turf_cond"),
-                F.lit(c.race_type).alias("race_type"),
-                F.lit(c.days_str).alias("days"),
-                "data",
-            ))
-        return analysis_frame(reduce(DataFrame.unionByName, parts))
+        found = payloads(self.breakdown_all(dims), dims)
+        spark = found.sparkSession
+        wanted = spark.createDataFrame([(i, d.slug) for i, d in enumerate(dims)], "pos int, dim string")
+        empty = F.expr(f"""concat('{{"table_header":', {payload_header_sql(dims)}, ',"data":[]}}')""")
+        keys = {d.slug: c.analysis_key(d.slug) for d in dims}
+        key = F.element_at(F.create_map(*[F.lit(x) for kv in keys.items() for x in kv]), F.col("dim"))
+        rows = (F.broadcast(wanted).join(found, "dim", "left")
+                .select("pos", key.alias("analysis_key"),
+                        F.lit(c.place_id).alias("place_id"),
+                        F.lit(c.length).alias("length"),
+                        F.expr(report_memo_sql(dims)).alias("memo"),
+                        F.lit(c.turf_cond).alias("turf_cond"),
+                        F.lit(c.race_type).alias("race_type"),
+                        F.lit(c.days_str).alias("days"),
+                        F.coalesce(F.col("data"), empty).alias("data"))
+                .orderBy("pos"))
+        return analysis_frame(rows)
 
     def insert(self, path: str | None = None, table: str | None = None,
                dims=INSERTED, fmt: str = "parquet") -> bool:

@@ -19,9 +19,11 @@ from paddock.functions.buckets import (
     LAST_3F_RULES,
     LEG_TYPE_LABELS,
     LEG_TYPE_RULES,
-    bucket_expr,
+    bucket_sql,
     label_expr,
+    label_sql,
 )
+from paddock.functions.sql import ident
 
 RAW, BUCKET, RACE_RANK, JOCKEY = "raw", "bucket", "race_rank", "jockey"
 
@@ -43,13 +45,20 @@ class Dimension:
     def query(self) -> str:
         return "by_" + QUERY_SUFFIX.get(self.name, self.name)
 
+    def key_sql(self) -> str:
+        """SQL of the key over a runner row (not for RACE_RANK / JOCKEY)."""
+        if self.kind == BUCKET:
+            return bucket_sql(ident(self.source), list(self.rules))
+        return ident(self.source)
+
     def key(self) -> Column:
-        """Key expression over a runner row (not for RACE_RANK)."""
+        return F.expr(self.key_sql())
+
+    def label_sql(self, key: str) -> str:
+        """SQL of the display label of a native key."""
         if self.kind == BUCKET:
-            return bucket_expr(F.col(self.source), list(self.rules))
-        if self.kind == JOCKEY:
-            return F.col("jockey_name")
-        return F.col(self.source)
+            return label_sql(key, dict(self.labels))
+        return f"CAST({key} AS STRING)"
 
     def label(self, key: Column) -> Column:
         """Display label of a native key."""

@@ -13,10 +13,10 @@ the race join reuse.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.schemas import DEC41, PLACE_TICKET, WIN_TICKET
+from paddock.schemas import PLACE_TICKET, WIN_TICKET
 from paddock.sources.tables import RaceTables, master_place_df
 
 
@@ -25,72 +25,73 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bind_race(orders: DataFrame) -> DataFrame:
-    o = F.col
-    return orders.select(
-        o("o_orderkey").alias("race_id"),
-        (F.lit(1) + o("o_custkey") % 10).cast("int").alias("place_id"),
-        F.when(o("o_orderkey") % 3 == 0, F.lit(1200))
-         .when(o("o_orderkey") % 3 == 1, F.lit(1600))
-         .otherwise(F.lit(1800)).alias("length"),
-        F.when(F.floor(o("o_totalprice")).cast("bigint") % 2 == 0, F.lit("芝"))
-         .otherwise(F.lit("ダ")).alias("race_type"),
-        F.when(o("o_orderstatus") == "F", F.lit("良"))
-         .when(o("o_orderstatus") == "O", F.lit("重"))
-         .otherwise(F.lit("稍重")).alias("turf_cond"),
-        (F.lit(1) + (o("o_orderkey") + o("o_custkey")) % 12).cast("int").alias("days"),
-        o("o_orderpriority").alias("name"),
-        o("o_orderdate").cast("timestamp_ntz").alias("date_and_time"),
-        F.when(o("o_custkey") % 2 == 0, F.lit("右")).otherwise(F.lit("左")).alias("circling"),
-        F.when(o("o_orderpriority") == "1-URGENT", F.lit("ハンデ"))
-         .otherwise(F.lit("定量")).alias("terms"),
-        F.when(o("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.lit("オープン"))
-         .otherwise(F.lit("1勝クラス")).alias("race_rank"),
+    return orders.selectExpr(
+        "o_orderkey AS race_id",
+        "CAST(1 + o_custkey % 10 AS INT) AS place_id",
+        "CASE WHEN o_orderkey % 3 = 0 THEN 1200 WHEN o_orderkey % 3 = 1 THEN 1600 ELSE 1800 END AS length",
+        "CASE WHEN CAST(floor(o_totalprice) AS BIGINT) % 2 = 0 THEN '芝' ELSE 'ダ' END AS race_type",
+        "CASE o_orderstatus WHEN 'F' THEN '良' WHEN 'O' THEN '重' ELSE '稍重' END AS turf_cond",
+        "CAST(1 + (o_orderkey + o_custkey) % 12 AS INT) AS days",
+        "o_orderpriority AS name",
+        "CAST(o_orderdate AS TIMESTAMP_NTZ) AS date_and_time",
+        "CASE WHEN o_custkey % 2 = 0 THEN '右' ELSE '左' END AS circling",
+        "CASE WHEN o_orderpriority = '1-URGENT' THEN 'ハンデ' ELSE '定量' END AS terms",
+        "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'オープン' ELSE '1勝クラス' END AS race_rank",
     )
 
 
 def bind_result(lineitem: DataFrame) -> DataFrame:
-    l = F.col
-    finish = F.rank().over(Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice")))
-    no_time = l("l_tax") == 0
-    return lineitem.select(
-        (l("l_orderkey") * 8 + l("l_linenumber")).alias("seq"),
-        l("l_orderkey").alias("race_id"),
-        l("l_linenumber").cast("int").alias("horse_no"),
-        l("l_partkey").alias("horse_id"),
-        l("l_suppkey").alias("jockey_id"),
-        F.when(~no_time, finish).cast("int").alias("arrival_order"),
-        (F.lit(1) + (l("l_linenumber") + l("l_suppkey")) % 8).cast("int").alias("frame_no"),
-        (F.lit(1) + l("l_partkey") % 18).cast("int").alias("popularity_order"),
-        l("l_returnflag").alias("horse_sex"),
-        (F.lit(400) + F.lit(3) * l("l_quantity")).cast("int").alias("horse_weight"),
-        (F.lit(2) + l("l_partkey") % 7).cast("int").alias("horse_age"),
-        (F.lit(50) + (l("l_suppkey") % 16) * F.lit(0.5).cast("decimal(2,1)")).cast(DEC41)
-         .alias("jokey_weight"),
-        (F.lit(1) + (l("l_suppkey") + l("l_linenumber")) % 18).cast("int").alias("corner4"),
-        F.when(~no_time, ((F.lit(310) + l("l_partkey") % 60) / F.lit(10.0).cast("decimal(3,1)"))
-               .cast(DEC41)).alias("seconds_3f"),
+    return lineitem.selectExpr(
+        "l_orderkey * 8 + l_linenumber AS seq",
+        "l_orderkey AS race_id",
+        "CAST(l_linenumber AS INT) AS horse_no",
+        "l_partkey AS horse_id",
+        "l_suppkey AS jockey_id",
+        "CASE WHEN l_tax = 0 THEN NULL ELSE CAST(rank() OVER "
+        "(PARTITION BY l_orderkey ORDER BY l_extendedprice DESC) AS INT) END AS arrival_order",
+        "CAST(1 + (l_linenumber + l_suppkey) % 8 AS INT) AS frame_no",
+        "CAST(1 + l_partkey % 18 AS INT) AS popularity_order",
+        "l_returnflag AS horse_sex",
+        "CAST(400 + 3 * l_quantity AS INT) AS horse_weight",
+        "CAST(2 + l_partkey % 7 AS INT) AS horse_age",
+        "CAST(50 + (l_suppkey % 16) * 0.5 AS DECIMAL(4,1)) AS jokey_weight",
+        "CAST(1 + (l_suppkey + l_linenumber) % 18 AS INT) AS corner4",
+        "CASE WHEN l_tax = 0 THEN NULL ELSE CAST((310 + l_partkey % 60) / 10.0 AS DECIMAL(4,1)) END "
+        "AS seconds_3f",
     )
 
 
 def bind_refund(result: DataFrame) -> DataFrame:
     """Win payout for finishers at 1, place payout for 1-3; one row per
-    (race, horse number, ticket type), the largest when numbers repeat."""
-    r = F.col
-    win = F.struct(F.lit(WIN_TICKET).alias("ticket_type"),
-                   (F.lit(110) + (r("horse_id") * 37) % 1900).alias("refund"))
-    place = F.struct(F.lit(PLACE_TICKET).alias("ticket_type"),
-                     (F.lit(100) + (r("horse_id") * 17) % 400).alias("refund"))
-    tickets = F.when(r("arrival_order") == 1, F.array(win, place)).otherwise(F.array(place))
-    return (
-        result.where(r("arrival_order") <= 3)
-        .select("race_id", "horse_no", F.explode(tickets).alias("t"))
-        .groupBy("race_id", "horse_no", F.col("t.ticket_type").cast("int").alias("ticket_type"))
-        .agg(F.max("t.refund").cast("bigint").alias("refund"))
+    (race, horse number, ticket type), the largest when numbers repeat.
+
+    Both tickets of a (race, horse number) are computed in one aggregation
+    keyed by (race, horse number) and then split into rows, so the table
+    comes out hash-partitioned by the key the payout join and the per-runner
+    payout sums use."""
+    per_runner = (
+        result.where("arrival_order <= 3")
+        .groupBy("race_id", "horse_no")
+        .agg(F.max(F.expr("CASE WHEN arrival_order = 1 THEN 110 + (horse_id * 37) % 1900 END")).alias("win"),
+             F.max(F.expr("100 + (horse_id * 17) % 400")).alias("place"))
     )
+    tickets = (f"filter(array(named_struct('ticket_type', {WIN_TICKET}, 'refund', win), "
+               f"named_struct('ticket_type', {PLACE_TICKET}, 'refund', place)), t -> t.refund IS NOT NULL)")
+    return per_runner.selectExpr("race_id", "horse_no", f"inline({tickets})").selectExpr(
+        "race_id", "horse_no", "CAST(ticket_type AS INT) AS ticket_type", "CAST(refund AS BIGINT) AS refund")
 
 
 def bind_driver_tables(spark: SparkSession, sf_dir: str) -> RaceTables:
-    result = bind_result(_read(spark, sf_dir, "lineitem"))
+    lineitem = _read(spark, sf_dir, "lineitem")
+    result = bind_result(lineitem)
+
+    def results_of(race_ids: DataFrame) -> DataFrame:
+        # The finish rank is a window per order, so keeping only the lines of
+        # the selected orders *before* it is exact -- and the window then
+        # sorts only those lines.
+        ids = race_ids.select(F.col("race_id").alias("l_orderkey"))
+        return bind_result(lineitem.join(ids, "l_orderkey", "left_semi"))
+
     horse = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
     jockey = _read(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("id"),
@@ -103,4 +104,6 @@ def bind_driver_tables(spark: SparkSession, sf_dir: str) -> RaceTables:
         horse=horse,
         jockey=jockey,
         master_place=master_place_df(spark),
+        results_of=results_of,
+        refunds_of=lambda race_ids: bind_refund(results_of(race_ids)),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,12 @@ PLACE_ROMAJI = {1: "sapporo", 2: "hakodate", 3: "fukushima", 4: "niigata", 5: "t
 
 @dataclass(frozen=True)
 class RaceTables:
-    """Lazy DataFrames of the race schema (see ``paddock.schemas``)."""
+    """Lazy DataFrames of the race schema (see ``paddock.schemas``).
+
+    ``results_of`` / ``refunds_of`` optionally give the rows of a set of
+    races (a DataFrame of ``race_id``) more cheaply than filtering the whole
+    table afterwards -- e.g. when ``result`` is itself derived per race.
+    """
 
     race: DataFrame
     result: DataFrame
@@ -30,6 +36,19 @@ class RaceTables:
     horse: DataFrame
     jockey: DataFrame
     master_place: DataFrame
+    results_of: Callable[[DataFrame], DataFrame] | None = None
+    refunds_of: Callable[[DataFrame], DataFrame] | None = None
+
+    def results_for(self, race_ids: DataFrame) -> DataFrame:
+        """Result rows of the races in ``race_ids`` (small, broadcast)."""
+        if self.results_of is not None:
+            return self.results_of(race_ids)
+        return self.result.join(race_ids, "race_id", "left_semi")
+
+    def refunds_for(self, race_ids: DataFrame) -> DataFrame:
+        if self.refunds_of is not None:
+            return self.refunds_of(race_ids)
+        return self.refund.join(race_ids, "race_id", "left_semi")
 
 
 def master_place_df(spark: SparkSession) -> DataFrame:
