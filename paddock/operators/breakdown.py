@@ -113,6 +113,15 @@ def aggregate(rows: DataFrame, group: tuple) -> DataFrame:
                                     *[F.max(f).alias(f) for f in FLAGS])
 
 
+def final_sums(rows: DataFrame, part: tuple = ()) -> DataFrame:
+    """Sum ``keyed_sums`` rows per (part, dim, dim_key).
+
+    The rows are already aggregated, so they are clustered by (part, dim)
+    directly: the aggregation and the rank window of ``finish`` then share
+    that one shuffle."""
+    return aggregate(rows.repartition(*part, "dim"), (*part, *KEY_COLS))
+
+
 def _side(key: str, counts: bool, win: bool, place: bool) -> str:
     zero, none = "CAST(0 AS BIGINT)", "CAST(NULL AS BIGINT)"
     fields = [f"'dim_key', CAST({key} AS STRING)"]
@@ -124,15 +133,16 @@ def _side(key: str, counts: bool, win: bool, place: bool) -> str:
 
 
 def keyed_sums(fact: DataFrame, dims: list[Dimension], carry: tuple = ()) -> DataFrame:
-    """Rows keyed by (carry, dim, dim_key) with measures and side flags,
-    ready for the final aggregation (not yet aggregated by key)."""
+    """Aggregated rows keyed by (carry, dim, dim_key) with measures and side
+    flags: one row per key for keyed dimensions; for in-race rank
+    dimensions several rows per key (one per race time and side), which
+    ``final_sums`` adds up."""
     rows = dimension_rows(fact, dims, carry)
-    rank_slugs = [d.slug for d in dims if d.kind == RACE_RANK]
-    if not rank_slugs:
-        return rows.selectExpr(*_cols(carry), *KEY_COLS, *MEASURES, *[f"1 AS {f}" for f in FLAGS])
-
     first = rows.groupBy(*carry, *KEY_COLS, *RANK_COLS).agg(
         F.sum("c_rows").alias("c_rows"), *[F.sum(m).alias(m) for m in MEASURES])
+    rank_slugs = [d.slug for d in dims if d.kind == RACE_RANK]
+    if not rank_slugs:
+        return first.selectExpr(*_cols(carry), *KEY_COLS, *MEASURES, *[f"1 AS {f}" for f in FLAGS])
 
     # In-race ranks: 1 + rows of the race with a strictly smaller time (NULL
     # first).  The window sees one row per distinct time of a race.  Keyed

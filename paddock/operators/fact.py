@@ -55,16 +55,18 @@ def runner_fact(tables: RaceTables, races: DataFrame, race_cols: tuple = (),
     only (map-side semi join, or the tables' own per-race reader).
     """
     races = races.select("race_id", *race_cols)
+    ids = races.select("race_id")
     if races_are_small:
-        ids = races.select("race_id")
         runners = tables.results_for(ids).select(*RUNNER_COLUMNS)
         if race_cols:
             runners = runners.join(races, "race_id")
-        pay = refund_by_runner(tables.refunds_for(ids))
     else:
         runners = tables.result.select(*RUNNER_COLUMNS).join(races, "race_id")
-        pay = refund_by_runner(tables.refund)
-    fact = runners.join(pay, ["race_id", "horse_no"], "left")
+    if tables.payouts_of is not None:
+        fact = tables.payouts_of(runners)
+    else:
+        refund = tables.refunds_for(ids) if races_are_small else tables.refund
+        fact = runners.join(refund_by_runner(refund), ["race_id", "horse_no"], "left")
     return with_jockey_keys(fact, tables) if jockeys else fact
 
 

@@ -9,7 +9,8 @@ distance, going) and every meeting-day preset is answered by one plan:
 2. the day-level sums (at most 12 days per course) are rolled up into the
    seven presets, which overlap; every measure is a sum (and the side flags
    an OR), so this second aggregation is exact and works on small data;
-3. ranks are taken per (course, preset, dimension).
+   it is clustered by (course, preset, dimension), so
+3. the rank window per (course, preset, dimension) reuses its shuffle.
 
 A slice of the output for one course and preset equals the single-course
 plan for the same criteria (tested).
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paddock.operators.breakdown import FLAGS, KEY_COLS, MEASURES, aggregate, finish, keyed_sums
+from paddock.operators.breakdown import FLAGS, KEY_COLS, MEASURES, final_sums, finish, keyed_sums
 from paddock.operators.fact import runner_fact
 from paddock.operators.report import payloads, report_memo_sql
 from paddock.operators.sink import analysis_frame
@@ -50,12 +51,11 @@ def all_courses_breakdown(tables: RaceTables, since: str = COURSE_SINCE, dims=No
     carry = COURSE_COLS + ("days",)
     races = tables.race.where(F.col("date_and_time") > F.lit(since).cast("timestamp_ntz"))
     fact = runner_fact(tables, races, carry, jockeys=any(d.kind == JOCKEY for d in dims))
-    per_day = aggregate(keyed_sums(fact, dims, carry), carry + KEY_COLS)
+    per_day = keyed_sums(fact, dims, carry)
     per_preset = per_day.select(
         *COURSE_COLS, F.explode(F.try_element_at(day_presets(), F.col("days"))).alias("preset"),
         *KEY_COLS, *MEASURES, *FLAGS)
-    return finish(aggregate(per_preset, PRESET_COLS + KEY_COLS), dims, PRESET_COLS,
-                  min_jockey_finishes)
+    return finish(final_sums(per_preset, PRESET_COLS), dims, PRESET_COLS, min_jockey_finishes)
 
 
 def all_courses_reports(tables: RaceTables, since: str = COURSE_SINCE, dims=INSERTED,

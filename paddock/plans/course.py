@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock.functions.text import percent_text_expr
-from paddock.operators.breakdown import KEY_COLS, aggregate, dimension_view, finish, keyed_sums
+from paddock.operators.breakdown import dimension_view, final_sums, finish, keyed_sums
 from paddock.operators.fact import runner_fact
 from paddock.operators.joins import MAX_BROADCAST_ROWS, bounded_broadcast
 from paddock.operators.report import (
@@ -81,13 +81,13 @@ class CourseAnalysis:
         """All requested dimensions in one job, keyed by ``dim`` (slug)."""
         dims = _dims(dims)
         fact = self.fact(jockeys=any(d.kind == JOCKEY for d in dims))
-        return finish(aggregate(keyed_sums(fact, dims), KEY_COLS), dims, (), self.min_jockey_finishes)
+        return finish(final_sums(keyed_sums(fact, dims)), dims, (), self.min_jockey_finishes)
 
     def side_totals(self, dim) -> DataFrame:
         """Per dimension value, before the NULL-key and three-side rules:
         finish counts, payout-side rows and money (native key type)."""
         d = dim if isinstance(dim, Dimension) else dimension(dim)
-        agg = aggregate(keyed_sums(self.fact(jockeys=d.kind == JOCKEY), [d]), KEY_COLS)
+        agg = final_sums(keyed_sums(self.fact(jockeys=d.kind == JOCKEY), [d]))
         return agg.withColumn("dim_key", F.col("dim_key").cast(d.key_type))
 
     def arrival_counts(self, dim) -> DataFrame:

@@ -81,6 +81,25 @@ def bind_refund(result: DataFrame) -> DataFrame:
         "race_id", "horse_no", "CAST(ticket_type AS INT) AS ticket_type", "CAST(refund AS BIGINT) AS refund")
 
 
+def runner_payouts(runners: DataFrame) -> DataFrame:
+    """Per-runner payout counts and sums, equal to joining ``bind_refund``.
+
+    The derived payout of a (race, horse number) and ticket exists when one
+    of its runners qualifies and is the largest amount among them, so it is
+    a window over the runners of that (race, horse number).  ``runners``
+    holds whole races and is already clustered by race, so the window needs
+    no shuffle.
+    """
+    w = "OVER (PARTITION BY race_id, horse_no)"
+    return runners.selectExpr(
+        "*",
+        f"max(CASE WHEN arrival_order = 1 THEN 1 ELSE 0 END) {w} AS w_n",
+        f"max(CASE WHEN arrival_order = 1 THEN 110 + (horse_id * 37) % 1900 END) {w} AS w_sum",
+        f"max(CASE WHEN arrival_order <= 3 THEN 1 ELSE 0 END) {w} AS p_n",
+        f"max(CASE WHEN arrival_order <= 3 THEN 100 + (horse_id * 17) % 400 END) {w} AS p_sum",
+    )
+
+
 def bind_driver_tables(spark: SparkSession, sf_dir: str) -> RaceTables:
     lineitem = _read(spark, sf_dir, "lineitem")
     result = bind_result(lineitem)
@@ -106,4 +125,5 @@ def bind_driver_tables(spark: SparkSession, sf_dir: str) -> RaceTables:
         master_place=master_place_df(spark),
         results_of=results_of,
         refunds_of=lambda race_ids: bind_refund(results_of(race_ids)),
+        payouts_of=runner_payouts,
     )

@@ -28,6 +28,9 @@ class RaceTables:
     ``results_of`` / ``refunds_of`` optionally give the rows of a set of
     races (a DataFrame of ``race_id``) more cheaply than filtering the whole
     table afterwards -- e.g. when ``result`` is itself derived per race.
+    ``payouts_of`` optionally attaches each runner's payout counts and sums
+    (see ``paddock.operators.fact``) when the payouts are a function of the
+    runners of the same race, so no separate payout table is joined.
     """
 
     race: DataFrame
@@ -38,6 +41,7 @@ class RaceTables:
     master_place: DataFrame
     results_of: Callable[[DataFrame], DataFrame] | None = None
     refunds_of: Callable[[DataFrame], DataFrame] | None = None
+    payouts_of: Callable[[DataFrame], DataFrame] | None = None
 
     def results_for(self, race_ids: DataFrame) -> DataFrame:
         """Result rows of the races in ``race_ids`` (small, broadcast)."""
