@@ -113,13 +113,16 @@ def aggregate(rows: DataFrame, group: tuple) -> DataFrame:
                                     *[F.max(f).alias(f) for f in FLAGS])
 
 
-def final_sums(rows: DataFrame, part: tuple = ()) -> DataFrame:
+def final_sums(rows: DataFrame, part: tuple = (), clustered: bool = False) -> DataFrame:
     """Sum ``keyed_sums`` rows per (part, dim, dim_key).
 
-    The rows are already aggregated, so they are clustered by (part, dim)
-    directly: the aggregation and the rank window of ``finish`` then share
-    that one shuffle."""
-    return aggregate(rows.repartition(*part, "dim"), (*part, *KEY_COLS))
+    With ``clustered`` the rows (already one per key and day) are shuffled
+    by (part, dim) so that the aggregation and the rank window of
+    ``finish`` share one shuffle; otherwise partial sums are taken map-side
+    first, which is what rows still per race time need."""
+    if clustered:
+        rows = rows.repartition(*part, "dim")
+    return aggregate(rows, (*part, *KEY_COLS))
 
 
 def _side(key: str, counts: bool, win: bool, place: bool) -> str:

@@ -41,14 +41,17 @@ def bind_race(orders: DataFrame) -> DataFrame:
 
 
 def bind_result(lineitem: DataFrame) -> DataFrame:
-    return lineitem.selectExpr(
+    # Rename first, then rank per race_id: the window's shuffle is then on
+    # race_id, and the later per-race work (payout window, race join) can
+    # reuse that partitioning.
+    runners = lineitem.selectExpr(
         "l_orderkey * 8 + l_linenumber AS seq",
         "l_orderkey AS race_id",
         "CAST(l_linenumber AS INT) AS horse_no",
         "l_partkey AS horse_id",
         "l_suppkey AS jockey_id",
-        "CASE WHEN l_tax = 0 THEN NULL ELSE CAST(rank() OVER "
-        "(PARTITION BY l_orderkey ORDER BY l_extendedprice DESC) AS INT) END AS arrival_order",
+        "l_extendedprice",
+        "l_tax",
         "CAST(1 + (l_linenumber + l_suppkey) % 8 AS INT) AS frame_no",
         "CAST(1 + l_partkey % 18 AS INT) AS popularity_order",
         "l_returnflag AS horse_sex",
@@ -59,6 +62,13 @@ def bind_result(lineitem: DataFrame) -> DataFrame:
         "CASE WHEN l_tax = 0 THEN NULL ELSE CAST((310 + l_partkey % 60) / 10.0 AS DECIMAL(4,1)) END "
         "AS seconds_3f",
     )
+    return runners.selectExpr(
+        "seq", "race_id", "horse_no", "horse_id", "jockey_id",
+        "CASE WHEN l_tax = 0 THEN NULL ELSE CAST(rank() OVER "
+        "(PARTITION BY race_id ORDER BY l_extendedprice DESC) AS INT) END AS arrival_order",
+        "frame_no", "popularity_order", "horse_sex", "horse_weight", "horse_age", "jokey_weight",
+        "corner4", "seconds_3f",
+    )
 
 
 def bind_refund(result: DataFrame) -> DataFrame:
