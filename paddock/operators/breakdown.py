@@ -87,22 +87,32 @@ def _row(dim: Dimension, key: str, race: str, time: str, weight: str) -> str:
 
 
 def dimension_rows(fact: DataFrame, dims: list[Dimension], carry: tuple = ()) -> DataFrame:
-    """One Generate: a row per (runner, dimension), measures times weight."""
+    """One Generate: a row per (runner, dimension), measures times weight.
+
+    With the jockey dimension the fact has one row per (runner, jockey row
+    of its id): the first carries every dimension, any further one only the
+    jockey key.  A jockey key is emitted only when the runner's horse and
+    jockey rows exist and the name is not NULL, weighted by the number of
+    horse rows.  Every branch is a plain array of structs, so the Generate
+    stays in whole-stage codegen."""
     rows = []
     for d in dims:
         if d.kind == RACE_RANK:
             rows.append(_row(d, "NULL", "race_id", ident(d.source), "1"))
         elif d.kind != JOCKEY:
             rows.append(_row(d, d.key_sql(), "NULL", "NULL", "1"))
-    generated = f"array({', '.join(rows)})" if rows else None
-    for d in dims:
-        if d.kind == JOCKEY:
-            named = f"transform(jockey_names, jn -> {_row(d, 'jn', 'NULL', 'NULL', 'horse_n')})"
-            empty = f"array_repeat({_row(d, 'NULL', 'NULL', 'NULL', '1')}, 0)"
-            jockey_rows = (f"CASE WHEN horse_n IS NOT NULL AND jockey_names IS NOT NULL "
-                           f"THEN {named} ELSE {empty} END")
-            generated = jockey_rows if generated is None else f"concat({generated}, {jockey_rows})"
-    out = fact.selectExpr(*_cols(carry), *measures_sql(), f"inline({generated})")
+    jockey = [_row(d, "jockey_name", "NULL", "NULL", "horse_n") for d in dims if d.kind == JOCKEY]
+    if not jockey:
+        generated = f"array({', '.join(rows)})"
+        out = fact.selectExpr(*_cols(carry), *measures_sql(), f"inline({generated})")
+    else:
+        first = "coalesce(jockey_rn, 1) = 1"
+        named = "horse_n IS NOT NULL AND jockey_name IS NOT NULL"
+        generated = (f"CASE WHEN {first} AND {named} THEN array({', '.join(rows + jockey)}) "
+                     + (f"WHEN {first} THEN array({', '.join(rows)}) " if rows else "")
+                     + f"ELSE array({', '.join(jockey)}) END")
+        keep = f"({first}) OR ({named})" if rows else named
+        out = fact.where(keep).selectExpr(*_cols(carry), *measures_sql(), f"inline({generated})")
     return out.selectExpr(*_cols(carry), *KEY_COLS, *RANK_COLS, "weight AS c_rows",
                           *[f"{m} * weight AS {m}" for m in MEASURES])
 

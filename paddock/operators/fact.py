@@ -8,7 +8,7 @@ needs:
 * per ticket type, the number of payout rows the runner joins (``w_n``,
   ``p_n``) and their sum (``w_sum``, ``p_sum``);
 * optionally, for the jockey breakdown, how many horse rows and which
-  jockey names the runner joins (``horse_n``, ``jockey_names``).
+  jockey rows the runner joins (``horse_n``, ``jockey_name``, ``jockey_rn``).
 
 Payouts are aggregated to one row per (race, horse number) *before* the
 join, so the join never fans out; a runner with ``n`` payout rows stands
@@ -71,11 +71,16 @@ def runner_fact(tables: RaceTables, races: DataFrame, race_cols: tuple = (),
 
 
 def with_jockey_keys(fact: DataFrame, tables: RaceTables) -> DataFrame:
-    """Attach ``horse_n`` (rows of the runner's horse id) and ``jockey_names``
-    (names of the rows of its jockey id).  The jockey breakdown counts a
-    runner once per (horse row, jockey row) pair, as an inner join would;
-    runners without either are missing from it only."""
+    """Attach ``horse_n`` (rows of the runner's horse id) and the rows of its
+    jockey id (``jockey_name``, ``jockey_rn`` numbering them 1..k).
+
+    The jockey breakdown counts a runner once per (horse row, jockey row)
+    pair, as an inner join would; runners without either are missing from
+    it only.  A runner is repeated once per extra jockey row of its id;
+    only its first row (``jockey_rn`` 1 or NULL) feeds the other
+    dimensions.  Jockey ids are normally unique, so normally k = 1."""
     horses = tables.horse.groupBy(F.col("id").alias("horse_id")).agg(F.count(F.lit(1)).alias("horse_n"))
-    jockeys = tables.jockey.groupBy(F.col("id").alias("jockey_id")).agg(
-        F.collect_list("name").alias("jockey_names"))
+    jockeys = tables.jockey.selectExpr(
+        "id AS jockey_id", "name AS jockey_name",
+        "row_number() OVER (PARTITION BY id ORDER BY name) AS jockey_rn")
     return fact.join(horses, "horse_id", "left").join(jockeys, "jockey_id", "left")

@@ -103,8 +103,10 @@ def random_tables(spark: SparkSession, seed: int, n_races: int = 40) -> RaceTabl
                 refunds.append((rid, h, 3, 1000))
             if rnd.random() < 0.03:
                 refunds.append((rid, h, 1, None))
-    horses = [h for h in range(1, 61) if h % 13]
-    jockeys = [(j, f"J{min(j, 9)}") for j in range(1, 12)]
+    # ids 5 and 6 appear twice in horse; jockey 3 has a second name, jockey 4
+    # a repeated row and jockey 7 a NULL-name row: counted as inner joins would
+    horses = [h for h in range(1, 61) if h % 13] + [5, 6]
+    jockeys = [(j, f"J{min(j, 9)}") for j in range(1, 12)] + [(3, "J3b"), (4, "J4"), (7, None)]
     return make_tables(spark, races, results, refunds, horses, jockeys)
 
 
