@@ -23,9 +23,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paddock.operators.joins import fits
 from paddock.schemas import PLACE_TICKET, WIN_TICKET
 from paddock.sources.tables import RaceTables
 
+# Row bounds for broadcasting the horse and jockey tables (checked on the raw
+# table, an upper bound of the per-id rows actually broadcast).
+MAX_HORSE_ROWS = 2_000_000
+MAX_JOCKEY_ROWS = 1_000_000
+
 RUNNER_COLUMNS = (
     "race_id", "horse_no", "seq", "arrival_order", "horse_id", "jockey_id",
     "frame_no", "popularity_order", "horse_sex", "horse_weight", "horse_age",
@@ -64,9 +70,14 @@ def runner_fact(tables: RaceTables, races: DataFrame, race_cols: tuple = (),
         runners = tables.result.select(*RUNNER_COLUMNS).join(races, "race_id")
     if tables.payouts_of is not None:
         fact = tables.payouts_of(runners)
+    elif races_are_small:
+        fact = runners.join(refund_by_runner(tables.refunds_for(ids)), ["race_id", "horse_no"], "left")
     else:
-        refund = tables.refunds_for(ids) if races_are_small else tables.refund
-        fact = runners.join(refund_by_runner(refund), ["race_id", "horse_no"], "left")
+        # Cluster the payouts by race_id like the race join's output, so the
+        # (race_id, horse_no) join need not shuffle the runners again (with
+        # spark.sql.requireAllClusterKeysForCoPartition=false, see session.py).
+        pay = refund_by_runner(tables.refund.repartition("race_id"))
+        fact = runners.join(pay, ["race_id", "horse_no"], "left")
     return with_jockey_keys(fact, tables) if jockeys else fact
 
 
@@ -83,4 +94,8 @@ def with_jockey_keys(fact: DataFrame, tables: RaceTables) -> DataFrame:
     jockeys = tables.jockey.selectExpr(
         "id AS jockey_id", "name AS jockey_name",
         "row_number() OVER (PARTITION BY id ORDER BY name) AS jockey_rn")
+    if fits(tables.horse, MAX_HORSE_ROWS):
+        horses = F.broadcast(horses)
+    if fits(tables.jockey, MAX_JOCKEY_ROWS):
+        jockeys = F.broadcast(jockeys)
     return fact.join(horses, "horse_id", "left").join(jockeys, "jockey_id", "left")

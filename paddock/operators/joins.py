@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 500_000
 
 
+def fits(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows.
+
+    A plain ``count()``: partial counts per task, no column read for a bare
+    table scan.  (``limit(n).count()`` would funnel up to n rows per
+    partition into one task.)"""
+    return df.count() <= max_rows
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """``(broadcast(df), True)`` when ``df`` has at most ``max_rows`` rows.
 
@@ -19,6 +28,6 @@ def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tupl
     DataFrame is returned unhinted, so joins shuffle it (and AQE may still
     switch to a broadcast once it has measured the shuffle).
     """
-    if df.count() <= max_rows:
+    if fits(df, max_rows):
         return F.broadcast(df), True
     return df, False

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from paddock.operators.breakdown import FLAGS, KEY_COLS, MEASURES, final_sums, finish, keyed_sums
 from paddock.operators.fact import runner_fact
+from paddock.operators.joins import MAX_BROADCAST_ROWS, bounded_broadcast
 from paddock.operators.report import payloads, report_memo_sql
 from paddock.operators.sink import analysis_frame
 from paddock.plans.course import MIN_JOCKEY_FINISHES, _dims
@@ -46,11 +47,15 @@ def day_presets() -> Column:
 
 
 def all_courses_breakdown(tables: RaceTables, since: str = COURSE_SINCE, dims=None,
-                          min_jockey_finishes: int = MIN_JOCKEY_FINISHES) -> DataFrame:
+                          min_jockey_finishes: int = MIN_JOCKEY_FINISHES,
+                          max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     dims = _dims(dims)
     carry = COURSE_COLS + ("days",)
-    races = tables.race.where(F.col("date_and_time") > F.lit(since).cast("timestamp_ntz"))
-    fact = runner_fact(tables, races, carry, jockeys=any(d.kind == JOCKEY for d in dims))
+    races = tables.race.where(F.col("date_and_time") > F.lit(since).cast("timestamp_ntz")).select(
+        "race_id", *carry)
+    races, small = bounded_broadcast(races, max_broadcast_rows)
+    fact = runner_fact(tables, races, carry, races_are_small=small,
+                       jockeys=any(d.kind == JOCKEY for d in dims))
     per_day = keyed_sums(fact, dims, carry)
     per_preset = per_day.select(
         *COURSE_COLS, F.explode(F.try_element_at(day_presets(), F.col("days"))).alias("preset"),

@@ -15,10 +15,15 @@ from pyspark.sql import SparkSession
 # Runtime SQL settings the plans are tuned for.  AQE coalesces the small
 # post-aggregation shuffles, splits skewed join partitions and turns
 # shuffle joins into broadcast joins once a side is measured small.
+# requireAllClusterKeysForCoPartition=false lets the payout join on
+# (race_id, horse_no) reuse the race join's race_id partitioning instead of
+# shuffling the runners a second time (race_id has high cardinality, so
+# partitioning on it alone does not concentrate rows).
 SQL_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.session.timeZone": "UTC",
 }
 
