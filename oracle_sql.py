@@ -330,14 +330,14 @@ def payload_json_sql(dim: Dimension, source: str, group: str = "") -> str:
     return f"SELECT {data} AS data FROM ({source}) b"
 
 
-def analysis_rows_sql(c: Criteria, dims) -> str:
+def analysis_rows_sql(c: Criteria, dims, min_jockey_finishes: int = 20, binding: bool = True) -> str:
     parts = []
     for d in dims:
         parts.append(
             f"SELECT {q(c.analysis_key(d.slug))} AS analysis_key, CAST({c.place_id} AS INTEGER) AS place_id, "
             f"CAST({c.length} AS INTEGER) AS length, {q(d.memo)} AS memo, {q(c.turf_cond)} AS turf_cond, "
             f"{q(c.race_type)} AS race_type, {q(c.days_str)} AS days, data "
-            f"FROM ({payload_json_sql(d, breakdown_sql(c, d))}) p")
+            f"FROM ({payload_json_sql(d, breakdown_sql(c, d, min_jockey_finishes, binding))}) p")
     return "\nUNION ALL\n".join(parts)
 
 

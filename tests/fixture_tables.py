@@ -63,10 +63,11 @@ def golden(spark: SparkSession) -> RaceTables:
     return make_tables(spark, races, results, refunds)
 
 
-def random_tables(spark: SparkSession, seed: int, n_races: int = 40) -> RaceTables:
+def random_tables(spark: SparkSession, seed: int, n_races: int = 40, hot_runners: int = 0) -> RaceTables:
     """Random races with the awkward cases: NULL / 0 finishes, NULL seq,
     tied and NULL times, duplicated payouts, ticket type 3, NULL payout
-    amounts, missing horses and jockeys, namesake jockeys."""
+    amounts, missing horses and jockeys, namesake jockeys.  ``hot_runners``
+    makes race 1 a hot key holding that many runners."""
     rnd = random.Random(seed)
     races, results, refunds = [], [], []
     times = [Decimal(x) / 10 for x in range(310, 372, 3)]
@@ -75,8 +76,8 @@ def random_tables(spark: SparkSession, seed: int, n_races: int = 40) -> RaceTabl
             rid, place_id=rnd.choice([3, 5]), length=rnd.choice([1200, 1600]),
             race_type=rnd.choice(["芝", "ダ"]), turf_cond=rnd.choice(["良", "重"]),
             days=rnd.randint(1, 12), name=rnd.choice(["A", "B"]),
-            when=DAY + dt.timedelta(days=rnd.randint(-400, 400))))
-        n = rnd.choice([0, 3, 5, 8, 12])
+            when=DAY if (rid == 1 and hot_runners) else DAY + dt.timedelta(days=rnd.randint(-400, 400))))
+        n = hot_runners if (rid == 1 and hot_runners) else rnd.choice([0, 3, 5, 8, 12])
         order = list(range(1, n + 1))
         rnd.shuffle(order)
         for h in range(1, n + 1):
