@@ -1,6 +1,7 @@
-"""Column expressions: dimension buckets and labels, report text."""
+"""Column expressions as Spark SQL text: dimension buckets and labels, report text."""
 
-from paddock.functions.buckets import bucket_expr, label_expr
-from paddock.functions.text import percent_text_expr, record_text
+from paddock.functions.buckets import bucket_expr, bucket_sql, label_expr, label_sql
+from paddock.functions.text import percent_text_expr, percent_text_sql, ratio_sql, record_sql
 
-__all__ = ["bucket_expr", "label_expr", "percent_text_expr", "record_text"]
+__all__ = ["bucket_expr", "bucket_sql", "label_expr", "label_sql", "percent_text_expr",
+           "percent_text_sql", "ratio_sql", "record_sql"]

@@ -12,8 +12,3 @@ def ident(name: str) -> str:
     """A backquoted column name."""
     return "`" + name.replace("`", "``") + "`"
 
-
-def case_by(column: str, branches: dict[str, str], default: str = "NULL") -> str:
-    """CASE <column> WHEN <key> THEN <sql> ... ELSE <default> END (keys quoted)."""
-    whens = " ".join(f"WHEN {quote(k)} THEN {v}" for k, v in branches.items())
-    return f"(CASE {column} {whens} ELSE {default} END)"

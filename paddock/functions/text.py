@@ -41,16 +41,8 @@ def ratio_sql(num: str, den: str) -> str:
     return f"try_divide(CAST({num} AS DECIMAL(20,0)), CAST({den} AS DECIMAL(20,0)))"
 
 
-def ratio_expr(num: str, den: str) -> Column:
-    return F.expr(ratio_sql(num, den))
-
-
 def record_sql(no1: str, no2: str, no3: str, no4: str) -> str:
     """'n1-n2-n3-n4/total' finish record."""
     parts = [f"CAST({c} AS STRING)" for c in (no1, no2, no3, no4)]
     total = f"CAST({no1} + {no2} + {no3} + {no4} AS STRING)"
     return f"concat({parts[0]}, '-', {parts[1]}, '-', {parts[2]}, '-', {parts[3]}, '/', {total})"
-
-
-def record_text(no1: str, no2: str, no3: str, no4: str) -> Column:
-    return F.expr(record_sql(no1, no2, no3, no4))

@@ -9,9 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from paddock.functions.buckets import (
     HORSE_WEIGHT_LABELS,
     HORSE_WEIGHT_RULES,
@@ -20,7 +17,6 @@ from paddock.functions.buckets import (
     LEG_TYPE_LABELS,
     LEG_TYPE_RULES,
     bucket_sql,
-    label_expr,
     label_sql,
 )
 from paddock.functions.sql import ident
@@ -51,22 +47,12 @@ class Dimension:
             return bucket_sql(ident(self.source), list(self.rules))
         return ident(self.source)
 
-    def key(self) -> Column:
-        return F.expr(self.key_sql())
-
     def label_sql(self, key: str) -> str:
         """SQL of the display label of a native key."""
         if self.kind == BUCKET:
             return label_sql(key, dict(self.labels))
         return f"CAST({key} AS STRING)"
 
-    def label(self, key: Column) -> Column:
-        """Display label of a native key."""
-        if self.kind == BUCKET:
-            return label_expr(key, dict(self.labels))
-        return key.cast("string")
-
-
 def _b(rules, labels):
     return tuple(rules), tuple(labels.items())
 
