@@ -419,6 +419,8 @@ def oracle_statements() -> dict[str, str]:
     out["highlight_cells"] = over_breakdown(CHECK_COURSE, dimension("frame_no"), colours_select())
     out["display_popularity"] = over_breakdown(CHECK_COURSE, dimension("popularity_order"),
                                                display_select(dimension("popularity_order")))
+    out["display_jockey"] = over_breakdown(CHECK_GRADED, dimension("jockey"),
+                                           display_select(dimension("jockey")))
     out["analysis_payload"] = payload_json_sql(dimension("popularity_order"),
                                                breakdown_sql(CHECK_COURSE, dimension("popularity_order")))
     out["analysis_rows"] = analysis_rows_sql(CHECK_COURSE, [dimension(n) for n in INSERTED])

@@ -46,15 +46,16 @@ def main(argv: list[str] | None = None) -> int:
     args = parse(argv)
     from pyspark.sql import SparkSession
 
+    from paddock.operators.breakdown import dimension_view
+    from paddock.operators.report import display
     from paddock.plans.course import CourseAnalysis
-    from paddock.session import apply_sql_settings, ensure_checkpoint_dir
+    from paddock.session import apply_sql_settings
     from paddock.sources import bind_driver_tables, read_tables
 
     builder = SparkSession.builder.appName("paddock")
     if args.master:
         builder = builder.master(args.master).config("spark.ui.enabled", "false")
     spark = apply_sql_settings(builder.getOrCreate())
-    ensure_checkpoint_dir(spark)
 
     tables = (read_tables(spark, args.tables, args.format) if args.tables
               else bind_driver_tables(spark, args.driver_sf))
@@ -75,9 +76,6 @@ def main(argv: list[str] | None = None) -> int:
     everything = a.breakdown_all().cache()
     try:
         for d in DIMENSIONS:
-            from paddock.operators.breakdown import dimension_view
-            from paddock.operators.report import display
-
             print(f"\n{c.analysis_key(d.slug)}  {d.memo}")
             display(dimension_view(everything, d), d).show(200, truncate=False)
     finally:

@@ -53,11 +53,13 @@ def local_session(cpus: int | None = None, shuffle_partitions: int = 8,
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Return the cluster's shared checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` is used as is.  Only when
-    it is unset (local tests) is a scratch folder created.
+    The folder named by ``spark.checkpoint.dir`` is used as is.  Only when it
+    is unset *and* the master is local (tests, bench) is a scratch folder
+    created; on a cluster an unset setting returns None -- a machine-local
+    folder would not survive a lost executor.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -65,6 +67,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local"):
+        return None
     path = tempfile.mkdtemp(prefix="paddock-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
