@@ -30,6 +30,7 @@ from paddock.plans.dimensions import DIMENSIONS, INSERTED, JOCKEY, Dimension, di
 from paddock.sources.tables import RaceTables
 
 MIN_JOCKEY_FINISHES = 20
+MAX_PLACE_ROWS = 10_000
 
 
 def _dims(dims) -> list[Dimension]:
@@ -158,13 +159,18 @@ class CourseAnalysis:
         return write_analysis(self.reports(dims), path=path, table=table, fmt=fmt)
 
     # -- course card and summary -------------------------------------------
+    def _places(self) -> DataFrame:
+        """Racecourse names, broadcast when the table is within bounds."""
+        places = self.tables.master_place.select(F.col("id").alias("place_id"),
+                                                 F.col("name").alias("place_name"))
+        return bounded_broadcast(places, MAX_PLACE_ROWS)[0]
+
     def course_card(self) -> DataFrame:
         """Latest race whose name contains the graded-race text (no date bound)."""
         g = self.criteria.grade_race
         if g is None:
             raise ValueError("the course card needs a graded-race criteria")
-        mp = F.broadcast(self.tables.master_place.select(F.col("id").alias("place_id"),
-                                                         F.col("name").alias("place_name")))
+        mp = self._places()
         latest = (self.tables.race.where(F.col("name").contains(g))
                   .select("race_id", "date_and_time", "place_id", "length", "race_type",
                           "circling", "terms")
@@ -196,9 +202,7 @@ class CourseAnalysis:
             )
             .select("target_race", "target_horse", "card.*")
         )
-        mp = F.broadcast(self.tables.master_place.select(F.col("id").alias("place_id"),
-                                                         F.col("name").alias("place_name")))
-        stats = stats.join(mp, "place_id", "left")
+        stats = stats.join(self._places(), "place_id", "left")
         course = _card_text() if g is not None else F.lit("")
         return stats.select(F.coalesce(course, F.lit("")).alias("course"), "target_race", "target_horse")
 
