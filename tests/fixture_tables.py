@@ -1,4 +1,4 @@
-"""Small hand-made race tables for tests (the reference ships none)."""
+"""Small hand-made race tables for tests (the original program ships none)."""
 
 from __future__ import annotations
 
