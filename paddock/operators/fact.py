@@ -13,9 +13,10 @@ needs:
 Payouts are aggregated to one row per (race, horse number) *before* the
 join, so the join never fans out; a runner with ``n`` payout rows stands
 for ``max(n, 1)`` rows of the original left join, which is what the
-recovery denominator counts.  Horses and jockeys are likewise reduced to
-one row per id, so the fact stays one row per runner and every breakdown
-is computed from a single scan.
+recovery denominator counts.  Horses are reduced to a row count per id
+and jockey rows are numbered per id, so a runner repeats only for a
+duplicated jockey id (normally never) and only its first row feeds the
+non-jockey dimensions.  Every breakdown is computed from this one scan.
 """
 
 from __future__ import annotations
