@@ -123,15 +123,9 @@ def aggregate(rows: DataFrame, group: tuple) -> DataFrame:
                                     *[F.max(f).alias(f) for f in FLAGS])
 
 
-def final_sums(rows: DataFrame, part: tuple = (), clustered: bool = False) -> DataFrame:
-    """Sum ``keyed_sums`` rows per (part, dim, dim_key).
-
-    With ``clustered`` the rows (already one per key and day) are shuffled
-    by (part, dim) so that the aggregation and the rank window of
-    ``finish`` share one shuffle; otherwise partial sums are taken map-side
-    first, which is what rows still per race time need."""
-    if clustered:
-        rows = rows.repartition(*part, "dim")
+def final_sums(rows: DataFrame, part: tuple = ()) -> DataFrame:
+    """Sum ``keyed_sums`` rows per (part, dim, dim_key); partial sums are
+    taken map-side, which the per-race-time rank rows need."""
     return aggregate(rows, (*part, *KEY_COLS))
 
 
