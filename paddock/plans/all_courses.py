@@ -9,8 +9,7 @@ distance, going) and every meeting-day preset is answered by one plan:
 2. the day-level sums (at most 12 days per course) are rolled up into the
    seven presets, which overlap; every measure is a sum (and the side flags
    an OR), so this second aggregation is exact and works on small data;
-   it is clustered by (course, preset, dimension), so
-3. the rank window per (course, preset, dimension) reuses its shuffle.
+3. ranks are taken per (course, preset, dimension) over the aggregated rows.
 
 A slice of the output for one course and preset equals the single-course
 plan for the same criteria (tested).
