@@ -110,7 +110,23 @@ def runner_payouts(runners: DataFrame) -> DataFrame:
     )
 
 
+_BOUND: dict[str, tuple[SparkSession, RaceTables]] = {}
+
+
 def bind_driver_tables(spark: SparkSession, sf_dir: str) -> RaceTables:
+    """The race tables derived from the driver tables in ``sf_dir``.
+
+    The lazy DataFrames are built once per (session, folder) and reused,
+    as a user binds the tables once and runs many analyses on them."""
+    hit = _BOUND.get(sf_dir)
+    if hit is not None and hit[0] is spark and spark.sparkContext._jsc is not None:
+        return hit[1]
+    tables = _bind(spark, sf_dir)
+    _BOUND[sf_dir] = (spark, tables)
+    return tables
+
+
+def _bind(spark: SparkSession, sf_dir: str) -> RaceTables:
     lineitem = _read(spark, sf_dir, "lineitem")
     result = bind_result(lineitem)
 
