@@ -89,30 +89,38 @@ def _row(dim: Dimension, key: str, race: str, time: str, weight: str) -> str:
 def dimension_rows(fact: DataFrame, dims: list[Dimension], carry: tuple = ()) -> DataFrame:
     """One Generate: a row per (runner, dimension), measures times weight.
 
+    Keys are computed first, one column each, so the generated rows only
+    reference columns: the Generate's code stays small enough for the JIT
+    (inlining every bucket CASE into the array made it several times
+    slower).
+
     With the jockey dimension the fact has one row per (runner, jockey row
     of its id): the first carries every dimension, any further one only the
     jockey key.  A jockey key is emitted only when the runner's horse and
     jockey rows exist and the name is not NULL, weighted by the number of
-    horse rows.  Every branch is a plain array of structs, so the Generate
-    stays in whole-stage codegen."""
-    rows = []
-    for d in dims:
+    horse rows."""
+    keys, rows, extra = [], [], []
+    for i, d in enumerate(dims):
         if d.kind == RACE_RANK:
-            rows.append(_row(d, "NULL", "race_id", ident(d.source), "1"))
+            keys.append(f"CAST({ident(d.source)} AS DECIMAL(4,1)) AS k{i}")
+            rows.append(_row(d, "NULL", "race_id", f"k{i}", "1"))
+            extra.append("race_id")
         elif d.kind != JOCKEY:
-            rows.append(_row(d, d.key_sql(), "NULL", "NULL", "1"))
+            keys.append(f"CAST({d.key_sql()} AS STRING) AS k{i}")
+            rows.append(_row(d, f"k{i}", "NULL", "NULL", "1"))
     jockey = [_row(d, "jockey_name", "NULL", "NULL", "horse_n") for d in dims if d.kind == JOCKEY]
-    if not jockey:
-        generated = f"array({', '.join(rows)})"
-        out = fact.selectExpr(*_cols(carry), *measures_sql(), f"inline({generated})")
-    else:
+    if jockey:
+        extra += ["jockey_rn", "jockey_name", "horse_n"]
         first = "coalesce(jockey_rn, 1) = 1"
         named = "horse_n IS NOT NULL AND jockey_name IS NOT NULL"
         generated = (f"CASE WHEN {first} AND {named} THEN array({', '.join(rows + jockey)}) "
                      + (f"WHEN {first} THEN array({', '.join(rows)}) " if rows else "")
                      + f"ELSE array({', '.join(jockey)}) END")
-        keep = f"({first}) OR ({named})" if rows else named
-        out = fact.where(keep).selectExpr(*_cols(carry), *measures_sql(), f"inline({generated})")
+        fact = fact.where(f"({first}) OR ({named})" if rows else named)
+    else:
+        generated = f"array({', '.join(rows)})"
+    keyed = fact.selectExpr(*_cols(carry), *measures_sql(), *keys, *sorted(set(extra)))
+    out = keyed.selectExpr(*_cols(carry), *MEASURES, f"inline({generated})")
     return out.selectExpr(*_cols(carry), *KEY_COLS, *RANK_COLS, "weight AS c_rows",
                           *[f"{m} * weight AS {m}" for m in MEASURES])
 
