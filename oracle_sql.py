@@ -377,18 +377,27 @@ def all_courses_reports_sql(since: str, dims) -> str:
     going = "CASE turf_cond " + " ".join(f"WHEN {q(ja)} THEN {q(en)}" for ja, en in GOING_EN.items()) + " END"
     days = "CASE preset " + " ".join(f"WHEN {p} THEN {q('-'.join(map(str, ds)))}"
                                      for p, ds in sorted(DAY_PRESETS.items())) + " END"
+    nameable = (f"place_id IN ({', '.join(map(str, sorted(PLACE_ROMAJI)))}) "
+                f"AND race_type IN ({', '.join(q(ja) for ja, _ in SURFACE.values())}) "
+                f"AND turf_cond IN ({', '.join(q(ja) for ja in GOING_EN)})")
+    presets = ", ".join(f"({p}, [{', '.join(map(str, ds))}])" for p, ds in sorted(DAY_PRESETS.items()))
+    # every (course, preset) with a race after the cut-off
+    grid = with_binding(f"presets AS (SELECT * FROM (VALUES {presets}) t(preset, pdays))") + (
+        f"SELECT DISTINCT r.place_id, r.race_type, r.length, r.turf_cond, p.preset "
+        f"FROM race r JOIN presets p ON list_contains(p.pdays, r.days) "
+        f"WHERE r.date_and_time > TIMESTAMP {q(since)} AND {nameable.replace('place_id', 'r.place_id').replace('race_type', 'r.race_type').replace('turf_cond', 'r.turf_cond')}")
     parts = []
     for d in dims:
         src = (f"SELECT * REPLACE (CAST(dim_key AS {DUCK_TYPES[d.key_type]}) AS dim_key) "
-               f"FROM ({all_courses_sql(since, [d])}) a "
-               f"WHERE place_id IN ({', '.join(map(str, sorted(PLACE_ROMAJI)))}) "
-               f"AND race_type IN ({', '.join(q(ja) for ja, _ in SURFACE.values())}) "
-               f"AND turf_cond IN ({', '.join(q(ja) for ja in GOING_EN)})")
+               f"FROM ({all_courses_sql(since, [d])}) a WHERE {nameable}")
+        header = "json_array(" + ", ".join(q(h) for h in table_header(d)) + ")"
+        empty = f"""'{{"table_header":' || CAST({header} AS VARCHAR) || ',"data":[]}}'"""
         parts.append(
             f"SELECT {q(d.slug)} || '-' || {place} || '-' || {surface} || '-' || CAST(length AS VARCHAR) "
             f"|| '-' || {going} || '-' || {days} AS analysis_key, place_id, length, {q(d.memo)} AS memo, "
-            f"turf_cond, race_type, {days} AS days, data "
-            f"FROM ({payload_json_sql(d, src, COURSE)}) p")
+            f"turf_cond, race_type, {days} AS days, coalesce(p.data, {empty}) AS data "
+            f"FROM ({grid}) g LEFT JOIN ({payload_json_sql(d, src, COURSE)}) p "
+            f"USING (place_id, race_type, length, turf_cond, preset)")
     return "\nUNION ALL\n".join(parts)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from paddock.operators.breakdown import FLAGS, KEY_COLS, MEASURES, final_sums, finish, keyed_sums
 from paddock.operators.fact import runner_fact
 from paddock.operators.joins import MAX_BROADCAST_ROWS, bounded_broadcast
-from paddock.operators.report import payloads, report_memo_sql
+from paddock.operators.report import payload_header_sql, payloads, report_memo_sql
 from paddock.operators.sink import analysis_frame
 from paddock.plans.course import MIN_JOCKEY_FINISHES, _dims
 from paddock.plans.criteria import COURSE_SINCE, DAY_PRESETS, GOING_EN, SURFACE
@@ -64,21 +64,32 @@ def all_courses_breakdown(tables: RaceTables, since: str = COURSE_SINCE, dims=No
 
 def all_courses_reports(tables: RaceTables, since: str = COURSE_SINCE, dims=INSERTED,
                         min_jockey_finishes: int = MIN_JOCKEY_FINISHES) -> DataFrame:
-    """Analysis rows for every course and preset (one per dimension)."""
+    """Analysis rows for every course and preset with a race: one per
+    dimension, as a single-course run stores them (an empty table when the
+    dimension has no rows)."""
     dims = _dims(dims)
-    everything = all_courses_breakdown(tables, since, dims, min_jockey_finishes)
     # Only courses an analysis key can name: known place, surface and going.
-    everything = everything.where(
-        F.col("place_id").isin(*PLACE_ROMAJI) & F.col("race_type").isin(*[s[0] for s in SURFACE.values()])
-        & F.col("turf_cond").isin(*GOING_EN))
+    nameable = (F.col("place_id").isin(*PLACE_ROMAJI)
+                & F.col("race_type").isin(*[s[0] for s in SURFACE.values()])
+                & F.col("turf_cond").isin(*GOING_EN))
+    everything = all_courses_breakdown(tables, since, dims, min_jockey_finishes).where(nameable)
+    found = payloads(everything, dims, PRESET_COLS)
+    # (course, preset) of every race after the cut-off, times the requested
+    # dimensions: a bounded Generate over the distinct courses, no cross join.
+    slugs = F.array(*[F.lit(d.slug) for d in dims])
+    grid = (tables.race.where(F.col("date_and_time") > F.lit(since).cast("timestamp_ntz")).where(nameable)
+            .select(*COURSE_COLS, F.explode(F.try_element_at(day_presets(), F.col("days"))).alias("preset"))
+            .distinct()
+            .select(*PRESET_COLS, F.explode(slugs).alias("dim")))
+    empty = F.expr(f"""concat('{{"table_header":', {payload_header_sql(dims)}, ',"data":[]}}')""")
     place = F.element_at(_literal_map(PLACE_ROMAJI), F.col("place_id"))
     surface = F.element_at(_literal_map({ja: en for ja, en in SURFACE.values()}), F.col("race_type"))
     going = F.element_at(_literal_map(GOING_EN), F.col("turf_cond"))
     days = F.element_at(_literal_map({p: "-".join(map(str, ds)) for p, ds in DAY_PRESETS.items()}),
                         F.col("preset"))
-    found = payloads(everything, dims, PRESET_COLS)
-    return analysis_frame(found.select(
+    rows = grid.join(found, [*PRESET_COLS, "dim"], "left")
+    return analysis_frame(rows.select(
         F.concat_ws("-", F.col("dim"), place, surface, F.col("length").cast("string"), going, days)
          .alias("analysis_key"),
         "place_id", "length", F.expr(report_memo_sql(dims)).alias("memo"), "turf_cond", "race_type",
-        days.alias("days"), "data"))
+        days.alias("days"), F.coalesce(F.col("data"), empty).alias("data")))
