@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,3 +57,29 @@ def unit_hash(*columns: Column, seed: int) -> Column:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_computed(df: DataFrame, keep: list[str], source: str, compute: Callable[[list], list], added: str) -> DataFrame:
+    """``keep`` columns untouched (Arrow, so NULLs and types stay) and ``added``
+    (a DDL string) as ``compute`` makes them from the values of ``source``."""
+    spec = StructType.fromDDL(added)
+    schema = StructType([df.schema[k] for k in keep] + spec.fields)
+    types = [to_arrow_type(f.dataType) for f in spec.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = compute(batch.column(source).to_pylist())
+            made = [pa.array(v, type=t) for v, t in zip(values, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + made, names=schema.names)
+
+    return df.select(*dict.fromkeys([*keep, source])).mapInArrow(run, schema)
+
+
+def kept_rows(df: DataFrame, source: str, good: Callable[[list], np.ndarray]) -> DataFrame:
+    """The rows of ``df`` for which ``good`` of the values of ``source`` is true, all columns untouched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(good(batch.column(source).to_pylist()), type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

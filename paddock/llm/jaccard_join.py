@@ -44,7 +44,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.llm.common import shuffle_parts, stored
+from paddock.llm.common import shuffle_parts, stored, with_computed
 from paddock.llm.components import components
 from paddock.llm.words import mix, packed, shingles, unpacked, word_hashes
 
@@ -69,15 +69,12 @@ def _signed(values: np.ndarray) -> np.ndarray:
 def set_sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, n, digest) for each row; digest is NULL for empty sets."""
 
-    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingles(w) for w in word_hashes(batch["text"].tolist())]
-            n = np.array([len(s) for s in sets], dtype=np.int64)
-            digest = np.array([_digest(s) if len(s) else 0 for s in sets], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "digest": pd.Series(_signed(digest)).astype("Int64").mask(n == 0)})
+    def sizes(texts: list[str | None]) -> list:
+        sets = [shingles(w) for w in word_hashes(texts)]
+        digest = np.array([_digest(s) if len(s) else 0 for s in sets], dtype=np.uint64)
+        return [[len(s) for s in sets], [int(d) if len(s) else None for d, s in zip(_signed(digest), sets, strict=True)]]
 
-    ids = docs.select("doc_id", "text")
-    return ids.mapInPandas(sizes, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, digest long")
+    return with_computed(docs, ["doc_id"], "text", sizes, "n long, digest long")
 
 
 def _packed_row(bucket: int, digest: np.ndarray, size: np.ndarray, tokens: np.ndarray, shared: np.ndarray | None = None) -> tuple:

@@ -8,20 +8,66 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from paddock.llm.common import table
+from paddock.llm.decontaminate import contaminations
 from paddock.llm.jaccard_join import jaccard_components
+from paddock.llm.mixing import mixed
+from paddock.llm.quality import fit_quality, quality_scores
+from paddock.llm.token_counts import token_counts
 
 WORDS_SQL = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each benchmark passage found: documents without a row are clean."""
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal shares for all sources, as many rows out as in (expected)."""
+    return mixed(table(spark, sf_dir, "documents"))
+
+
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_mix": op2_mix,
+    "op5_tokens": op5_tokens,
+    "op6_quality": op6_quality,
     "op9_jaccard": op9_jaccard,
 }
 
 SQL: dict[str, str] = {
+    "op2_mix": """
+WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+t AS (SELECT CAST(sum(n) AS DOUBLE) AS total, 1.0::DOUBLE / count(*) AS share FROM n),
+r AS (SELECT source, share * total * 1.0::DOUBLE / n AS rate FROM n, t),
+q AS (SELECT source, rate / greatest(ceil(rate / 400), 1) AS rate, CAST(greatest(ceil(rate / 400), 1) AS BIGINT) AS parts FROM r),
+cdf AS (SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM q
+  UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf
+  WHERE k < CAST(trunc(rate + 12 * sqrt(rate) + 20) AS INTEGER)),
+f AS (SELECT source, list(c ORDER BY k) AS cdf FROM cdf GROUP BY source),
+d AS (SELECT doc_id, text, lang, d.source, n_chars, coalesce(CAST(doc_id AS VARCHAR), '') AS name, cdf, unnest(range(0, parts)) AS part
+  FROM documents d JOIN q ON q.source IS NOT DISTINCT FROM d.source JOIN f ON f.source IS NOT DISTINCT FROM d.source),
+u AS (SELECT *, CAST('0x' || substr(md5('17:' || name || '/' || part), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM d),
+m AS (SELECT doc_id, text, lang, source, n_chars, name, CAST(sum(len(list_filter(cdf, lambda c: c <= u))) AS BIGINT) AS copies
+  FROM u GROUP BY ALL),
+e AS (SELECT doc_id, text, lang, source, n_chars, name, unnest(range(0, copies)) AS copy_no FROM m)
+SELECT doc_id, text, lang, source, n_chars, copy_no,
+  CAST('0x' || substr(md5('17:' || name || ':' || copy_no), 1, 12) AS BIGINT) AS mix_key FROM e""",
     "op9_jaccard": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
