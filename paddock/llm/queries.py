@@ -6,11 +6,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paddock.llm.common import table
 from paddock.llm.decontaminate import contaminations
+from paddock.llm.html_text import main_texts
 from paddock.llm.jaccard_join import jaccard_components
+from paddock.llm.language_id import languages, learn_languages
+from paddock.llm.language_model import model_scores
 from paddock.llm.mixing import mixed
+from paddock.llm.neighbours import nearest_vectors
+from paddock.llm.pseudonyms import pseudonymised
 from paddock.llm.quality import fit_quality, quality_scores
 from paddock.llm.token_counts import token_counts
 
@@ -27,6 +33,15 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return languages(docs, learn_languages(docs))
+
+
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,16 +53,34 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the rewritten text, how many values were replaced and where."""
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix": op2_mix,
+    "op3_nearest": op3_nearest,
+    "op4_language": op4_language,
     "op5_tokens": op5_tokens,
     "op6_quality": op6_quality,
+    "op7_html": op7_html,
+    "op8_language_model": op8_language_model,
     "op9_jaccard": op9_jaccard,
+    "op10_pii": op10_pii,
 }
 
 SQL: dict[str, str] = {
