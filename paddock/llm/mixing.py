@@ -14,8 +14,8 @@ source's distribution table is broadcast while there are at most
 Defined cases: a NULL source is a source of its own.  A source without a target
 weight gets none (0 copies); targets default to equal shares.  Repeated rows
 (the same doc_id) get equal counts.  A NULL doc_id counts as the text ''.
-Empty tables give an empty result.  The input's columns pass unchanged; the
-columns added are named by parameters.
+Empty tables give an empty result.  The input's columns pass unchanged; one
+with the name of an added column (``copy``, ``order``) is replaced.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, size: float
     ``size``: expected rows out per row in.  Adds ``copy`` (0, 1, ...) and
     ``order`` (the sort key of the global order)."""
     rates = repetition_rates(docs, weights, size)
-    small = rates.select(F.col("source").alias("source_"), F.col("parts").alias("parts_"), F.col("cdf").alias("cdf_"))
+    small = rates.select(F.col("source").alias("__source"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
     if rates.count() <= MAX_SOURCES:
         small = F.broadcast(small)
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
@@ -79,11 +79,12 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, size: float
     def drawn(part: Column) -> Column:
         """How many values of the distribution function are at most this part's number."""
         u = md5_number(F.concat(F.lit(f"{seed}:"), name, F.lit("/"), part.cast("string"))) / float(1 << 48)
-        return F.size(F.filter("cdf_", lambda c: c <= u)).cast("long")
+        return F.size(F.filter("__cdf", lambda c: c <= u)).cast("long")
 
-    copies = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("parts_") - 1), F.lit(0).cast("long"), lambda sum_, part: sum_ + drawn(part))
-    joined = docs.join(small, F.col("source").eqNullSafe(F.col("source_")))
-    many = joined.withColumn("copies_", copies).where("copies_ > 0").select(*docs.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies_") - 1)).alias(copy))
+    copies = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1), F.lit(0).cast("long"), lambda total, part: total + drawn(part))
+    kept = [c for c in docs.columns if c not in (copy, order)]
+    joined = docs.select(*kept).join(small, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__copies", copies).where("__copies > 0")
+    many = joined.select(*kept, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)).alias(copy))
     key = F.concat(F.lit(f"{seed}:"), name, F.lit(":"), F.col(copy).cast("string"))
     keyed = many.withColumn(order, md5_number(key))
     return keyed.repartition(shuffle_parts(docs.sparkSession), order).sortWithinPartitions(order, "doc_id", copy)

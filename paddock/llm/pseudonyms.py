@@ -19,7 +19,8 @@ assigned secrets (password=..., token = "...").
 Defined cases: NULL stays NULL with no findings; empty texts stay empty.
 Values that fail their check (a wrong check digit, a 31st of February) are left
 alone.  Overlapping findings: the first, at equal start the earlier kind of
-``KINDS``.  Other columns pass unchanged, in whatever order and number.
+``KINDS``.  Other columns pass unchanged, in whatever order and number; one
+called like an added column (n_found, found) is replaced.
 """
 
 from __future__ import annotations
@@ -223,17 +224,22 @@ def pseudonymised(docs: DataFrame, key: bytes = EXAMPLE_KEY) -> DataFrame:
     begin, end: code points of the old text) added.  One narrow pass."""
 
     def run(texts: list[str | None]) -> list:
-        pseudonyms = Pseudonyms(key)
-        new, spans = [], []
-        for t in texts:
-            text, found = rewrite(t, pseudonyms) if t else (t, [])
-            new.append(text)
-            spans.append([{"kind": k, "begin": a, "end": b} for k, a, b in found])
-        return [new, [len(s) for s in spans], spans]
+        done = [rewrite(t, Pseudonyms(key)) if t else (t, []) for t in texts]
+        return [[t for t, _ in done], [len(s) for _, s in done], [[{"kind": k, "begin": a, "end": b} for k, a, b in s] for _, s in done]]
 
-    keep = [c for c in docs.columns if c != "text"]
+    keep = [c for c in docs.columns if c not in ("text", "n_found", "found")]
     out = with_computed(docs, keep, "text", run, "text string, n_found long, found array<struct<kind:string,begin:bigint,end:bigint>>")
-    return out.select(*docs.columns, "n_found", "found")
+    return out.select(*[c for c in docs.columns if c not in ("n_found", "found")], "n_found", "found")
+
+
+def rewritten(docs: DataFrame, key: bytes = EXAMPLE_KEY) -> DataFrame:
+    """The columns of ``docs``, ``text`` with pseudonyms."""
+
+    def run(texts: list[str | None]) -> list:
+        return [[rewrite(t, Pseudonyms(key))[0] if t else t for t in texts]]
+
+    keep = [c for c in docs.columns if c != "text"]
+    return with_computed(docs, keep, "text", run, "text string").select(*docs.columns)
 
 
 def reverse(text: str, key: bytes) -> str:

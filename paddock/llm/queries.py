@@ -93,10 +93,10 @@ cdf AS (SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM q
   UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf
   WHERE k < CAST(trunc(rate + 12 * sqrt(rate) + 20) AS INTEGER)),
 f AS (SELECT source, list(c ORDER BY k) AS cdf FROM cdf GROUP BY source),
-d AS (SELECT doc_id, text, lang, d.source, n_chars, coalesce(CAST(doc_id AS VARCHAR), '') AS name, cdf, unnest(range(0, parts)) AS part
+d AS (SELECT row_number() OVER () AS row, doc_id, text, lang, d.source, n_chars, coalesce(CAST(doc_id AS VARCHAR), '') AS name, cdf, unnest(range(0, parts)) AS part
   FROM documents d JOIN q ON q.source IS NOT DISTINCT FROM d.source JOIN f ON f.source IS NOT DISTINCT FROM d.source),
 u AS (SELECT *, CAST('0x' || substr(md5('17:' || name || '/' || part), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM d),
-m AS (SELECT doc_id, text, lang, source, n_chars, name, CAST(sum(len(list_filter(cdf, lambda c: c <= u))) AS BIGINT) AS copies
+m AS (SELECT row, doc_id, text, lang, source, n_chars, name, CAST(sum(len(list_filter(cdf, lambda c: c <= u))) AS BIGINT) AS copies
   FROM u GROUP BY ALL),
 e AS (SELECT doc_id, text, lang, source, n_chars, name, unnest(range(0, copies)) AS copy_no FROM m)
 SELECT doc_id, text, lang, source, n_chars, copy_no,
