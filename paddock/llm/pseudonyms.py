@@ -93,11 +93,13 @@ class Pseudonyms:
         self.feistel = Feistel(key)
 
     def _digits(self, digits: str, kind: str, back: bool, first: int = 0) -> str:
-        """Digits whose first is at least ``first``."""
-        n, low = 10 ** len(digits), first * 10 ** (len(digits) - 1)
-        if int(digits) < low:
-            low = 0
-        return str(self.feistel.permute(int(digits) - low, n - low, f"{kind}{len(digits)}.{low}", back) + low).zfill(len(digits))
+        """Numbers whose first digit is at least ``first`` among themselves, and so the others."""
+        low, value = first * 10 ** (len(digits) - 1), int(digits)
+        if value < low:
+            new = self.feistel.permute(value, low, f"{kind}{len(digits)}<", back)
+        else:
+            new = low + self.feistel.permute(value - low, 10 ** len(digits) - low, f"{kind}{len(digits)}", back)
+        return str(new).zfill(len(digits))
 
     def _signs(self, text: str, kind: str, back: bool) -> str:
         """Letters for letters and digits for digits; case and other signs stay."""
