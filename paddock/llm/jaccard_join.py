@@ -195,7 +195,7 @@ def _gather(percent: int):
         count = np.diff(np.r_[begin, len(digest)])
         good = np.flatnonzero(100 * count >= percent * size[begin].astype(np.int64))
         return pd.DataFrame({"digest": _signed(digest[begin[good]]), "n": size[begin[good]].astype(np.int64),
-                             "tokens": [_signed(token[begin[g]:begin[g] + count[g]]) for g in good]})
+                             "tokens": pd.Series([_signed(token[begin[g]:begin[g] + count[g]]) for g in good], dtype=object)})
 
     return classes
 
