@@ -9,25 +9,23 @@ the selected runners and joined them on the value:
   left-joined to their win payouts (every runner counts, finisher or not);
 * the same for place payouts.
 
-Here they are one aggregation over one scan.  Every runner row carries its
-count and payout measures and is expanded (one ``Generate``) into one row
-per requested dimension:
-
-* keyed dimensions emit ``(dim, key)``;
-* the jockey dimension emits one row per jockey name the runner joins,
-  weighted by the number of horse rows it joins (inner-join semantics);
-* an in-race rank dimension emits ``(race, time)``: the rank is not known
-  per runner, it comes from the other runners of the race.
-
-A first aggregation (partial sums map-side, one shuffle of partial sums)
-groups these rows.  The in-race rank rows, now one per distinct time of a
-race, go through a window per race -- a bounded group even for a huge race
--- that turns running sums into ranks; their rows are re-keyed by rank
-(separately per side when payout rows repeat, as the original ranked the
-left-joined rows).  A second aggregation over the small re-keyed rows gives
-the final sums.  The inner joins of the original drop the NULL key and any
-value missing from one of the three sides; the ``has_*`` flags keep that
-rule.
+Here each runner row carries its count and payout measures, and every measure
+is summed once per dimension value (partial sums map-side, one shuffle).  The
+dimensions fall in three groups, each with a narrow plan of its own:
+
+* keyed dimensions: one ``Generate`` per runner, a row per dimension, summed
+  per (dim, key);
+* the jockey dimension: summed per (horse id, jockey id), then joined to the
+  horse and jockey rows (inner joins, so repeated or missing rows count as in
+  the original) and summed per name;
+* in-race rank dimensions: summed per (race, time), ranked by a window per
+  race -- a bounded group even for a huge race -- and summed per rank
+  (separately per side when payout rows repeat, as the original ranked the
+  left-joined rows).  With runners already clustered by race, as the race
+  join leaves them, neither the sum nor the window shuffles again.
+
+The inner joins of the original drop the NULL key and any value missing from
+one of the three sides; the ``has_*`` flags keep that rule.
 
 Expressions are written as Spark SQL text (``selectExpr``): the same plan
 as the Column API, built with a handful of calls into the JVM.
@@ -35,20 +33,29 @@ as the Column API, built with a handful of calls into the JVM.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock.functions.sql import ident, quote
 from paddock.functions.text import percent_text_sql, ratio_sql, record_sql
+from paddock.operators.fact import runner_fact
+from paddock.operators.joins import fits
+from paddock.operators.race_rank import value_ranks
 from paddock.plans.dimensions import BUCKET, JOCKEY, RACE_RANK, Dimension
+from paddock.sources.tables import RaceTables
 
 COUNTS = ("no1", "no2", "no3", "no4")
 PAYOUTS = ("w_rows", "w_money", "p_rows", "p_money")
 MEASURES = COUNTS + PAYOUTS
 FLAGS = ("has_c", "has_w", "has_p")
 KEY_COLS = ("dim", "dim_key")
-RANK_COLS = ("rr_race", "rr_time")
 KEY_ORDER_TYPE = "DECIMAL(12,1)"
+# Row bounds for broadcasting the horse and jockey tables (checked on the raw
+# table, an upper bound of the per-id rows actually broadcast).
+MAX_HORSE_ROWS = 2_000_000
+MAX_JOCKEY_ROWS = 1_000_000
 
 METRIC_COLUMNS = (
     "record", "win_rate_pct", "rentai_rate_pct", "fukusho_rate_pct",
@@ -80,61 +87,48 @@ def measures_sql() -> list[str]:
     ]
 
 
-def _row(dim: Dimension, key: str, race: str, time: str, weight: str) -> str:
-    return (f"named_struct('dim', {quote(dim.slug)}, 'dim_key', CAST({key} AS STRING), "
-            f"'rr_race', CAST({race} AS BIGINT), 'rr_time', CAST({time} AS DECIMAL(4,1)), "
-            f"'weight', CAST({weight} AS BIGINT))")
+def _summed(rows: DataFrame, group: tuple, weight: str | None = None) -> DataFrame:
+    """Measures summed per group, times ``weight``; every side has rows."""
+    times = f" * {weight}" if weight else ""
+    return rows.groupBy(*group).agg(*[F.expr(f"sum({m}{times})").alias(m) for m in MEASURES])
+
+
+def _keyed(rows: DataFrame, carry: tuple) -> DataFrame:
+    return rows.selectExpr(*_cols((*carry, *KEY_COLS)), *MEASURES, *[f"1 AS {f}" for f in FLAGS])
 
 
-def dimension_rows(fact: DataFrame, dims: list[Dimension], carry: tuple = ()) -> DataFrame:
-    """One Generate: a row per (runner, dimension), measures times weight.
+def key_sums(fact: DataFrame, dims: list[Dimension], carry: tuple = ()) -> DataFrame:
+    """Raw and bucketed dimensions.
 
     Keys are computed first, one column each, so the generated rows only
     reference columns: the Generate's code stays small enough for the JIT
     (inlining every bucket CASE into the array made it several times
-    slower).
-
-    With the jockey dimension the fact has one row per (runner, jockey row
-    of its id): the first carries every dimension, any further one only the
-    jockey key.  A jockey key is emitted only when the runner's horse and
-    jockey rows exist and the name is not NULL, weighted by the number of
-    horse rows."""
-    keys, rows, extra = [], [], []
-    for i, d in enumerate(dims):
-        if d.kind == RACE_RANK:
-            keys.append(f"CAST({ident(d.source)} AS DECIMAL(4,1)) AS k{i}")
-            rows.append(_row(d, "NULL", "race_id", f"k{i}", "1"))
-            extra.append("race_id")
-        elif d.kind != JOCKEY:
-            keys.append(f"CAST({d.key_sql()} AS STRING) AS k{i}")
-            rows.append(_row(d, f"k{i}", "NULL", "NULL", "1"))
-    jockey = [_row(d, "jockey_name", "NULL", "NULL", "horse_n") for d in dims if d.kind == JOCKEY]
-    if jockey:
-        extra += ["jockey_rn", "jockey_name", "horse_n"]
-        first = "coalesce(jockey_rn, 1) = 1"
-        named = "horse_n IS NOT NULL AND jockey_name IS NOT NULL"
-        generated = (f"CASE WHEN {first} AND {named} THEN array({', '.join(rows + jockey)}) "
-                     + (f"WHEN {first} THEN array({', '.join(rows)}) " if rows else "")
-                     + f"ELSE array({', '.join(jockey)}) END")
-        fact = fact.where(f"({first}) OR ({named})" if rows else named)
-    else:
-        generated = f"array({', '.join(rows)})"
-    keyed = fact.selectExpr(*_cols(carry), *measures_sql(), *keys, *sorted(set(extra)))
-    out = keyed.selectExpr(*_cols(carry), *MEASURES, f"inline({generated})")
-    return out.selectExpr(*_cols(carry), *KEY_COLS, *RANK_COLS, "weight AS c_rows",
-                          *[f"{m} * weight AS {m}" for m in MEASURES])
-
-
-def aggregate(rows: DataFrame, group: tuple) -> DataFrame:
-    """Sum measures and OR the side flags per group (partial aggregation map-side)."""
-    return rows.groupBy(*group).agg(*[F.sum(m).alias(m) for m in MEASURES],
-                                    *[F.max(f).alias(f) for f in FLAGS])
-
-
-def final_sums(rows: DataFrame, part: tuple = ()) -> DataFrame:
-    """Sum ``keyed_sums`` rows per (part, dim, dim_key); partial sums are
-    taken map-side, which the per-race-time rank rows need."""
-    return aggregate(rows, (*part, *KEY_COLS))
+    slower)."""
+    keys = [f"CAST({d.key_sql()} AS STRING) AS k{i}" for i, d in enumerate(dims)]
+    rows = ", ".join(f"named_struct('dim', {quote(d.slug)}, 'dim_key', k{i})" for i, d in enumerate(dims))
+    keyed = fact.selectExpr(*_cols(carry), *measures_sql(), *keys)
+    out = keyed.selectExpr(*_cols(carry), *MEASURES, f"inline(array({rows}))")
+    return _keyed(_summed(out, (*carry, *KEY_COLS)), carry)
+
+
+def jockey_sums(fact: DataFrame, horse: DataFrame, jockey: DataFrame, dim: Dimension,
+                carry: tuple = (), broadcast: bool = True) -> DataFrame:
+    """The jockey dimension: a runner counts once per (horse row, jockey row)
+    of its ids; runners without either are missing.
+
+    Horse and jockey tables are broadcast while within their bounds (and
+    ``broadcast`` holds)."""
+    horses = horse.groupBy(F.col("id").alias("horse_id")).agg(F.count(F.lit(1)).alias("horse_n"))
+    jockeys = jockey.select(F.col("id").alias("jockey_id"), F.col("name").alias("dim_key"))
+    if broadcast and fits(horse, MAX_HORSE_ROWS):
+        horses = F.broadcast(horses)
+    if broadcast and fits(jockey, MAX_JOCKEY_ROWS):
+        jockeys = F.broadcast(jockeys)
+    rows = fact.where("horse_id IS NOT NULL AND jockey_id IS NOT NULL").selectExpr(
+        *_cols(carry), "horse_id", "jockey_id", *measures_sql())
+    pairs = _summed(rows, (*carry, "horse_id", "jockey_id"))
+    named = pairs.join(horses, "horse_id").join(jockeys, "jockey_id")
+    return _keyed(_summed(named, (*carry, "dim_key"), "horse_n").withColumn("dim", F.lit(dim.slug)), carry)
 
 
 def _side(key: str, counts: bool, win: bool, place: bool) -> str:
@@ -147,38 +141,36 @@ def _side(key: str, counts: bool, win: bool, place: bool) -> str:
     return f"named_struct({', '.join(fields)})"
 
 
-def keyed_sums(fact: DataFrame, dims: list[Dimension], carry: tuple = ()) -> DataFrame:
-    """Aggregated rows keyed by (carry, dim, dim_key) with measures and side
-    flags: one row per key for keyed dimensions; for in-race rank
-    dimensions several rows per key (one per race time and side), which
-    ``final_sums`` adds up."""
-    rows = dimension_rows(fact, dims, carry)
-    first = rows.groupBy(*carry, *KEY_COLS, *RANK_COLS).agg(
+def rank_sums(fact: DataFrame, dim: Dimension, carry: tuple = ()) -> DataFrame:
+    """An in-race rank dimension (rank 1: smallest time, NULL first)."""
+    rows = fact.selectExpr(*_cols(carry), "race_id", f"{ident(dim.source)} AS rr_time", "1L AS c_rows", *measures_sql())
+    per_time = rows.groupBy(*carry, "race_id", "rr_time").agg(
         F.sum("c_rows").alias("c_rows"), *[F.sum(m).alias(m) for m in MEASURES])
-    rank_slugs = [d.slug for d in dims if d.kind == RACE_RANK]
-    if not rank_slugs:
-        return first.selectExpr(*_cols(carry), *KEY_COLS, *MEASURES, *[f"1 AS {f}" for f in FLAGS])
-
-    # In-race ranks: 1 + rows of the race with a strictly smaller time (NULL
-    # first).  The window sees one row per distinct time of a race.  Keyed
-    # rows (rr_race NULL) pass through untouched.
-    part = ", ".join(_cols((*carry, "dim", "rr_race")))
-    window = (f"OVER (PARTITION BY {part} ORDER BY rr_time ASC NULLS FIRST "
-              f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
-
-    def rank_by(weight: str) -> str:
-        return f"CAST(1 + coalesce(sum({weight}) {window}, 0) AS BIGINT)"
-
-    ranked = first.selectExpr(*_cols(carry), *KEY_COLS, *MEASURES, f"{rank_by('c_rows')} AS rank_c",
-                              f"{rank_by('w_rows')} AS rank_w", f"{rank_by('p_rows')} AS rank_p")
-    is_rank = f"dim IN ({', '.join(quote(s) for s in rank_slugs)})"
-    one_key = f"CASE WHEN {is_rank} THEN CAST(rank_c AS STRING) ELSE dim_key END"
-    sides = (f"CASE WHEN NOT ({is_rank}) OR (rank_c = rank_w AND rank_c = rank_p) "
-             f"THEN array({_side(one_key, True, True, True)}) "
+    ranked = value_ranks(per_time, (*carry, "race_id"), "rr_time",
+                         {"rank_c": "c_rows", "rank_w": "w_rows", "rank_p": "p_rows"})
+    sides = (f"CASE WHEN rank_c = rank_w AND rank_c = rank_p THEN array({_side('rank_c', True, True, True)}) "
              f"ELSE array({_side('rank_c', True, False, False)}, {_side('rank_w', False, True, False)}, "
              f"{_side('rank_p', False, False, True)}) END")
-    out = ranked.selectExpr(*_cols(carry), "dim", f"inline({sides})")
-    return out.selectExpr(*_cols(carry), *KEY_COLS, *MEASURES, *FLAGS)
+    out = ranked.selectExpr(*_cols(carry), f"{quote(dim.slug)} AS dim", f"inline({sides})")
+    return aggregate(out, (*carry, *KEY_COLS)).selectExpr(*_cols((*carry, *KEY_COLS)), *MEASURES, *FLAGS)
+
+
+def aggregate(rows: DataFrame, group: tuple) -> DataFrame:
+    """Sum measures and OR the side flags per group (partial aggregation map-side)."""
+    return rows.groupBy(*group).agg(*[F.sum(m).alias(m) for m in MEASURES],
+                                    *[F.max(f).alias(f) for f in FLAGS])
+
+
+def breakdown_sums(tables: RaceTables, races: DataFrame, dims: list[Dimension], carry: tuple = (),
+                   races_are_small: bool = False) -> DataFrame:
+    """One row per (carry, dim, dim_key): measures and side flags."""
+    fact = runner_fact(tables, races, carry, races_are_small)
+    parts = [rank_sums(fact, d, carry) for d in dims if d.kind == RACE_RANK]
+    parts += [jockey_sums(fact, tables.horse, tables.jockey, d, carry, races_are_small) for d in dims if d.kind == JOCKEY]
+    keyed = [d for d in dims if d.kind not in (RACE_RANK, JOCKEY)]
+    if keyed:
+        parts.append(key_sums(fact, keyed, carry))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _key_order_sql(dims: list[Dimension]) -> str:

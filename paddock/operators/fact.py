@@ -1,22 +1,18 @@
 """Per-runner fact: selected races x results, with payouts attached.
 
-One row per result row of a selected race, carrying what every breakdown
-needs:
+One row per (selected race row, result row) of a race, carrying what the
+breakdowns need:
 
 * finish position and ``seq`` (the counted column);
 * the raw columns the dimensions are computed from;
 * per ticket type, the number of payout rows the runner joins (``w_n``,
-  ``p_n``) and their sum (``w_sum``, ``p_sum``);
-* optionally, for the jockey breakdown, how many horse rows and which
-  jockey rows the runner joins (``horse_n``, ``jockey_name``, ``jockey_rn``).
+  ``p_n``) and their sum (``w_sum``, ``p_sum``).
 
-Payouts are aggregated to one row per (race, horse number) *before* the
-join, so the join never fans out; a runner with ``n`` payout rows stands
-for ``max(n, 1)`` rows of the original left join, which is what the
-recovery denominator counts.  Horses are reduced to a row count per id
-and jockey rows are numbered per id, so a runner repeats only for a
-duplicated jockey id (normally never) and only its first row feeds the
-non-jockey dimensions.  Every breakdown is computed from this one scan.
+Races join runners by an inner join whatever their number, so a repeated
+race id repeats its runners, as in the original SQL.  Payouts are aggregated
+to one row per (race, horse number) *before* the join, so that join never
+fans out; a runner with ``n`` payout rows stands for ``max(n, 1)`` rows of
+the original left join, which is what the recovery denominator counts.
 """
 
 from __future__ import annotations
@@ -24,15 +20,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.operators.joins import fits
 from paddock.schemas import PLACE_TICKET, WIN_TICKET
 from paddock.sources.tables import RaceTables
 
-# Row bounds for broadcasting the horse and jockey tables (checked on the raw
-# table, an upper bound of the per-id rows actually broadcast).
-MAX_HORSE_ROWS = 2_000_000
-MAX_JOCKEY_ROWS = 1_000_000
-
 RUNNER_COLUMNS = (
     "race_id", "horse_no", "seq", "arrival_order", "horse_id", "jockey_id",
     "frame_no", "popularity_order", "horse_sex", "horse_weight", "horse_age",
@@ -53,50 +43,25 @@ def refund_by_runner(refund: DataFrame) -> DataFrame:
     )
 
 
-def runner_fact(tables: RaceTables, races: DataFrame, race_cols: tuple = (),
-                races_are_small: bool = False, jockeys: bool = False) -> DataFrame:
-    """Selected races (``race_id`` + ``race_cols``) joined to their runners.
+def race_runners(tables: RaceTables, races: DataFrame, races_are_small: bool) -> DataFrame:
+    """Result rows joined to the rows of ``races`` (inner, on ``race_id``).
+
+    ``races_are_small``: ``races`` is a checked broadcast; a result table that
+    is derived per race (``results_of``) is then derived for these races only."""
+    result = tables.results_for(races.select("race_id")) if races_are_small else tables.result
+    return result.select(*RUNNER_COLUMNS).join(races, "race_id")
 
-    When ``races_are_small`` the caller has already wrapped ``races`` in a
-    checked broadcast: results and payouts are then read for those races
-    only (map-side semi join, or the tables' own per-race reader).
-    """
+
+def runner_fact(tables: RaceTables, races: DataFrame, race_cols: tuple = (),
+                races_are_small: bool = False) -> DataFrame:
+    """Runners of the selected races (``race_id`` + ``race_cols``) with payouts."""
     races = races.select("race_id", *race_cols)
-    ids = races.select("race_id")
     if races_are_small:
-        runners = tables.results_for(ids).select(*RUNNER_COLUMNS)
-        if race_cols:
-            runners = runners.join(races, "race_id")
-    else:
-        runners = tables.result.select(*RUNNER_COLUMNS).join(races, "race_id")
-    if tables.payouts_of is not None:
-        fact = tables.payouts_of(runners)
-    elif races_are_small:
-        fact = runners.join(refund_by_runner(tables.refunds_for(ids)), ["race_id", "horse_no"], "left")
+        refund = tables.refund.join(races.select("race_id"), "race_id", "left_semi")
     else:
         # Cluster the payouts by race_id like the race join's output, so the
         # (race_id, horse_no) join need not shuffle the runners again (with
         # spark.sql.requireAllClusterKeysForCoPartition=false, see session.py).
-        pay = refund_by_runner(tables.refund.repartition("race_id"))
-        fact = runners.join(pay, ["race_id", "horse_no"], "left")
-    return with_jockey_keys(fact, tables) if jockeys else fact
-
-
-def with_jockey_keys(fact: DataFrame, tables: RaceTables) -> DataFrame:
-    """Attach ``horse_n`` (rows of the runner's horse id) and the rows of its
-    jockey id (``jockey_name``, ``jockey_rn`` numbering them 1..k).
-
-    The jockey breakdown counts a runner once per (horse row, jockey row)
-    pair, as an inner join would; runners without either are missing from
-    it only.  A runner is repeated once per extra jockey row of its id;
-    only its first row (``jockey_rn`` 1 or NULL) feeds the other
-    dimensions.  Jockey ids are normally unique, so normally k = 1."""
-    horses = tables.horse.groupBy(F.col("id").alias("horse_id")).agg(F.count(F.lit(1)).alias("horse_n"))
-    jockeys = tables.jockey.selectExpr(
-        "id AS jockey_id", "name AS jockey_name",
-        "row_number() OVER (PARTITION BY id ORDER BY name) AS jockey_rn")
-    if fits(tables.horse, MAX_HORSE_ROWS):
-        horses = F.broadcast(horses)
-    if fits(tables.jockey, MAX_JOCKEY_ROWS):
-        jockeys = F.broadcast(jockeys)
-    return fact.join(horses, "horse_id", "left").join(jockeys, "jockey_id", "left")
+        refund = tables.refund.repartition("race_id")
+    return race_runners(tables, races, races_are_small).join(
+        refund_by_runner(refund), ["race_id", "horse_no"], "left")

@@ -1,25 +1,45 @@
-"""In-race rank of a runner column (ascending, NULL first, ties share).
+"""In-race ranks (ascending, NULL first, ties share).
 
 ``RANK() OVER (PARTITION BY race_id ORDER BY c)`` puts a whole race in one
-window task.  Here runners are first counted per (race, value) -- partial
-aggregation map-side -- and the window runs over those counts, at most one
-row per distinct value of a race, so a race holding a large share of all
-rows still gives the window task a bounded group.  Ranks are joined back on
-(race, value) with NULL-safe equality.
+window task.  ``value_ranks`` runs the window over rows already summed per
+(race, value) -- at most one per distinct value of a race, so a race holding a
+large share of all rows still gives the window task a bounded group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paddock.functions.sql import ident
 
-def in_race_rank(runners: DataFrame, column: str, out: str) -> DataFrame:
+# Largest race that is ranked by a window over its runners.
+MAX_RACE_ROWS = 100_000
+
+
+def value_ranks(summed: DataFrame, part: tuple, value: str, weights: dict[str, str]) -> DataFrame:
+    """``summed`` (one row per ``part`` and ``value``) with the ranks in
+    ``weights`` (rank column -> weight column): 1 + the weight of all smaller
+    values."""
+    by = ", ".join(ident(c) for c in part)
+    before = (f"OVER (PARTITION BY {by} ORDER BY {ident(value)} ASC NULLS FIRST "
+              f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+    return summed.selectExpr("*", *[f"CAST(1 + coalesce(sum({ident(w)}) {before}, 0) AS BIGINT) AS {ident(r)}"
+                                    for r, w in weights.items()])
+
+
+def in_race_rank(runners: DataFrame, column: str, out: str, max_race_rows: int = MAX_RACE_ROWS) -> DataFrame:
+    """``runners`` with the in-race rank of ``column``.
+
+    While no race has more than ``max_race_rows`` runners (counted first, over
+    the race ids alone) a plain window ranks them: one scan, one shuffle.
+    Beyond that ranks come from the counts per (race, value), joined back."""
+    largest = runners.groupBy("race_id").count().agg(F.max("count")).first()[0] or 0
+    if largest <= max_race_rows:
+        return runners.selectExpr("*", f"CAST(rank() OVER (PARTITION BY race_id ORDER BY {ident(column)} "
+                                       f"ASC NULLS FIRST) AS INT) AS {ident(out)}")
     counts = runners.groupBy("race_id", column).agg(F.count(F.lit(1)).alias("_n"))
-    before = (Window.partitionBy("race_id").orderBy(F.col(column).asc_nulls_first())
-              .rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.select(
-        F.col("race_id").alias("_rid"), F.col(column).alias("_val"),
-        (F.lit(1) + F.coalesce(F.sum("_n").over(before), F.lit(0))).cast("int").alias(out))
+    ranks = value_ranks(counts, ("race_id",), column, {"_rank": "_n"}).select(
+        F.col("race_id").alias("_rid"), F.col(column).alias("_val"), F.col("_rank").cast("int").alias(out))
     joined = runners.join(ranks, (F.col("race_id") == F.col("_rid")) & F.col(column).eqNullSafe(F.col("_val")))
     return joined.drop("_rid", "_val")

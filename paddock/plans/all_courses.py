@@ -3,12 +3,13 @@
 The original answers one course per run.  Here every (racecourse, surface,
 distance, going) and every meeting-day preset is answered by one plan:
 
-1. runners of all races after the cut-off are expanded to one row per
-   dimension and summed per (course, meeting day, dimension, value) --
-   partial aggregation runs map-side, so the shuffle carries partial sums;
-2. the day-level sums (at most 12 days per course) are rolled up into the
+1. runners of all races after the cut-off are summed per (course, meeting
+   day, dimension, value) -- partial aggregation runs map-side, so the
+   shuffle carries partial sums;
+2. these day-level sums (at most 12 days per course) are rolled up into the
    seven presets, which overlap; every measure is a sum (and the side flags
-   an OR), so this second aggregation is exact and works on small data;
+   an OR), so this second aggregation is exact, and it copies a row per
+   (course, day, value) to two or three presets, never a runner;
 3. ranks are taken per (course, preset, dimension) over the aggregated rows.
 
 A slice of the output for one course and preset equals the single-course
@@ -20,14 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paddock.operators.breakdown import FLAGS, KEY_COLS, MEASURES, final_sums, finish, keyed_sums
-from paddock.operators.fact import runner_fact
+from paddock.operators.breakdown import FLAGS, KEY_COLS, MEASURES, aggregate, breakdown_sums, finish
 from paddock.operators.joins import MAX_BROADCAST_ROWS, bounded_broadcast
 from paddock.operators.report import payload_header_sql, payloads, report_memo_sql
 from paddock.operators.sink import analysis_frame
 from paddock.plans.course import MIN_JOCKEY_FINISHES, _dims
 from paddock.plans.criteria import COURSE_SINCE, DAY_PRESETS, GOING_EN, SURFACE
-from paddock.plans.dimensions import INSERTED, JOCKEY
+from paddock.plans.dimensions import INSERTED
 from paddock.sources.tables import PLACE_ROMAJI, RaceTables
 
 COURSE_COLS = ("place_id", "race_type", "length", "turf_cond")
@@ -53,17 +53,16 @@ def all_courses_breakdown(tables: RaceTables, since: str = COURSE_SINCE, dims=No
     races = tables.race.where(F.col("date_and_time") > F.lit(since).cast("timestamp_ntz")).select(
         "race_id", *carry)
     races, small = bounded_broadcast(races, max_broadcast_rows)
-    fact = runner_fact(tables, races, carry, races_are_small=small,
-                       jockeys=any(d.kind == JOCKEY for d in dims))
-    per_day = keyed_sums(fact, dims, carry)
+    per_day = breakdown_sums(tables, races, dims, carry, small)
     per_preset = per_day.select(
         *COURSE_COLS, F.explode(F.try_element_at(day_presets(), F.col("days"))).alias("preset"),
         *KEY_COLS, *MEASURES, *FLAGS)
-    return finish(final_sums(per_preset, PRESET_COLS), dims, PRESET_COLS, min_jockey_finishes)
+    return finish(aggregate(per_preset, (*PRESET_COLS, *KEY_COLS)), dims, PRESET_COLS, min_jockey_finishes)
 
 
 def all_courses_reports(tables: RaceTables, since: str = COURSE_SINCE, dims=INSERTED,
-                        min_jockey_finishes: int = MIN_JOCKEY_FINISHES) -> DataFrame:
+                        min_jockey_finishes: int = MIN_JOCKEY_FINISHES,
+                        max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Analysis rows for every course and preset with a race: one per
     dimension, as a single-course run stores them (an empty table when the
     dimension has no rows)."""
@@ -72,7 +71,7 @@ def all_courses_reports(tables: RaceTables, since: str = COURSE_SINCE, dims=INSE
     nameable = (F.col("place_id").isin(*PLACE_ROMAJI)
                 & F.col("race_type").isin(*[s[0] for s in SURFACE.values()])
                 & F.col("turf_cond").isin(*GOING_EN))
-    everything = all_courses_breakdown(tables, since, dims, min_jockey_finishes).where(nameable)
+    everything = all_courses_breakdown(tables, since, dims, min_jockey_finishes, max_broadcast_rows).where(nameable)
     found = payloads(everything, dims, PRESET_COLS)
     # (course, preset) of every race after the cut-off, times the requested
     # dimensions: a bounded Generate over the distinct courses, no cross join.

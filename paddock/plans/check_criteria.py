@@ -17,3 +17,7 @@ CHECK_GRADED = Criteria(3, True, 1200, "良", DAY_PRESETS[7], grade_race="URGENT
 # Course mode with the optional predicates switched on.
 CHECK_COURSE_OPT = Criteria(3, True, 1200, "良", DAY_PRESETS[7], since=CHECK_SINCE,
                             months=(1, 2, 3, 4, 5, 6), race_rank="オープン")
+
+# Course mode with name and terms.
+CHECK_COURSE_TERMS = Criteria(3, True, 1200, "良", DAY_PRESETS[7], since=CHECK_SINCE,
+                              name_contains="URGENT", terms="ハンデ")

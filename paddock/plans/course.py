@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock.functions.text import percent_text_expr
-from paddock.operators.breakdown import dimension_view, final_sums, finish, keyed_sums
-from paddock.operators.fact import runner_fact
+from paddock.operators.breakdown import breakdown_sums, dimension_view, finish
+from paddock.operators.fact import race_runners
 from paddock.operators.joins import MAX_BROADCAST_ROWS, bounded_broadcast
 from paddock.operators.report import (
     display,
@@ -26,7 +26,7 @@ from paddock.operators.report import (
 )
 from paddock.operators.sink import analysis_frame, write_analysis
 from paddock.plans.criteria import Criteria
-from paddock.plans.dimensions import DIMENSIONS, INSERTED, JOCKEY, Dimension, dimension
+from paddock.plans.dimensions import DIMENSIONS, INSERTED, Dimension, dimension
 from paddock.sources.tables import RaceTables
 
 MIN_JOCKEY_FINISHES = 20
@@ -60,15 +60,12 @@ class CourseAnalysis:
             self._selected = bounded_broadcast(self.races().select("race_id"), self.max_broadcast_rows)
         return self._selected
 
-    def fact(self, jockeys: bool = False) -> DataFrame:
-        ids, small = self.selected_ids()
-        return runner_fact(self.tables, ids, (), races_are_small=small, jockeys=jockeys)
-
     def _runners(self) -> DataFrame:
+        return race_runners(self.tables, *self.selected_ids())
+
+    def _sums(self, dims: list[Dimension]) -> DataFrame:
         ids, small = self.selected_ids()
-        if small:
-            return self.tables.results_for(ids).select("race_id")
-        return self.tables.result.select("race_id").join(ids, "race_id")
+        return breakdown_sums(self.tables, ids, dims, (), small)
 
     # -- counts -------------------------------------------------------------
     def count_race(self) -> DataFrame:
@@ -81,15 +78,13 @@ class CourseAnalysis:
     def breakdown_all(self, dims=None) -> DataFrame:
         """All requested dimensions in one job, keyed by ``dim`` (slug)."""
         dims = _dims(dims)
-        fact = self.fact(jockeys=any(d.kind == JOCKEY for d in dims))
-        return finish(final_sums(keyed_sums(fact, dims)), dims, (), self.min_jockey_finishes)
+        return finish(self._sums(dims), dims, (), self.min_jockey_finishes)
 
     def side_totals(self, dim) -> DataFrame:
         """Per dimension value, before the NULL-key and three-side rules:
         finish counts, payout-side rows and money (native key type)."""
         d = dim if isinstance(dim, Dimension) else dimension(dim)
-        agg = final_sums(keyed_sums(self.fact(jockeys=d.kind == JOCKEY), [d]))
-        return agg.withColumn("dim_key", F.col("dim_key").cast(d.key_type))
+        return self._sums([d]).withColumn("dim_key", F.col("dim_key").cast(d.key_type))
 
     def arrival_counts(self, dim) -> DataFrame:
         """Finish counts per value (NULL value included)."""
@@ -128,14 +123,19 @@ class CourseAnalysis:
         """One row: the JSON report payload of one dimension."""
         return self.reports([dim]).select("data")
 
-    def reports(self, dims=INSERTED) -> DataFrame:
+    def reports(self, dims=INSERTED, breakdown: DataFrame | None = None) -> DataFrame:
         """Analysis rows, one per dimension in ``dims`` order, from one job.
 
         A dimension with no rows still gets its report (an empty table).
+        ``breakdown``: the result of ``breakdown_all`` if it is at hand.
         """
         dims = _dims(dims)
         c = self.criteria
-        found = payloads(self.breakdown_all(dims), dims)
+        if breakdown is None:
+            breakdown = self.breakdown_all(dims)
+        else:
+            breakdown = breakdown.where(F.col("dim").isin(*[d.slug for d in dims]))
+        found = payloads(breakdown, dims)
         spark = found.sparkSession
         wanted = spark.createDataFrame([(i, d.slug) for i, d in enumerate(dims)], "pos int, dim string")
         empty = F.expr(f"""concat('{{"table_header":', {payload_header_sql(dims)}, ',"data":[]}}')""")
@@ -154,9 +154,9 @@ class CourseAnalysis:
         return analysis_frame(rows)
 
     def insert(self, path: str | None = None, table: str | None = None,
-               dims=INSERTED, fmt: str = "parquet") -> bool:
+               dims=INSERTED, fmt: str = "parquet", breakdown: DataFrame | None = None) -> bool:
         """Append the reports of ``dims`` (default: the seven stored ones)."""
-        return write_analysis(self.reports(dims), path=path, table=table, fmt=fmt)
+        return write_analysis(self.reports(dims, breakdown), path=path, table=table, fmt=fmt)
 
     # -- course card and summary -------------------------------------------
     def _places(self) -> DataFrame:
@@ -166,51 +166,60 @@ class CourseAnalysis:
         return bounded_broadcast(places, MAX_PLACE_ROWS)[0]
 
     def course_card(self) -> DataFrame:
-        """Latest race whose name contains the graded-race text (no date bound)."""
+        """Latest race whose name contains the graded-race text (no date
+        bound); for a course, one row with the empty card text."""
         g = self.criteria.grade_race
+        shown = ("length", "race_type", "circling", "terms")
         if g is None:
-            raise ValueError("the course card needs a graded-race criteria")
+            race = self.tables.race.schema
+            empty = [F.lit(None).cast("string").alias("place_name")]
+            empty += [F.lit(None).cast(race[c].dataType).alias(c) for c in shown]
+            return self.tables.race.sparkSession.range(1).select(*empty, F.lit("").alias("course"))
         mp = self._places()
         latest = (self.tables.race.where(F.col("name").contains(g))
-                  .select("race_id", "date_and_time", "place_id", "length", "race_type",
-                          "circling", "terms")
+                  .select("race_id", "date_and_time", "place_id", *shown)
                   .join(mp, "place_id")
                   .orderBy(F.desc("date_and_time"), F.desc("race_id"))
                   .limit(1))
-        return latest.select("place_name", "length", "race_type", "circling", "terms",
-                             _card_text().alias("course"))
+        return latest.select("place_name", *shown, _card_text().alias("course"))
 
     def summary(self) -> DataFrame:
-        """One row: course card text ('' for a course), races, runners."""
+        """One row: course card text ('' for a course), races, runners.
+
+        Races and card come from one scan of the race table, runners from the
+        same inner join ``count_horse`` uses; both are single partial sums."""
         g = self.criteria.grade_race
-        ids, _ = self.selected_ids()
-        runners = (self.tables.result.select("race_id").join(ids, "race_id")
-                   .groupBy("race_id").agg(F.count(F.lit(1)).alias("n")))
         in_card = F.col("name").contains(g) if g is not None else F.lit(False)
-        stats = (
-            self.tables.race.select(
-                "race_id", self.criteria.predicate().alias("in_sel"), in_card.alias("in_card"),
-                "date_and_time", "place_id", "length", "race_type", "circling", "terms")
+        card = F.struct("place_id", "length", "race_type", "circling", "terms")
+        races = (
+            self.tables.race.withColumns({"in_sel": self.criteria.predicate(), "in_card": in_card})
             .where(F.col("in_sel") | F.col("in_card"))
-            .join(runners, "race_id", "left")
-            .agg(
-                F.count_if("in_sel").alias("target_race"),
-                F.coalesce(F.sum(F.when(F.col("in_sel"), F.col("n"))), F.lit(0)).cast("bigint")
-                 .alias("target_horse"),
-                F.max_by(F.struct("place_id", "length", "race_type", "circling", "terms"),
-                         F.when(F.col("in_card"), F.struct("date_and_time", "race_id"))).alias("card"),
-            )
-            .select("target_race", "target_horse", "card.*")
-        )
+            .select(F.col("in_sel").cast("bigint").alias("races"), F.lit(0).cast("bigint").alias("runners"),
+                    F.when(F.col("in_card"), F.struct("date_and_time", "race_id")).alias("at"), card.alias("card")))
+        runners = self._runners().select(
+            F.lit(0).cast("bigint").alias("races"), F.lit(1).cast("bigint").alias("runners"),
+            F.lit(None).cast(races.schema["at"].dataType).alias("at"),
+            F.lit(None).cast(races.schema["card"].dataType).alias("card"))
+        stats = races.unionByName(runners).agg(
+            F.coalesce(F.sum("races"), F.lit(0)).alias("target_race"),
+            F.coalesce(F.sum("runners"), F.lit(0)).alias("target_horse"),
+            F.max_by("card", "at").alias("card")).select("target_race", "target_horse", "card.*")
         stats = stats.join(self._places(), "place_id", "left")
         course = _card_text() if g is not None else F.lit("")
         return stats.select(F.coalesce(course, F.lit("")).alias("course"), "target_race", "target_horse")
 
 
+# ---------------------------------------------------------------------------
+# The course card text (racecourse, distance, surface, turning
+# direction, conditions).
+# ---------------------------------------------------------------------------
+CARD_TEXT = "開催場所: %s競馬場\n距離: %s\nコース: %s\n周り: %s\n条件: %s\n"
+# ---------------------------------------------------------------------------
+
+
 def _card_text():
     def show(c):
         return F.coalesce(F.col(c).cast("string"), F.lit("None"))
 
-    return F.format_string("開催場所: %s競馬場\n距離: %s\nコース: %s\n周り: %s\n条件: %s\n",
-                           show("place_name"), show("length"), show("race_type"),
+    return F.format_string(CARD_TEXT, show("place_name"), show("length"), show("race_type"),
                            show("circling"), show("terms"))

@@ -8,7 +8,6 @@ below matter and each can be set on an existing session with
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -18,11 +17,14 @@ from pyspark.sql import SparkSession
 # requireAllClusterKeysForCoPartition=false lets the payout join on
 # (race_id, horse_no) reuse the race join's race_id partitioning instead of
 # shuffling the runners a second time (race_id has high cardinality, so
-# partitioning on it alone does not concentrate rows).
+# partitioning on it alone does not concentrate rows).  That reuse would keep
+# AQE from splitting the race join when one race is huge; forceOptimizeSkewedJoin
+# lets it split the join and pay one more shuffle then.
 SQL_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.session.timeZone": "UTC",
 }
@@ -49,26 +51,4 @@ def local_session(cpus: int | None = None, shuffle_partitions: int = 8,
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
-    """Return the cluster's shared checkpoint folder.
-
-    The folder named by ``spark.checkpoint.dir`` is used as is.  Only when it
-    is unset *and* the master is local (tests, bench) is a scratch folder
-    created; on a cluster an unset setting returns None -- a machine-local
-    folder would not survive a lost executor.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
-    if not sc.master.startswith("local"):
-        return None
-    path = tempfile.mkdtemp(prefix="paddock-ckpt-")
-    sc.setCheckpointDir(path)
-    return sc.getCheckpointDir()

@@ -5,10 +5,10 @@ and jockeys are derived deterministically from ``orders``, ``lineitem``,
 ``part`` and ``supplier`` (FIXTURES.md section 4).  The oracle SQL in
 ``oracle_sql.py`` derives the same tables with the same formulas.
 
-Every derived column is a built-in expression.  The only shuffle is the
-finish-position rank per order (``lineitem`` by ``l_orderkey``); its output
-stays hash-partitioned by ``race_id``, which the refund aggregation and
-the race join reuse.
+Every derived column is a built-in expression.  Deriving ``result`` shuffles
+once, for the finish-position rank per order (``lineitem`` by ``l_orderkey``);
+its output stays hash-partitioned by ``race_id``, which the refund aggregation
+and the race join reuse.
 """
 
 from __future__ import annotations
@@ -76,40 +76,18 @@ def bind_refund(result: DataFrame) -> DataFrame:
     (race, horse number, ticket type), the largest when numbers repeat.
 
     Both tickets of a (race, horse number) are computed in one aggregation
-    keyed by (race, horse number) and then split into rows, so the table
-    comes out hash-partitioned by the key the payout join and the per-runner
-    payout sums use."""
-    per_runner = (
-        result.where("arrival_order <= 3")
-        .groupBy("race_id", "horse_no")
-        .agg(F.max(F.expr("CASE WHEN arrival_order = 1 THEN 110 + (horse_id * 37) % 1900 END")).alias("win"),
-             F.max(F.expr("100 + (horse_id * 17) % 400")).alias("place"))
-    )
+    keyed by (race, horse number) and then split into rows.  Conditions stand
+    inside the aggregates, so a semi join on race ids is pushed down to the
+    scan."""
+    per_runner = result.groupBy("race_id", "horse_no").agg(
+        F.max(F.expr("CASE WHEN arrival_order = 1 THEN 110 + (horse_id * 37) % 1900 END")).alias("win"),
+        F.max(F.expr("CASE WHEN arrival_order <= 3 THEN 100 + (horse_id * 17) % 400 END")).alias("place"))
     tickets = (f"filter(array(named_struct('ticket_type', {WIN_TICKET}, 'refund', win), "
                f"named_struct('ticket_type', {PLACE_TICKET}, 'refund', place)), t -> t.refund IS NOT NULL)")
     return per_runner.selectExpr("race_id", "horse_no", f"inline({tickets})").selectExpr(
         "race_id", "horse_no", "CAST(ticket_type AS INT) AS ticket_type", "CAST(refund AS BIGINT) AS refund")
 
 
-def runner_payouts(runners: DataFrame) -> DataFrame:
-    """Per-runner payout counts and sums, equal to joining ``bind_refund``.
-
-    The derived payout of a (race, horse number) and ticket exists when one
-    of its runners qualifies and is the largest amount among them, so it is
-    a window over the runners of that (race, horse number).  ``runners``
-    holds whole races and is already clustered by race, so the window needs
-    no shuffle.
-    """
-    w = "OVER (PARTITION BY race_id, horse_no)"
-    return runners.selectExpr(
-        "*",
-        f"max(CASE WHEN arrival_order = 1 THEN 1 ELSE 0 END) {w} AS w_n",
-        f"max(CASE WHEN arrival_order = 1 THEN 110 + (horse_id * 37) % 1900 END) {w} AS w_sum",
-        f"max(CASE WHEN arrival_order <= 3 THEN 1 ELSE 0 END) {w} AS p_n",
-        f"max(CASE WHEN arrival_order <= 3 THEN 100 + (horse_id * 17) % 400 END) {w} AS p_sum",
-    )
-
-
 _BOUND: dict[str, tuple[SparkSession, RaceTables]] = {}
 
 
@@ -150,6 +128,4 @@ def _bind(spark: SparkSession, sf_dir: str) -> RaceTables:
         jockey=jockey,
         master_place=master_place_df(spark),
         results_of=results_of,
-        refunds_of=lambda race_ids: bind_refund(results_of(race_ids)),
-        payouts_of=runner_payouts,
     )

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DecimalType, StructField, StructType
 
 from paddock.schemas import TABLE_SCHEMAS
 
@@ -25,12 +27,9 @@ PLACE_ROMAJI = {1: "sapporo", 2: "hakodate", 3: "fukushima", 4: "niigata", 5: "t
 class RaceTables:
     """Lazy DataFrames of the race schema (see ``paddock.schemas``).
 
-    ``results_of`` / ``refunds_of`` optionally give the rows of a set of
-    races (a DataFrame of ``race_id``) more cheaply than filtering the whole
-    table afterwards -- e.g. when ``result`` is itself derived per race.
-    ``payouts_of`` optionally attaches each runner's payout counts and sums
-    (see ``paddock.operators.fact``) when the payouts are a function of the
-    runners of the same race, so no separate payout table is joined.
+    ``results_of`` optionally gives the result rows of a set of races (a
+    DataFrame of ``race_id``) more cheaply than joining the whole table --
+    when ``result`` is itself derived per race.
     """
 
     race: DataFrame
@@ -40,19 +39,10 @@ class RaceTables:
     jockey: DataFrame
     master_place: DataFrame
     results_of: Callable[[DataFrame], DataFrame] | None = None
-    refunds_of: Callable[[DataFrame], DataFrame] | None = None
-    payouts_of: Callable[[DataFrame], DataFrame] | None = None
 
     def results_for(self, race_ids: DataFrame) -> DataFrame:
-        """Result rows of the races in ``race_ids`` (small, broadcast)."""
-        if self.results_of is not None:
-            return self.results_of(race_ids)
-        return self.result.join(race_ids, "race_id", "left_semi")
-
-    def refunds_for(self, race_ids: DataFrame) -> DataFrame:
-        if self.refunds_of is not None:
-            return self.refunds_of(race_ids)
-        return self.refund.join(race_ids, "race_id", "left_semi")
+        """The result table, or only its rows of the races in ``race_ids``."""
+        return self.result if self.results_of is None else self.results_of(race_ids)
 
 
 def master_place_df(spark: SparkSession) -> DataFrame:
@@ -66,19 +56,42 @@ def read_tables(spark: SparkSession, root: str, fmt: str = "parquet",
     """Read ``{root}/{table}`` for each table with its fixed schema.
 
     ``master_place`` falls back to the built-in ten racecourses when the
-    folder has none.
+    folder has none.  The fourth-corner column may be called ``corner4`` or,
+    as the course statistics have it, ``4c``.
     """
     opts = options or {}
 
-    def load(name: str) -> DataFrame:
-        return spark.read.schema(TABLE_SCHEMAS[name]).format(fmt).options(**opts).load(f"{root}/{name}")
+    def load(name: str, schema: StructType | None = None) -> DataFrame:
+        return spark.read.schema(schema or TABLE_SCHEMAS[name]).format(fmt).options(**opts).load(f"{root}/{name}")
 
     try:
         master_place = load("master_place")
-    except Exception:  # no master_place folder: use the fixed table
+        master_place.columns
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         master_place = master_place_df(spark)
-    return RaceTables(load("race"), load("result"), load("refund"), load("horse"),
-                      load("jockey"), master_place)
+    # Files without column names are read by position.
+    named = fmt != "csv" or str(opts.get("header", "false")).lower() == "true"
+    have = spark.read.format(fmt).options(**opts).load(f"{root}/result").columns if named else ["corner4"]
+    if "corner4" in have:
+        result = load("result")
+    elif "4c" in have:
+        fields = [StructField("4c", f.dataType) if f.name == "corner4" else f for f in TABLE_SCHEMAS["result"].fields]
+        result = load("result", StructType(fields)).withColumnRenamed("4c", "corner4")
+    else:
+        raise ValueError("the result table has neither corner4 nor 4c")
+    return RaceTables(load("race"), result, load("refund"), load("horse"), load("jockey"), master_place)
+
+
+def exact(column: str, kind: DataType) -> Column:
+    """A column as ``kind``; a decimal that would lose digits raises."""
+    as_kind = F.col(f"`{column}`").cast(kind)
+    if isinstance(kind, DecimalType):
+        lost = F.col(f"`{column}`").isNotNull() & ~F.col(f"`{column}`").eqNullSafe(as_kind)
+        as_kind = F.when(lost, F.raise_error(F.concat(F.lit(f"{column} does not fit {kind.simpleString()}: "),
+                                                      F.col(f"`{column}`").cast("string")))).otherwise(as_kind)
+    return as_kind.alias(column)
 
 
 def read_jdbc_tables(spark: SparkSession, url: str, properties: dict,
@@ -101,7 +114,7 @@ def read_jdbc_tables(spark: SparkSession, url: str, properties: dict,
         schema = TABLE_SCHEMAS[name]
         if name == "result" and "4c" in df.columns:
             df = df.withColumnRenamed("4c", "corner4")
-        return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+        return df.select([exact(f.name, f.dataType) for f in schema.fields])
 
     return RaceTables(load("race"), load("result", True), load("refund", True), load("horse"),
                       load("jockey"), load("master_place"))

@@ -6,11 +6,13 @@ bounds set to 0 -- the shape they take when every table is large.
 """
 
 import re
+from dataclasses import replace
 
 import pytest
 
-import paddock.operators.fact as fact_mod
-from paddock import CourseAnalysis
+from fixture_tables import random_tables as random_race_tables
+from fixture_tables import write_tables as write_fixture_tables
+from paddock import CourseAnalysis, Criteria
 from paddock.plans.all_courses import all_courses_breakdown
 from paddock.plans.check_criteria import CHECK_COURSE, CHECK_SINCE
 from paddock.sources import bind_driver_tables, read_tables, write_tables
@@ -28,13 +30,11 @@ def real_tables(spark, sf_small, tmp_path_factory):
 
 
 @pytest.fixture()
-def no_broadcast(spark, monkeypatch):
+def no_broadcast(spark):
     keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
     before = {k: spark.conf.get(k, None) for k in keys}
     for k in keys:
         spark.conf.set(k, "-1")
-    monkeypatch.setattr(fact_mod, "MAX_HORSE_ROWS", 0)
-    monkeypatch.setattr(fact_mod, "MAX_JOCKEY_ROWS", 0)
     yield
     for k, v in before.items():
         if v is None:
@@ -52,15 +52,67 @@ def test_real_tables_give_the_binding_results(spark, sf_small, real_tables):
 
 def test_all_courses_plan_shape(real_tables, no_broadcast):
     df = all_courses_breakdown(real_tables, CHECK_SINCE, max_broadcast_rows=0)
-    plan = plan_text(df)
-    # result is scanned once and shuffled once (by race_id); the payout join
-    # on (race_id, horse_no) reuses that partitioning
-    result_scans = re.findall(r"FileScan parquet .*Location: [^\n]*/result\]", plan)
-    assert len(result_scans) == 1, plan
-    assert "hashpartitioning(race_id" in plan
-    assert not re.search(r"hashpartitioning\(race_id#\d+L, horse_no", plan), plan
+    lines = plan_text(df).splitlines()
+    # Three narrow plans (in-race rank, jockey, keyed): one scan of result each, with its own columns only.
+    scans = [line for line in lines if "FileScan parquet" in line and line.split("Location:")[1].split("]")[0].endswith("/result")]
+    assert len(scans) == 3 and not any("popularity_order" in s for s in scans[:2]) and "seconds_3f" in scans[0]
+    # The payout join on (race_id, horse_no) reuses the race join's partitioning.
+    assert not any(re.search(r"hashpartitioning\(race_id#\d+L, horse_no", line) for line in lines)
+    # Rank rows: no shuffle between the race join and the window; only they pass it.
+    windows = [i for i, line in enumerate(lines) if re.search(r"Window \[sum.*race_id", line)]
+    assert len(windows) == 1
+    below = next(line for line in lines[windows[0]:] if "Exchange" in line)
+    assert re.search(r"Exchange hashpartitioning\(race_id#\d+L, \d+\)", below)
+    # Presets are exploded above the day-level sums.
+    explode = next(i for i, line in enumerate(lines) if "Generate explode(element_at(map" in line)
+    assert "HashAggregate" not in lines[explode + 1] and any("HashAggregate" in line for line in lines[explode:explode + 4])
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
-        assert bad not in plan
+        assert not any(bad in line for line in lines)
+
+
+def test_one_dimension_has_one_sum(real_tables, no_broadcast):
+    """Scan and payout sums aside, a keyed dimension is summed once, over its key alone."""
+    plan = plan_text(CourseAnalysis(real_tables, CHECK_COURSE, max_broadcast_rows=0).breakdown_all(["popularity_order"]))
+    by_key = re.findall(r"Exchange hashpartitioning\(([^)]*dim_key[^)]*)\)", plan)
+    assert len(by_key) == 1 and "race" not in by_key[0]
+
+
+def test_rank_in_race_scans_once(real_tables):
+    from paddock.operators.race_rank import in_race_rank
+
+    runners = real_tables.result.select("race_id", "horse_no", "seq", "seconds_3f")
+    plan = plan_text(in_race_rank(runners, "seconds_3f", "r"))
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning(race_id") == 1
+    a = sorted(map(str, in_race_rank(runners, "seconds_3f", "r").collect()))
+    assert a == sorted(map(str, in_race_rank(runners, "seconds_3f", "r", max_race_rows=0).collect()))
+
+
+def test_hot_race_join_is_split(spark, tmp_path_factory, no_broadcast):
+    """One race with about 40 % of the runners: AQE splits the race join, values stay."""
+    root = str(tmp_path_factory.mktemp("hot"))
+    write_fixture_tables(random_race_tables(spark, 7, n_races=800, hot_runners=3000), root)
+    # A partition is split between the tasks that wrote it, so the runners come from several.
+    spark.read.parquet(f"{root}/result").repartition(8).write.parquet(f"{root}/spread/result")
+    tables = replace(read_tables(spark, root), result=spark.read.parquet(f"{root}/spread/result"))
+    graded = Criteria(3, True, 1200, "良", (1,), grade_race="", since="2000-01-01 00:00:00")
+
+    def run():
+        df = CourseAnalysis(tables, graded, max_broadcast_rows=0).breakdown_all(["frame_no", "seconds_3f_rank"])
+        rows = sorted(map(str, df.collect()))
+        return rows, plan_text(df).split("== Initial Plan ==")[0]
+
+    want, plain = run()
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got, plan = run()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want and "skew=true" in plan and "skew=true" not in plain
 
 
 def test_dimension_generate_is_codegen(real_tables):
