@@ -14,7 +14,6 @@ Layout
 ``functions``  column expressions (buckets, labels, percent text)
 ``operators``  joins, aggregations, windows, report building, sinks
 ``plans``      criteria, the dimension catalog, course and all-course plans
-``streaming``  (empty on purpose: the workload has no streaming operator)
 """
 
 from paddock.plans.criteria import Criteria, DAY_PRESETS

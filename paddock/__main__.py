@@ -77,16 +77,16 @@ def main(argv: list[str] | None = None) -> int:
     try:
         for d in DIMENSIONS:
             print(f"\n{c.analysis_key(d.slug)}  {d.memo}")
-            display(dimension_view(everything, d), d).show(200, truncate=False)
+            table = display(dimension_view(everything, d), d)
+            table.show(max(1, table.count()), truncate=False)
+        if args.insert:
+            ok = a.insert(path=args.insert, breakdown=everything)
+            print("inserted" if ok else "insert failed")
+            return 0 if ok else 1
+        return 0
     finally:
         everything.unpersist()
 
-    if args.insert:
-        ok = a.insert(path=args.insert)
-        print("inserted" if ok else "insert failed")
-        return 0 if ok else 1
-    return 0
-
 
 if __name__ == "__main__":
     sys.exit(main())

@@ -14,9 +14,6 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from paddock.functions.sql import quote
 
 # ---------------------------------------------------------------------------
@@ -110,31 +107,3 @@ def label_sql(bucket: str, labels: dict) -> str:
     """Simple CASE from bucket id to label; unknown id gives NULL."""
     whens = " ".join(f"WHEN {bucket_id} THEN {quote(text)}" for bucket_id, text in labels.items())
     return f"(CASE {bucket} {whens} END)"
-
-
-def bucket_expr(value: Column | str, rules: list) -> Column:
-    """Bucket of a column given by name (one SQL CASE) or as a Column."""
-    if isinstance(value, str):
-        return F.expr(bucket_sql(value, rules))
-    expr = None
-    for bucket_id, (op, *bounds) in rules:
-        if op == "between":
-            cond = value.between(F.lit(bounds[0]), F.lit(bounds[1]))
-        elif op == "eq":
-            cond = value == F.lit(bounds[0])
-        elif op == "lt":
-            cond = value < F.lit(bounds[0])
-        else:
-            cond = value >= F.lit(bounds[0])
-        expr = F.when(cond, F.lit(bucket_id)) if expr is None else expr.when(cond, F.lit(bucket_id))
-    return expr
-
-
-def label_expr(bucket: Column | str, labels: dict) -> Column:
-    if isinstance(bucket, str):
-        return F.expr(label_sql(bucket, labels))
-    expr = None
-    for bucket_id, text in labels.items():
-        cond = bucket == F.lit(bucket_id)
-        expr = F.when(cond, F.lit(text)) if expr is None else expr.when(cond, F.lit(text))
-    return expr

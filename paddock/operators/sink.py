@@ -21,22 +21,26 @@ def write_analysis(df: DataFrame, path: str | None = None, table: str | None = N
                    fmt: str = "parquet", mode: str = "append") -> bool:
     """Append report rows; True on success, False when the write fails.
 
-    All reports of a run go out in one write (one job, one commit), so a
-    failed run leaves no partial set behind.  Task retries after a lost
-    executor are handled by Spark's output committer.
+    The reports (a row per dimension) are computed first: an error in
+    computing them is raised, only write errors give False.  All reports of a
+    run go out in one write (one job, one commit), so a failed run leaves no
+    partial set behind.  Task retries after a lost executor are handled by
+    Spark's output committer.
     """
-    rows = analysis_frame(df)
+    if table is None and path is None:
+        raise ValueError("write_analysis needs a path or a table")
+    rows = analysis_frame(df).persist()
     try:
-        writer = rows.write.mode(mode).format(fmt)
-        if table is not None:
-            writer.saveAsTable(table)
-        elif path is not None:
-            writer.save(path)
-        else:
-            raise ValueError("write_analysis needs a path or a table")
-        return True
-    except ValueError:
-        raise
-    except Exception as exc:  # write errors are reported, not raised
-        log.error("analysis insert failed: %s", exc)
-        return False
+        rows.count()
+        try:
+            writer = rows.write.mode(mode).format(fmt)
+            if table is not None:
+                writer.saveAsTable(table)
+            else:
+                writer.save(path)
+            return True
+        except Exception as exc:  # write errors are reported, not raised
+            log.error("analysis insert failed: %s", exc)
+            return False
+    finally:
+        rows.unpersist()

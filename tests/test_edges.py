@@ -10,17 +10,21 @@ from pyspark.sql.types import DecimalType, IntegerType, LongType, StructField, S
 from fixture_tables import DAY, make_tables, race_row, result_row
 from paddock import CourseAnalysis, Criteria
 from paddock.functions.buckets import (
+    HORSE_WEIGHT_LABELS,
     HORSE_WEIGHT_RULES,
+    LAST_3F_LABELS,
     LAST_3F_RULES,
+    LEG_TYPE_LABELS,
     LEG_TYPE_RULES,
-    bucket_expr,
+    bucket_sql,
+    label_sql,
 )
 from paddock.functions.text import percent_text_expr
 
 
 def _buckets(spark, values, rules, dtype):
     df = spark.createDataFrame([(v,) for v in values], StructType([StructField("v", dtype)]))
-    return [r.b for r in df.select(bucket_expr(F.col("v"), rules).alias("b")).collect()]
+    return [r.b for r in df.select(F.expr(bucket_sql("v", rules)).alias("b")).collect()]
 
 
 def test_leg_type_buckets(spark):
@@ -39,6 +43,17 @@ def test_last_3f_buckets(spark):
     assert got == [None, 1, 1, 2, 2, 9, 10, None]
 
 
+def test_labels(spark):
+    df = spark.createDataFrame([(1,), (3,), (10,), (11,), (None,)], "b int")
+
+    def labels(texts):
+        return [r.t for r in df.select(F.expr(label_sql("b", texts)).alias("t")).collect()]
+
+    assert labels(LEG_TYPE_LABELS) == ["逃げ", "差し", None, None, None]
+    assert labels(HORSE_WEIGHT_LABELS) == ["~ 419kg", "440kg ~459kg", None, None, None]
+    assert labels(LAST_3F_LABELS) == ["31.5 ~ 31.9", "32.5 ~ 32.9", "36.0 ~", None, None]
+
+
 def test_last_3f_gap_values_are_null(spark):
     # a finer-grained time between two buckets matches no rule
     got = _buckets(spark, [Decimal("31.95"), Decimal("32.45")], LAST_3F_RULES, DecimalType(5, 2))
