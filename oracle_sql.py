@@ -14,19 +14,121 @@ times first, rate ranks put NULL rates last.
 
 from __future__ import annotations
 
-from paddock.plans.check_criteria import CHECK_COURSE, CHECK_COURSE_OPT, CHECK_GRADED, CHECK_SINCE
-from paddock.plans.criteria import DAY_PRESETS, GOING_EN, SURFACE, Criteria
-from paddock.plans.dimensions import (
-    BUCKET,
-    DIMENSIONS,
-    INSERTED,
-    JOCKEY,
-    RACE_RANK,
-    Dimension,
-    dimension,
-    table_header,
+from dataclasses import dataclass
+
+# Nothing is imported from the library: presets, keys, bucket edges, labels,
+# headers and names are written out here, so a wrong value on either side shows.
+
+# ---------------------------------------------------------------------------
+# Racecourses, surfaces, goings, meeting-day presets, cut-offs.
+# ---------------------------------------------------------------------------
+PLACE_NAMES = {1: "札幌", 2: "函館", 3: "福島", 4: "新潟", 5: "東京",
+               6: "中山", 7: "中京", 8: "京都", 9: "阪神", 10: "小倉"}
+PLACE_ROMAJI = {1: "sapporo", 2: "hakodate", 3: "fukushima", 4: "niigata", 5: "tokyo",
+                6: "nakayama", 7: "chukyo", 8: "kyoto", 9: "hanshin", 10: "kokura"}
+SURFACE = {True: ("芝", "turf"), False: ("ダ", "dirt")}
+GOING_EN = {"良": "good", "重": "bad", "稍重": "litle_bad"}
+DAY_PRESETS = {1: (1, 2), 2: (3, 4), 3: (5, 6), 4: (7, 8), 5: (1, 2, 3, 4),
+               6: (5, 6, 7, 8, 9, 10, 11, 12), 7: (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12)}
+TABLE_COLUMNS = ("着度数", "勝率", "連対率", "複勝率", "単回値", "複回値")
+# ---------------------------------------------------------------------------
+
+RAW, BUCKET, RACE_RANK, JOCKEY = "raw", "bucket", "race_rank", "jockey"
+
+
+@dataclass(frozen=True)
+class Dim:
+    """A dimension as the statements need it: SQL of key and label written out."""
+
+    name: str
+    query: str
+    slug: str
+    column_ja: str
+    header: str
+    memo: str
+    kind: str
+    source: str
+    key_type: str
+    bucket: str = ""
+    label: str = ""
+
+
+DIMENSIONS = (
+    Dim("frame_no", "by_frame_no", "wakuban", "枠番", "枠番", "枠番別成績", RAW, "frame_no", "int"),
+    Dim("horse_no", "by_horse_no", "umaban", "馬番", "馬番", "馬番別成績", RAW, "horse_no", "int"),
+    Dim("popularity_order", "by_popularity", "ninnki", "人気順", "人気", "人気順成績", RAW, "popularity_order", "int"),
+    Dim("horse_sex", "by_horse_sex", "seibetu", "性別", "性別", "性別別成績", RAW, "horse_sex", "string"),
+    Dim("leg_type", "by_leg_type", "kyakusitu", "脚質", "脚質", "脚質別成績", BUCKET, "corner4", "int",
+        "CASE WHEN {c} = 1 THEN 1 WHEN {c} BETWEEN 2 AND 6 THEN 2 WHEN {c} BETWEEN 7 AND 14 THEN 3 WHEN {c} >= 14 THEN 4 END",
+        "CASE {k} WHEN 1 THEN '逃げ' WHEN 2 THEN '先行' WHEN 3 THEN '差し' WHEN 4 THEN '追込' END"),
+    Dim("horse_weight", "by_horse_weight", "bataijuu", "馬体重", "馬体重", "馬体重別成績", BUCKET, "horse_weight", "int",
+        "CASE WHEN {c} < 420 THEN 1 WHEN {c} BETWEEN 420 AND 439 THEN 2 WHEN {c} BETWEEN 440 AND 459 THEN 3 "
+        "WHEN {c} BETWEEN 460 AND 479 THEN 4 WHEN {c} BETWEEN 480 AND 499 THEN 5 WHEN {c} BETWEEN 500 AND 519 THEN 6 "
+        "WHEN {c} >= 520 THEN 7 END",
+        "CASE {k} WHEN 1 THEN '~ 419kg' WHEN 2 THEN '420kg ~ 439kg' WHEN 3 THEN '440kg ~459kg' WHEN 4 THEN '460kg ~ 479kg' "
+        "WHEN 5 THEN '480kg ~ 499kg' WHEN 6 THEN '500kg ~ 519kg' WHEN 7 THEN '520kg ~ ' END"),
+    Dim("horse_age", "by_horse_age", "barei", "馬齢", "馬齢", "馬齢別成績", RAW, "horse_age", "int"),
+    Dim("jokey_weight", "by_carried_weight", "kinryo", "斤量", "斤量", "斤量別成績", RAW, "jokey_weight", "decimal(4,1)"),
+    Dim("seconds_3f", "by_seconds_3f", "last3f", "3Fタイム", "3Fタイム", "上がり3Fタイム別成績", BUCKET, "seconds_3f", "int",
+        "CASE WHEN {c} BETWEEN 31.5 AND 31.9 THEN 1 WHEN {c} BETWEEN 32.0 AND 32.4 THEN 2 WHEN {c} BETWEEN 32.5 AND 32.9 THEN 3 "
+        "WHEN {c} BETWEEN 33.0 AND 33.4 THEN 4 WHEN {c} BETWEEN 33.5 AND 33.9 THEN 5 WHEN {c} BETWEEN 34.0 AND 34.4 THEN 6 "
+        "WHEN {c} BETWEEN 34.5 AND 34.9 THEN 7 WHEN {c} BETWEEN 35.0 AND 35.4 THEN 8 WHEN {c} BETWEEN 35.5 AND 35.9 THEN 9 "
+        "WHEN {c} >= 36.0 THEN 10 END",
+        "CASE {k} WHEN 1 THEN '31.5 ~ 31.9' WHEN 2 THEN '32.0 ~ 32.4' WHEN 3 THEN '32.5 ~ 32.9' WHEN 4 THEN '33.0 ~ 33.4' "
+        "WHEN 5 THEN '33.5 ~ 33.9' WHEN 6 THEN '34.0 ~  34.4' WHEN 7 THEN '34.5 ~ 34.9' WHEN 8 THEN '35.0 ~ 35.4' "
+        "WHEN 9 THEN '35.5 ~ 35.9' WHEN 10 THEN '36.0 ~' END"),
+    Dim("seconds_3f_rank", "by_seconds_3f_rank", "3f_rank", "3F速さ順位", "3F速さ順位", "3F速さ順位", RACE_RANK, "seconds_3f", "int"),
+    Dim("jockey", "by_jockey", "jockey", "騎手", "騎手", "騎手別", JOCKEY, "jockey_id", "string"),
 )
-from paddock.sources.tables import PLACE_NAMES, PLACE_ROMAJI
+# The dimensions that a run stores, in order.
+INSERTED = ("frame_no", "horse_no", "horse_weight", "popularity_order", "leg_type", "seconds_3f", "seconds_3f_rank")
+
+
+def dimension(name) -> Dim:
+    """By name; a library dimension (tests pass them) gives its own entry here."""
+    name = getattr(name, "name", name)
+    return next(d for d in DIMENSIONS if d.name == name)
+
+
+def table_header(dim: Dim) -> list[str]:
+    return [dim.header, *TABLE_COLUMNS]
+
+
+@dataclass(frozen=True)
+class Selection:
+    """The races of a statement and the course fields of its keys."""
+
+    place_id: int
+    is_turf: bool
+    length: int
+    turf_cond: str
+    days: tuple
+    cutoff: str
+    grade_race: str | None = None
+    months: tuple | None = None
+    name_contains: str | None = None
+    terms: str | None = None
+    race_rank: str | None = None
+
+    @property
+    def race_type(self) -> str:
+        return SURFACE[self.is_turf][0]
+
+    @property
+    def days_str(self) -> str:
+        return "-".join(map(str, self.days))
+
+    def analysis_key(self, slug: str) -> str:
+        return f"{slug}-{PLACE_ROMAJI[self.place_id]}-{SURFACE[self.is_turf][1]}-{self.length}-{GOING_EN[self.turf_cond]}-{self.days_str}"
+
+
+# The selections of the registered queries.
+CHECK_SINCE = "1996-01-01 09:50:00"
+_ALL_DAYS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12)
+CHECK_COURSE = Selection(3, True, 1200, "良", _ALL_DAYS, CHECK_SINCE)
+CHECK_GRADED = Selection(3, True, 1200, "良", _ALL_DAYS, CHECK_SINCE, grade_race="URGENT")
+CHECK_COURSE_OPT = Selection(3, True, 1200, "良", _ALL_DAYS, CHECK_SINCE, months=(1, 2, 3, 4, 5, 6), race_rank="オープン")
+CHECK_COURSE_TERMS = Selection(3, True, 1200, "良", _ALL_DAYS, CHECK_SINCE, name_contains="URGENT", terms="ハンデ")
 
 BINDING = """
 race AS (
@@ -96,7 +198,7 @@ def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def race_pred(c: Criteria) -> str:
+def race_pred(c: Selection) -> str:
     after = f"date_and_time > TIMESTAMP {q(c.cutoff)}"
     if c.grade_race is not None:
         return f"contains(name, {q(c.grade_race)}) AND {after}"
@@ -113,26 +215,10 @@ def race_pred(c: Criteria) -> str:
     return " AND ".join(preds)
 
 
-def _lit(v) -> str:
-    return str(v)
-
-
-def _rule_sql(col: str, rule: tuple) -> str:
-    op = rule[0]
-    if op == "eq":
-        return f"{col} = {_lit(rule[1])}"
-    if op == "lt":
-        return f"{col} < {_lit(rule[1])}"
-    if op == "ge":
-        return f"{col} >= {_lit(rule[1])}"
-    return f"{col} BETWEEN {_lit(rule[1])} AND {_lit(rule[2])}"
-
-
-def key_sql(dim: Dimension, alias: str = "re", partition: str = "re.race_id") -> str:
+def key_sql(dim: Dim, alias: str = "re", partition: str = "re.race_id") -> str:
     col = f"{alias}.{dim.source}"
     if dim.kind == BUCKET:
-        whens = " ".join(f"WHEN {_rule_sql(col, r)} THEN {b}" for b, r in dim.rules)
-        return f"CASE {whens} END"
+        return dim.bucket.format(c=col)
     if dim.kind == JOCKEY:
         return "j.name"
     if dim.kind == RACE_RANK:
@@ -140,10 +226,9 @@ def key_sql(dim: Dimension, alias: str = "re", partition: str = "re.race_id") ->
     return col
 
 
-def label_sql(dim: Dimension, key: str = "k") -> str:
+def label_sql(dim: Dim, key: str = "k") -> str:
     if dim.kind == BUCKET:
-        whens = " ".join(f"WHEN {b} THEN {q(t)}" for b, t in dim.labels)
-        return f"CASE {key} {whens} END"
+        return dim.label.format(k=key)
     return f"CAST({key} AS VARCHAR)"
 
 
@@ -205,20 +290,21 @@ def metrics_sql(partition: str = "") -> str:
   CASE WHEN p_money >= 100 * p_n THEN 1 ELSE 0 END AS d_win_recovery_100_over"""
 
 
-def _base(dim: Dimension, races: str) -> str:
+def _base(dim: Dim, races: str) -> str:
     base = f"result re JOIN {races} USING (race_id)"
     if dim.kind == JOCKEY:
         base += " JOIN horse h ON re.horse_id = h.id JOIN jockey j ON re.jockey_id = j.id"
     return base
 
 
-def breakdown_ctes(c: Criteria, dim: Dimension) -> list[str]:
+def breakdown_ctes(c: Selection, dim: Dim) -> list[str]:
     return [f"sel AS (SELECT race_id FROM race WHERE {race_pred(c)})",
             *side_ctes("", _base(dim, "sel"), key_sql(dim))]
 
 
-def breakdown_sql(c: Criteria, dim: Dimension, min_jockey_finishes: int = 20,
+def breakdown_sql(c: Selection, dim: Dim, min_jockey_finishes: int = 20,
                   binding: bool = True) -> str:
+    dim = dimension(dim)
     body = (f"SELECT CAST(k AS {DUCK_TYPES[dim.key_type]}) AS dim_key, {label_sql(dim)} AS dim_value,"
             f"{metrics_sql()}")
     if dim.kind == JOCKEY:
@@ -229,19 +315,19 @@ def breakdown_sql(c: Criteria, dim: Dimension, min_jockey_finishes: int = 20,
     return sql
 
 
-def over_breakdown(c: Criteria, dim: Dimension, select: str) -> str:
+def over_breakdown(c: Selection, dim: Dim, select: str) -> str:
     return f"SELECT {select} FROM ({breakdown_sql(c, dim)}) b"
 
 
 # -- fine-grained operators -------------------------------------------------
 
-def arrival_counts_sql(c: Criteria, dim: Dimension) -> str:
+def arrival_counts_sql(c: Selection, dim: Dim) -> str:
     return (with_binding(*breakdown_ctes(c, dim)) +
             f"SELECT CAST(k AS {DUCK_TYPES[dim.key_type]}) AS dim_key, no1, no2, no3, no4, "
             f"no1 + no2 + no3 + no4 AS total_count FROM cnt")
 
 
-def recovery_sql(c: Criteria, dim: Dimension, side: str) -> str:
+def recovery_sql(c: Selection, dim: Dim, side: str) -> str:
     name = "win_recovery" if side == "win" else "d_win_recovery"
     return (with_binding(*breakdown_ctes(c, dim)) +
             f"SELECT CAST(k AS {DUCK_TYPES[dim.key_type]}) AS dim_key, n AS runners, money AS payout, "
@@ -267,7 +353,7 @@ def colours_select() -> str:
             "CASE WHEN d_win_recovery_100_over = 1 THEN 'yellow' END AS d_win_recovery_color")
 
 
-def display_select(dim: Dimension) -> str:
+def display_select(dim: Dim) -> str:
     label = "dim_value" if dim.kind == BUCKET else "dim_key"
     return (f'{label} AS "{dim.column_ja}", record AS "着度数", win_rate_pct AS "勝率", '
             'rentai_rate_pct AS "連対率", fukusho_rate_pct AS "複勝率", '
@@ -284,7 +370,7 @@ def _card_text(alias: str = "") -> str:
             + show("terms") + " || chr(10)")
 
 
-def course_card_sql(c: Criteria) -> str:
+def course_card_sql(c: Selection) -> str:
     return (with_binding(f"""latest AS (
   SELECT mp.name AS place_name, r.length, r.race_type, r.circling, r.terms
   FROM race r JOIN master_place mp ON r.place_id = mp.id
@@ -293,7 +379,7 @@ def course_card_sql(c: Criteria) -> str:
   LIMIT 1)""") + f"SELECT place_name, length, race_type, circling, terms, {_card_text()} AS course FROM latest")
 
 
-def summary_sql(c: Criteria) -> str:
+def summary_sql(c: Selection) -> str:
     card = (f"(SELECT course FROM ({course_card_sql(c)}) cc)" if c.grade_race is not None else "''")
     return (with_binding(f"sel AS (SELECT race_id FROM race WHERE {race_pred(c)})") +
             f"SELECT coalesce({card}, '') AS course, "
@@ -303,7 +389,7 @@ def summary_sql(c: Criteria) -> str:
 
 # -- JSON payloads ------------------------------------------------------------
 
-def payload_json_sql(dim: Dimension, source: str, group: str = "") -> str:
+def payload_json_sql(dim: Dim, source: str, group: str = "") -> str:
     """``group`` columns + ``data`` JSON built from a breakdown subquery."""
     label = "dim_value" if dim.kind == BUCKET else "dim_key"
 
@@ -330,9 +416,9 @@ def payload_json_sql(dim: Dimension, source: str, group: str = "") -> str:
     return f"SELECT {data} AS data FROM ({source}) b"
 
 
-def analysis_rows_sql(c: Criteria, dims, min_jockey_finishes: int = 20, binding: bool = True) -> str:
+def analysis_rows_sql(c: Selection, dims, min_jockey_finishes: int = 20, binding: bool = True) -> str:
     parts = []
-    for d in dims:
+    for d in map(dimension, dims):
         parts.append(
             f"SELECT {q(c.analysis_key(d.slug))} AS analysis_key, CAST({c.place_id} AS INTEGER) AS place_id, "
             f"CAST({c.length} AS INTEGER) AS length, {q(d.memo)} AS memo, {q(c.turf_cond)} AS turf_cond, "
@@ -346,6 +432,37 @@ def analysis_rows_sql(c: Criteria, dims, min_jockey_finishes: int = 20, binding:
 COURSE = "place_id, race_type, length, turf_cond, preset"
 
 
+def breakdown_all_sql(c: Selection) -> str:
+    """All dimensions, told apart by slug."""
+    parts = []
+    for i, d in enumerate(DIMENSIONS):
+        order = "CAST(b.dim_key AS DECIMAL(12,1))" if d.key_type != "string" else "CAST(NULL AS DECIMAL(12,1))"
+        total = "total_count" if d.kind == JOCKEY else "CAST(split_part(record, '/', 2) AS BIGINT)"
+        parts.append(f"SELECT {q(d.slug)} AS dim, CAST(b.dim_key AS VARCHAR) AS dim_key, {order} AS key_order, dim_value, record, "
+                     f"win_rate_pct, rentai_rate_pct, fukusho_rate_pct, win_rate_ranking, rentai_rate_ranking, fukusho_rate_ranking, "
+                     f"win_recovery_rate, d_win_recovery_rate, win_recovery_100_over, d_win_recovery_100_over, {total} AS total_count "
+                     f"FROM ({breakdown_sql(c, d)}) b")
+    return "\nUNION ALL\n".join(parts)
+
+
+def highlight_sql(c: Selection, dim: Dim) -> str:
+    """Cells as JSON text: {value, schema}."""
+    def cell(value, colour="NULL"):
+        return f"CAST(json_object('value', {value}, 'schema', {colour}) AS VARCHAR)"
+
+    def by_rank(col):
+        return f"CASE {col} WHEN 1 THEN 'yellow' WHEN 2 THEN 'blue' WHEN 3 THEN 'red' END"
+
+    def over(col):
+        return f"CASE WHEN {col} = 1 THEN 'yellow' END"
+
+    return over_breakdown(c, dim, (
+        f'dim_key, {cell("dim_value" if dim.kind == BUCKET else "dim_key")} AS "{dim.column_ja}", {cell("record")} AS "着度数", '
+        f'{cell("win_rate_pct", by_rank("win_rate_ranking"))} AS "勝率", {cell("rentai_rate_pct", by_rank("rentai_rate_ranking"))} AS "連対率", '
+        f'{cell("fukusho_rate_pct", by_rank("fukusho_rate_ranking"))} AS "複勝率", '
+        f'{cell("win_recovery_rate", over("win_recovery_100_over"))} AS "単回値", {cell("d_win_recovery_rate", over("d_win_recovery_100_over"))} AS "複回値"'))
+
+
 def all_courses_sql(since: str, dims=DIMENSIONS, min_jockey_finishes: int = 20,
                     binding: bool = True) -> str:
     presets = ", ".join(f"({p}, [{', '.join(map(str, ds))}])" for p, ds in sorted(DAY_PRESETS.items()))
@@ -425,6 +542,10 @@ def oracle_statements() -> dict[str, str]:
         "dim_key, win_rate_pct, rentai_rate_pct, fukusho_rate_pct, win_rate_ranking, "
         "rentai_rate_ranking, fukusho_rate_ranking")
     out["rank_3f_in_race"] = rank_3f_sql()
+    out["course_all_dims"] = breakdown_all_sql(CHECK_COURSE)
+    out["course_races_terms"] = with_binding() + f"SELECT * FROM race WHERE {race_pred(CHECK_COURSE_TERMS)}"
+    out["course_summary_course"] = summary_sql(CHECK_COURSE)
+    out["highlight_structs"] = highlight_sql(CHECK_COURSE, dimension("leg_type"))
     out["highlight_cells"] = over_breakdown(CHECK_COURSE, dimension("frame_no"), colours_select())
     out["display_popularity"] = over_breakdown(CHECK_COURSE, dimension("popularity_order"),
                                                display_select(dimension("popularity_order")))
