@@ -37,6 +37,10 @@ from paddock.llm.common import with_computed
 
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
+# Lengths of account numbers (IBAN) by country.
+IBAN_LENGTHS = {"AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27,
+                "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27,
+                "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26}
 # For tests and examples: production runs pass their own key.
 EXAMPLE_KEY = b"paddock example key"
 
@@ -128,13 +132,21 @@ class Pseudonyms:
         return f"{self._signs(name, 'email', back)}@{self._signs(stem, 'host', back)}{dot}{top}"
 
     def iban(self, m: re.Match, back: bool) -> str | None:
-        plain = re.sub(r"\s", "", m[0])
+        whole = m[0]
+        length = IBAN_LENGTHS.get(whole[:2])
+        if length:
+            # What follows a number of known length is not part of it.
+            ends = [i + 1 for i, c in enumerate(whole) if not c.isspace()]
+            if len(ends) < length or len(ends) > length and whole[ends[length - 1]] != " ":
+                return None
+            whole = whole[:ends[length - 1]]
+        plain = re.sub(r"\s", "", whole)
         number = lambda s: int("".join(str(int(c, 36)) for c in s))
         if not 15 <= len(plain) <= 34 or number(plain[4:] + plain[:4]) % 97 != 1:
             return None
         body = self._signs(plain[4:], "iban" + plain[:2], back)
         it = iter(plain[:2] + f"{98 - number(body + plain[:2] + '00') % 97:02d}" + body)
-        return "".join(c if c.isspace() else next(it) for c in m[0])
+        return "".join(c if c.isspace() else next(it) for c in whole)
 
     def card(self, m: re.Match, back: bool) -> str | None:
         digits = re.sub(r"\D", "", m[0])
@@ -195,7 +207,9 @@ KINDS: tuple[tuple[str, str, re.Pattern], ...] = (
     ("day", "0123456789", re.compile(r"(?<![\w./])(?P<day>[0-9]{2})(?P<s>[./])(?P<month>[0-9]{2})(?P=s)(?P<year>[0-9]{4})(?![\w/])")),
     ("ip", "0123456789", re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])")),
     ("ssn", "0123456789", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
-    ("card", "0123456789", re.compile(r"(?<![\w-])(?<![0-9][.])[1-9](?:[ -]?[0-9]){11,17}[ -]?[0-9](?![\w-])")),
+    ("card", "0123456789", re.compile(r"(?<!\w)(?<![0-9][.,-])[1-9][0-9]{12,18}(?![0-9A-Za-z])(?![.,-][0-9])")),
+    ("card", "0123456789", re.compile(r"(?<![\w-])(?<![0-9][.,])[1-9][0-9]{3}(?P<s>[ -])(?:[0-9]{4}(?P=s)[0-9]{4}(?P=s)[0-9]{4}|[0-9]{6}(?P=s)[0-9]{5})(?![0-9A-Za-z])")),
+    ("phone", "0123456789", re.compile(r"(?<![\w+])(?P<country>\+1[ .-]?)(?P<rest>(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4})(?![0-9A-Za-z])")),
     ("phone", "0123456789", re.compile(r"(?<![\w+])(?P<country>\+[0-9]{1,3}[ .-]?)(?P<rest>(?:\([0-9]{1,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4})(?![\w-])")),
     ("phone", "0123456789", re.compile(r"(?<![\w+(])(?P<country>)(?P<rest>(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4})(?![\w-])")),
 )
@@ -215,6 +229,8 @@ def rewrite(text: str, pseudonyms: Pseudonyms, back: bool = False) -> tuple[str,
     parts, spans, at = [], [], 0
     for begin, _, end, kind, m in found:
         if begin >= at and (new := getattr(pseudonyms, kind)(m, back)) is not None:
+            if kind == "iban":              # may be shorter than what its pattern took
+                end = begin + len(new)
             parts += [text[at:begin], new]
             spans.append((kind, begin, end))
             at = end

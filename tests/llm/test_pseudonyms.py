@@ -51,6 +51,17 @@ def test_formats_are_kept(value, shape):
         assert one(text, b"other key")[0] != new
 
 
+def test_neighbouring_values_are_told_apart():
+    text = "4665471787434696 86.227.24.100 +1 (632) 555-4827 86.227.24.100 4111 1111 1111 1111 22 DE89 3704 0044 0532 0130 00 1234 5678 378282246310005."
+    new, spans = one(text)
+    assert [(k, text[a:b]) for k, a, b in spans] == [
+        ("card", "4665471787434696"), ("ip", "86.227.24.100"), ("phone", "+1 (632) 555-4827"), ("ip", "86.227.24.100"), ("card", "4111 1111 1111 1111"),
+        ("iban", "DE89 3704 0044 0532 0130 00"), ("card", "378282246310005")]
+    assert P.reverse(new, KEY) == text
+    ips = re.findall(r"\d+\.\d+\.\d+\.\d+", new)
+    assert len(ips) == 2 and len(set(ips)) == 1
+
+
 def test_new_values_are_valid_and_linked():
     new, _ = one("4111 1111 1111 1111 and 4111111111111111 and 1985-02-28 or 28.02.1985")
     a, b = new.split(" and ")[:2]
