@@ -59,6 +59,17 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# Rows of an Arrow batch that are handled at once: texts, their hashes and sets
+# are held for so many rows only.
+SLICE_ROWS = 1024
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def with_computed(df: DataFrame, keep: list[str], source: str, compute: Callable[[list], list], added: str) -> DataFrame:
     """``keep`` columns untouched (Arrow, so NULLs and types stay) and ``added``
     (a DDL string) as ``compute`` makes them from the values of ``source``."""
@@ -67,7 +78,7 @@ def with_computed(df: DataFrame, keep: list[str], source: str, compute: Callable
     types = [to_arrow_type(f.dataType) for f in spec.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             values = compute(batch.column(source).to_pylist())
             made = [pa.array(v, type=t) for v, t in zip(values, types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + made, names=schema.names)
@@ -79,7 +90,7 @@ def kept_rows(df: DataFrame, source: str, good: Callable[[list], np.ndarray]) ->
     """The rows of ``df`` for which ``good`` of the values of ``source`` is true, all columns untouched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(good(batch.column(source).to_pylist()), type=pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -46,10 +46,10 @@ from pyspark.sql import functions as F
 
 from paddock.llm.common import shuffle_parts, stored, with_computed
 from paddock.llm.components import components
-from paddock.llm.words import mix, packed, shingles, unpacked, word_hashes
+from paddock.llm.words import each_words, mix, packed, shingles, unpacked
 
-BLOCK_TOKENS = 1_500_000
-BUCKET_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
+BUCKET_TOKENS = 1_000_000
 LOW_BITS = np.uint64(40)
 LOW_MASK = np.uint64((1 << 40) - 1)
 MEMBERS, OUTSIDERS = 1024, 128
@@ -70,9 +70,9 @@ def set_sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, n, digest) for each row; digest is NULL for empty sets."""
 
     def sizes(texts: list[str | None]) -> list:
-        sets = [shingles(w) for w in word_hashes(texts)]
-        digest = np.array([_digest(s) if len(s) else 0 for s in sets], dtype=np.uint64)
-        return [[len(s) for s in sets], [int(d) if len(s) else None for d, s in zip(_signed(digest), sets, strict=True)]]
+        found = [(len(s), _digest(s) if len(s) else 0) for s in map(shingles, each_words(texts))]
+        digest = _signed(np.array([d for _, d in found], dtype=np.uint64)).tolist()
+        return [[n for n, _ in found], [d if n else None for (n, _), d in zip(found, digest, strict=True)]]
 
     return with_computed(docs, ["doc_id"], "text", sizes, "n long, digest long")
 
@@ -135,7 +135,7 @@ def _dealer(buckets: int):
         held: dict[int, np.ndarray] = {}
         tokens = 0
         for batch in batches:
-            for words in word_hashes(batch["text"].tolist()):
+            for words in each_words(batch["text"].tolist()):
                 if len(words):
                     values = shingles(words)
                     if held.setdefault(_digest(values), values) is values:

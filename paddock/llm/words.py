@@ -107,6 +107,12 @@ def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
+def each_words(texts: list[str | None], at_once: int = 512) -> Iterator[np.ndarray]:
+    """``word_hashes`` of many texts, a few at a time."""
+    for at in range(0, len(texts), at_once):
+        yield from word_hashes(texts[at:at + at_once])
+
+
 def shingles(words: np.ndarray, width: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``width`` words.
 
