@@ -10,7 +10,7 @@ The vocabulary is examined once, on the driver, with the library itself:
 * ``whole``: the vocabulary strings that the library encodes alone as one
   token.  A pre-token among them counts 1 without any merging.
 
-Only the rest is merged by the library, each distinct pre-token once per task
+Only the rest is merged by the library, each distinct pre-token once per worker
 while it stays in a bounded table.  If a vocabulary does not allow the proof,
 ``prove`` raises.
 
@@ -83,6 +83,17 @@ class PieceCounter:
         return sum(counts) + text.count("\n") * self.line_feed
 
 
+_COUNTERS: dict[bytes, PieceCounter] = {}
+
+
+def counter_of(model: bytes, whole: list[str]) -> PieceCounter:
+    """This worker's counter: what it has merged serves its later tasks too."""
+    if model not in _COUNTERS:
+        _COUNTERS.clear()
+        _COUNTERS[model] = PieceCounter(model, whole)
+    return _COUNTERS[model]
+
+
 def token_counts(docs: DataFrame, model_path: str, over: int = OVER) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``docs``.
 
@@ -91,12 +102,10 @@ def token_counts(docs: DataFrame, model_path: str, over: int = OVER) -> DataFram
         model = f.read()
     whole = PieceCounter(model).prove()
 
-    counter: list[PieceCounter] = []      # one for each task
-
     def count(texts: list[str | None]) -> list:
-        if not counter:
-            counter.append(PieceCounter(model, whole))
-        tokens = [counter[0].count(t) for t in texts]
+        from paddock.llm import token_counts as worker
+
+        tokens = list(map(worker.counter_of(model, whole).count, texts))
         return [[len((t or "").encode("utf-8", "surrogatepass")) for t in texts], tokens, [n > over for n in tokens]]
 
     return with_computed(docs, ["doc_id"], "text", count, "n_bytes long, n_tokens long, over_limit boolean")
