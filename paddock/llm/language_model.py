@@ -42,10 +42,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock.llm.common import new_path, remainder, shuffle_parts, with_computed
-from paddock.llm.words import mix, word_hashes
+from paddock.llm.words import each_words, mix, word_hashes
 
 BLOCK_TOKENS = 2_500_000
 SCORE_TOKENS = 400_000
+BUCKET_BYTES = 16 << 20          # text whose pairs make one bucket
 HOT_SHARE = 2_000
 START, END = np.uint64(0x1D8E4E27C47D124F), np.uint64(0x7B1C5F0A9E6D3B85)
 _SHIFT = np.uint64(16)
@@ -145,7 +146,7 @@ class Folder:
 def _blocks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[list[np.ndarray]]:
     held, n = [], 0
     for batch in batches:
-        for words in word_hashes(batch["text"].tolist()):
+        for words in each_words(batch["text"].tolist()):
             held.append(words)
             n += len(words) + 1
             if n >= size:
@@ -372,7 +373,8 @@ def learn(docs: DataFrame) -> KneserNey:
     uri = new_path(spark, "kneser-ney")
     folder = Folder(uri)
     texts = docs.select("text")
-    buckets = shuffle_parts(spark)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(shuffle_parts(spark), size // BUCKET_BYTES + 1)
     words = texts.mapInPandas(_count_words(buckets), _WORDS).groupBy("bucket").applyInPandas(_write_words(folder), _STATS).collect()
     vocabulary, tokens = (sum(r["numbers"][k] for r in words) for k in (0, 1))
     hot = [START >> _SHIFT]
