@@ -64,6 +64,14 @@ def shuffle_parts(spark: SparkSession) -> int:
 SLICE_ROWS = 1024
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts: Spark's default of 10 000 rows holds tens of
+    MB in the JVM and in each worker.  A smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= SLICE_ROWS:
+        spark.conf.set(name, str(SLICE_ROWS))
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
@@ -83,6 +91,7 @@ def with_computed(df: DataFrame, keep: list[str], source: str, compute: Callable
             made = [pa.array(v, type=t) for v, t in zip(values, types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + made, names=schema.names)
 
+    small_batches(df.sparkSession)
     return df.select(*dict.fromkeys([*keep, source])).mapInArrow(run, schema)
 
 
@@ -93,4 +102,5 @@ def kept_rows(df: DataFrame, source: str, good: Callable[[list], np.ndarray]) ->
         for batch in slices(batches):
             yield batch.filter(pa.array(good(batch.column(source).to_pylist()), type=pa.bool_()))
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)

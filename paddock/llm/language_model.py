@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.llm.common import new_path, remainder, shuffle_parts, with_computed
+from paddock.llm.common import new_path, remainder, shuffle_parts, small_batches, with_computed
 from paddock.llm.words import each_words, mix, word_hashes
 
 BLOCK_TOKENS = 2_500_000
@@ -370,6 +370,7 @@ class KneserNey:
 def learn(docs: DataFrame) -> KneserNey:
     """Counts all texts of ``docs``; driver-side are only some numbers a bucket."""
     spark = docs.sparkSession
+    small_batches(spark)
     uri = new_path(spark, "kneser-ney")
     folder = Folder(uri)
     texts = docs.select("text")
