@@ -12,6 +12,14 @@ apart.  So, for a block of texts at a time:
 3. bands that reach the lemma's bound are verified by an alignment of the item
    that is restricted to the band's diagonals.
 
+Parts of long items count too: an item of more than ``WINDOW`` bytes of normal
+form (about 50 English words) is also searched by its windows of that length,
+one every ``STRIDE`` bytes and one at its end, by the same lemma and alignment
+with a tenth of the window as budget.  So every copied part that holds a window
+is found, whatever else of the item is missing: any run of ``WINDOW + STRIDE``
+bytes, most exact ones of ``WINDOW``.  Items of at most ``WINDOW`` bytes count as a
+whole only.
+
 Texts are compared on a normal form: A-Z and Latin-1 capitals lower-cased,
 every run of other ASCII characters than letters and digits one space.  The
 result depends on no sample or prefix: whole texts, all items.
@@ -23,7 +31,9 @@ so a larger benchmark costs passes, not memory.
 Defined cases: NULL or empty texts and items match nothing.  Items whose normal
 form is shorter than q must occur exactly.  Repeated rows give repeated
 matches; an item that occurs twice in a text gives its best occurrence (the
-first of those) per overlapping band group.  Other columns are ignored.  Empty
+first of those) per overlapping band group.  Windows of an item that overlap in
+a text give one row from the first begin to the last end with the edits of the
+best window; beside a copy of the whole item they give none.  Other columns are ignored.  Empty
 tables give an empty result.
 """
 
@@ -39,6 +49,7 @@ from paddock.llm.common import kept_rows, with_computed
 
 Q = 8
 BUDGET = 0.10
+WINDOW, STRIDE = 320, 80
 CHUNK = 1 << 20
 BLOCK_BYTES = 4 << 20
 _BITS = 22
@@ -111,6 +122,20 @@ def band_distance(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tu
     return int(cost[k]), int(begin[k]), int(d[k] + len(item))
 
 
+def grouped(hits: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """(edits, begin, end) by overlapping runs."""
+    groups: list[list[tuple[int, int, int]]] = []
+    last = 0
+    for h in sorted(hits, key=lambda h: (h[1], h[0])):
+        if groups and h[1] < last:
+            groups[-1].append(h)
+        else:
+            groups.append([h])
+            last = 0
+        last = max(last, h[2])
+    return groups
+
+
 class ItemIndex:
     """q-gram table of a block of items."""
 
@@ -132,6 +157,11 @@ class ItemIndex:
         # Band width: at least the item's budget, so that a copy lies in two neighbours at most.
         self.shift = np.array([max(3, int(e).bit_length()) for e in self.budget], dtype=np.int64)
         self.margin = int((self.length.max(initial=1) // 512 + 1) * 512) << max(0, int(self.shift.max(initial=3)) - 9)
+        # Windows of the long items: item and offset, the first window of each item.
+        begins = [[*range(0, len(x) - WINDOW, STRIDE), len(x) - WINDOW] if len(x) > WINDOW else [] for x in self.items]
+        self.first_window = np.cumsum([0, *(len(b) for b in begins)])
+        self.window_item = np.repeat(np.arange(len(begins)), np.diff(self.first_window))
+        self.window_at = np.array([o for b in begins for o in b], dtype=np.int64)
         new = np.flatnonzero(np.r_[True, self.value[1:] != self.value[:-1]]) if len(value) else np.zeros(0, np.int64)
         self.distinct, self.first = self.value[new], new
         self.count = np.diff(np.r_[new, len(self.value)])
@@ -140,8 +170,29 @@ class ItemIndex:
     def _slot(value: np.ndarray) -> np.ndarray:
         return ((value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64)
 
-    def regions(self, text: np.ndarray) -> list[tuple[int, int]]:
-        """(item, lowest diagonal) of the bands of a block of texts that reach the lemma's bound."""
+    @staticmethod
+    def _reaching(owner: np.ndarray, band: np.ndarray, place: np.ndarray, need: np.ndarray, bands: np.int64, distinct: bool) -> tuple:
+        """Owners and bands that reach ``need`` (by owner) together with the next band, and the hits of both."""
+        key = owner * bands + band
+        if distinct:
+            key = np.unique((key << np.int64(24)) | place)
+            key, place, at = key >> np.int64(24), key & np.int64((1 << 24) - 1), None
+        else:
+            at = np.argsort(key, kind="stable")
+            key = key[at]
+        if not len(key):
+            return key, key, np.zeros(0, np.int64)
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        own, n = key[new], np.diff(np.r_[new, len(key)])
+        follows = np.r_[own[1:] == own[:-1] + 1, False]
+        good = n + np.where(follows, np.r_[n[1:], 0], 0) >= need[own // bands]
+        if distinct:
+            return own[good] // bands, own[good] % bands, np.zeros(0, np.int64)
+        return own[good] // bands, own[good] % bands, at[np.repeat(good | np.r_[False, good[:-1] & follows[:-1]], n)]
+
+    def regions(self, text: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+        """(item, begin and end in the item, budget, lowest and highest diagonal) of the bands of a block
+        of texts that reach the lemma's bound; whole items first, then windows."""
         g = grams(text)
         at = np.flatnonzero(self.seen[self._slot(g)])
         if not len(at) or not len(self.distinct):
@@ -153,26 +204,41 @@ class ItemIndex:
         count = self.count[row]
         entry = np.repeat(self.first[row] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
         item, place = self.item[entry], self.place[entry]
-        band = (np.repeat(at, count) - place + self.margin) >> self.shift[item]
+        diagonal = np.repeat(at, count) - place + self.margin
         bands = np.int64(((len(text) + self.margin) >> 3) + 2)
-        key = item * bands + band
         # Two neighbouring bands together reach the bound: first by all hits, then by distinct places in the item.
-        key, place = key[order := np.argsort(key, kind="stable")], place[order]
-        for distinct in (False, True):
-            if distinct:
-                pair = np.unique((key << np.int64(24)) | place)
-                key = pair >> np.int64(24)
-            if not len(key):
-                return []
-            new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            own, n = key[new], np.diff(np.r_[new, len(key)])
-            follows = np.r_[own[1:] == own[:-1] + 1, False]
-            good = n + np.where(follows, np.r_[n[1:], 0], 0) >= self.need[own // bands]
-            if distinct:
-                return [(int(k // bands), (int(k % bands) << int(self.shift[k // bands])) - self.margin) for k in own[good]]
-            keep = np.repeat(good | np.r_[False, good[:-1] & follows[:-1]], n)
-            key, place = key[keep], place[keep]
-        return []
+        band = diagonal >> self.shift[item]
+        _, _, kept = self._reaching(item, band, place, self.need, bands, False)
+        owner, low, _ = self._reaching(item[kept], band[kept], place[kept], self.need, bands, True)
+        out = []
+        for k, b in zip(owner.tolist(), low.tolist(), strict=True):
+            begin = (b << int(self.shift[k])) - self.margin
+            out.append((k, 0, int(self.length[k]), int(self.budget[k]), begin, begin + (2 << int(self.shift[k])) - 1))
+        if not len(self.window_at):
+            return out
+        # Windows: hits of the whole item on a window's bands, then dealt to the windows that hold their places.
+        budget = edit_budget(WINDOW)
+        need, shift = WINDOW + 1 - Q * (budget + 1), max(3, budget.bit_length())
+        long = np.flatnonzero(self.length[item] > WINDOW)
+        item, place, band = item[long], place[long], diagonal[long] >> shift
+        _, _, kept = self._reaching(item, band, place, np.full(len(self.items), need), bands, False)
+        item, place, band = item[kept], place[kept], band[kept]
+        top = self.first_window[item + 1] - self.first_window[item] - 1
+        # Offsets rise by STRIDE, the last by less: windows of places up to this one, back as far as they reach.
+        newest = np.minimum(place // STRIDE, top)
+        parts = []
+        for back in range(-(-WINDOW // STRIDE) + 2):
+            w = self.first_window[item] + newest + 1 - back
+            ok = (newest + 1 - back >= 0) & (newest + 1 - back <= top)
+            ok[ok] = (self.window_at[w[ok]] <= place[ok]) & (place[ok] <= self.window_at[w[ok]] + WINDOW - Q)
+            parts.append((w[ok], band[ok], place[ok] - self.window_at[w[ok]]))
+        w, band, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        owner, low, _ = self._reaching(w, band, place, np.full(len(self.window_at), need), bands, True)
+        for w, b in zip(owner.tolist(), low.tolist(), strict=True):
+            o = int(self.window_at[w])
+            begin = (b << shift) - self.margin + o
+            out.append((int(self.window_item[w]), o, o + WINDOW, budget, begin, begin + (2 << shift) - 1))
+        return out
 
     def matches(self, raw: list[bytes]) -> Iterator[tuple[int, object, int, int, int]]:
         """(text number, item id, begin, end, edits) over a block of texts; places count in the text's normal form."""
@@ -184,13 +250,21 @@ class ItemIndex:
         starts, ends = body[::2], body[1::2]
         whole = text.tobytes()
         found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        for k, low in self.regions(text):
-            item, e, high = self.items[k], int(self.budget[k]), low + (2 << int(self.shift[k])) - 1
+        partly: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        copies: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for k, first, last, e, low, high in self.regions(text):
+            item = self.items[k][first:last]
+            into = found if len(item) == len(self.items[k]) else partly
             for s in range(int(np.searchsorted(ends, max(0, low), "right")), len(starts)):
                 begin, end = int(starts[s]), int(ends[s])
                 if begin > high + len(item):
                     break
                 part_from, part_to = max(begin, low - e), min(end, high + len(item) + e + 1)
+                if into is partly:
+                    if (s, k) not in copies:            # whole items come first
+                        copies[s, k] = [min(g)[1:] for g in grouped(found.get((s, k), []))]
+                    if any(b + begin < low - e + len(item) and high + e < t + begin for b, t in copies[s, k]):
+                        continue                        # any occurrence would overlap this copy
                 at = whole.find(item.tobytes(), part_from, part_to)
                 if at >= 0:
                     hit = (0, at, at + len(item))
@@ -201,23 +275,19 @@ class ItemIndex:
                     cost, b, t = band_distance(item, part, low - e - part_from, high + e - part_from)
                     hit = (cost, b + part_from, t + part_from)
                 if hit[0] <= e:
-                    found.setdefault((s, k), []).append((hit[0], hit[1] - begin, hit[2] - begin))
+                    into.setdefault((s, k), []).append((hit[0], hit[1] - begin, hit[2] - begin))
         for s in range(len(starts)) if self.short else ():
             for k, x in self.short:
                 at = (b" " + whole[starts[s]:ends[s]].strip(b" ") + b" ").find(b" " + x + b" ")
                 if at >= 0:
                     found.setdefault((s, k), []).append((0, at, at + len(x)))
         for (s, k), hits in found.items():
-            hits.sort(key=lambda h: (h[1], h[0]))
-            groups: list[list[tuple[int, int, int]]] = []
-            for h in hits:
-                if groups and h[1] < max(x[2] for x in groups[-1]):
-                    groups[-1].append(h)
-                else:
-                    groups.append([h])
-            for g in groups:
+            for g in grouped(hits):
                 cost, b, t = min(g)
                 yield int(number[starts[s]]), self.ids[k], b, t, cost
+        for (s, k), hits in partly.items():
+            for g in grouped([h for h in hits if not any(h[1] < t and b < h[2] for b, t in copies[s, k])]):
+                yield int(number[starts[s]]), self.ids[k], g[0][1], max(h[2] for h in g), min(g)[0]
 
 
 def _text_blocks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:

@@ -89,3 +89,29 @@ def test_twice_in_a_text(spark):
     docs = spark.createDataFrame([(1, passage + " filler " * 50 + passage)], "doc_id long, text string")
     got = D.contaminations(docs, spark.createDataFrame([(9, passage)], "item_id long, text string")).collect()
     assert [(r["edits"], r["end"] - r["begin"]) for r in got] == [(0, len(passage))] * 2
+
+
+def test_cut_copies_of_long_items(spark):
+    rng = random.Random(5)
+    items = [(i, " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(n))) for i, n in enumerate([90, 300, 1500, 12])]
+    window, stride = 320, 80
+    size = window + stride
+    docs, want = [], {}
+    for d in range(60):
+        i, item = items[d % 3]
+        around = " ".join("".join(rng.choice("qrstuvwxyz") for _ in range(5)) for _ in range(rng.randrange(2, 400)))
+        where = (0, rng.randrange(len(item) - size), len(item) - size)[d // 3 % 3]
+        part = item[where:where + size] if d % 4 else item[:max(size, len(item) * 6 // 10)]
+        if d % 2:
+            part = edited(rng, part, window // 20)
+        docs.append((d, [f"{around} {part} {around}", part, f"{around} {part}"][d % 3 - 1]))
+        want[d] = i
+    docs += [(100, items[1][1][:window // 2]), (101, items[3][1][:len(items[3][1]) * 6 // 10]), (102, "x " + items[2][1] + " y " + items[2][1][900:900 + size])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    table = spark.createDataFrame([(d, t, 7, "clash") for d, t in docs], SCHEMA)
+    rows = D.contaminations(table, benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows if r["doc_id"] < 100} == set(want.items())
+    assert sorted((r["doc_id"], r["edits"], r["end"] - r["begin"] >= size - 2 * stride) for r in rows if r["doc_id"] >= 100) == [(102, 0, True)] * 2
+    exact = [r for r in rows if r["doc_id"] < 100 and r["doc_id"] % 2 == 0]
+    assert all(r["edits"] == 0 for r in exact) and len(exact) == 30
+    assert {r["doc_id"] for r in D.without_contaminated(table, benchmark).collect()} == {100, 101}
