@@ -16,6 +16,13 @@ Kinds: e-mail addresses, payment cards (Luhn), IBANs (mod 97), telephone
 numbers, US social security numbers, IPv4 addresses, dates, access keys and
 assigned secrets (password=..., token = "...").
 
+E-mail addresses begin at the start of their run of letters, digits, combining
+marks and ``._%+-``, in any script; leading punctuation is left out, and so is a
+leading run of a script written without spaces (Chinese, Japanese, Korean, Thai,
+Lao, Khmer, Burmese) before Latin letters or digits, which is taken for text.
+Letters outside ASCII become letters of their own block of Unicode, cased ones
+among each other; combining marks and the top domain stay.
+
 Defined cases: NULL stays NULL with no findings; empty texts stay empty.
 Values that fail their check (a wrong check digit, a 31st of February) are left
 alone.  Overlapping findings: the first, at equal start the earlier kind of
@@ -26,8 +33,10 @@ called like an added column (n_found, found) is replaced.
 from __future__ import annotations
 
 import re
+import unicodedata
 from calendar import monthrange
 from datetime import date
+from functools import cache
 from hashlib import blake2b
 from math import isqrt
 
@@ -92,6 +101,25 @@ def refill(shape: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in shape)
 
 
+def _cased(c: str) -> bool:
+    """Upper and lower case are one letter each, in one block."""
+    low, up = c.lower(), c.upper()
+    return len(low) == len(up) == 1 and low != up and low.upper() == up and up.lower() == low and c in (low, up) and ord(low) >> 7 == ord(up) >> 7
+
+
+@cache
+def alphabet(c: str) -> str:
+    """The lower-case signs among which ``c`` is replaced: for a letter or digit its like in the
+    same 128 code points of Unicode (cased letters together, others by category), else itself."""
+    if not c.isalnum():
+        return c
+    block = [chr(i) for i in range(ord(c) >> 7 << 7, (ord(c) >> 7 << 7) + 128)]
+    if _cased(c):
+        return "".join(x for x in block if _cased(x) and x == x.lower() and (ord(c) > 127 or x.isascii()))
+    kind = unicodedata.category(c)
+    return "".join(x for x in block if x.isalnum() and not _cased(x) and unicodedata.category(x) == kind)
+
+
 class Pseudonyms:
     def __init__(self, key: bytes):
         self.feistel = Feistel(key)
@@ -106,28 +134,22 @@ class Pseudonyms:
         return str(new).zfill(len(digits))
 
     def _signs(self, text: str, kind: str, back: bool) -> str:
-        """Letters for letters and digits for digits; case and other signs stay."""
+        """Letters for letters and digits for digits of the same script; case and other signs stay."""
         value, n = 0, 1
-        for c in text:
-            radix = 10 if "0" <= c <= "9" else 26 if c.isascii() and c.isalpha() else 1
-            value = value * radix + (int(c) if radix == 10 else ord(c.lower()) - 97 if radix == 26 else 0)
-            n *= radix
-        shape = re.sub("[A-Za-z]", "a", re.sub("[0-9]", "0", text))
+        among = [alphabet(c) for c in text]
+        for c, signs in zip(text, among, strict=True):
+            value = value * len(signs) + signs.index(c.lower() if _cased(c) else c)
+            n *= len(signs)
+        shape = "".join(signs[0] for signs in among)
         value = self.feistel.permute(value, n, f"{kind}{shape}", back)
         out = []
-        for c in reversed(text):
-            if "0" <= c <= "9":
-                value, d = divmod(value, 10)
-                out.append(str(d))
-            elif c.isascii() and c.isalpha():
-                value, d = divmod(value, 26)
-                out.append(chr(d + (65 if c.isupper() else 97)))
-            else:
-                out.append(c)
+        for c, signs in zip(reversed(text), reversed(among), strict=True):
+            value, d = divmod(value, len(signs))
+            out.append(signs[d].upper() if _cased(c) and c.isupper() else signs[d])
         return "".join(reversed(out))
 
     def email(self, m: re.Match, back: bool) -> str | None:
-        name, _, host = m[0].rpartition("@")
+        name, _, host = m["address"].rpartition("@")
         stem, dot, top = host.rpartition(".")
         return f"{self._signs(name, 'email', back)}@{self._signs(stem, 'host', back)}{dot}{top}"
 
@@ -197,9 +219,16 @@ class Pseudonyms:
         return m["before"] + self._signs(m["value"], "secret", back)
 
 
+_MARKS = "".join(chr(i) for i in range(0x300, 0x3100) if unicodedata.category(chr(i)) in ("Mn", "Mc"))
+_RUN_HOST = rf"\w{_MARKS}-"
+_RUN = rf"\w{_MARKS}.%+-"
+# Scripts written without spaces, in whole blocks of ``alphabet``.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u107f\u1780-\u17ff\u3000-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7ff"
 # The quantifiers with a plus never give back, and each pattern begins at the start of a run: time is linear in the text.
 KINDS: tuple[tuple[str, str, re.Pattern], ...] = (
-    ("email", "@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,24}+(?![A-Za-z0-9-])")),
+    ("email", "@", re.compile(
+        rf"(?<![{_RUN}])[._%+-]*+(?:[{_UNSPACED}]++[._%+-]*+(?=[A-Za-z0-9]))?+(?P<address>[{_RUN}]++@"
+        rf"(?:(?:[{_RUN_HOST}]++\.)+[A-Za-z]{{2,24}}+(?![A-Za-z0-9-])|(?:[{_RUN_HOST}]++\.)+(?:xn--[A-Za-z0-9-]{{2,59}}+|[^\W\d_A-Za-z]{{2,24}}+)(?![\w-])))")),
     ("secret", "=:", re.compile(r"(?P<before>\b(?:password|passwd|pwd|secret|token|api_?key|access_?key)\b[\"']?\s?[=:]\s?[\"']?)(?P<value>[^\s\"',;]{6,})", re.I)),
     ("key", "A", re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b")),
     ("iban", "0123456789", re.compile(r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b")),
@@ -224,7 +253,7 @@ def rewrite(text: str, pseudonyms: Pseudonyms, back: bool = False) -> tuple[str,
         if marks[0] == "0" and not digits or not any(c in text for c in marks):
             continue
         for m in pattern.finditer(text):
-            found.append((m.start(), rank, m.end(), kind, m))
+            found.append((m.start("address" if kind == "email" else 0), rank, m.end(), kind, m))
     found.sort(key=lambda f: f[:3])
     parts, spans, at = [], [], 0
     for begin, _, end, kind, m in found:

@@ -1,4 +1,5 @@
 import re
+import time
 from datetime import date
 
 import pytest
@@ -51,6 +52,34 @@ def test_formats_are_kept(value, shape):
         assert one(text, b"other key")[0] != new
 
 
+@pytest.mark.parametrize(("text", "address"), [
+    ("see _jane@example.com_ now", "jane@example.com"), ("-jane@example.com", "jane@example.com"), ("...jane@example.com", "jane@example.com"), ("%+_.-a.b_c@example.com", "a.b_c@example.com"),
+    ("andré.7@example.com", "andré.7@example.com"), ("an josé@example.com.", "josé@example.com"), ("garcía@example.com", "garcía@example.com"), ("GARCÍA@example.com", "GARCÍA@example.com"),
+    ("jose\u0301@example.com", "jose\u0301@example.com"), ("иван.петров@example.com", "иван.петров@example.com"), ("иван@пример.рф", "иван@пример.рф"), ("straße@bücher.example", "straße@bücher.example"),
+    ("γιώργος@example.gr", "γιώργος@example.gr"), ("用户@example.com", "用户@example.com"), ("邮箱jane@example.com的", "jane@example.com"), ("राम@example.com", "राम@example.com"),
+    ("a@b.com.あいう", "a@b.com"),
+])
+def test_addresses_of_any_script(text, address):
+    new, spans = one(text)
+    assert [(k, text[a:b]) for k, a, b in spans] == [("email", address)] and P.reverse(new, KEY) == text
+    a, b = spans[0][1:]
+    name, image = address.split("@")[0], new[a:b].split("@")[0]
+    assert new[:a] == text[:a] and new[b:] == text[b:] and len(image) == len(name) and image != name
+    assert [c.isupper() for c in image] == [c.isupper() for c in name] and [c.isalpha() for c in image] == [c.isalpha() for c in name]
+    assert one(f"x {address}")[0] == f"x {new[a:b]}"       # linked, whatever stands before
+
+
+def test_one_letter_of_another_script_is_replaced():
+    names = [one(f"é{i}@example.com")[0].split("@")[0] for i in range(10)]
+    assert len(set(names)) == 10 and sum(x[0] != "é" for x in names) > 5
+
+
+@pytest.mark.parametrize("text", ["é@" * 50_000, "_" * 100_000 + "@", "é." * 50_000, "箱" * 100_000, "a@" + "é." * 50_000, "箱-" * 50_000 + "@x"])
+def test_addresses_take_linear_time(text):
+    begin = time.perf_counter()
+    assert one(text) == (text, []) and time.perf_counter() - begin < 5
+
+
 def test_neighbouring_values_are_told_apart():
     text = "4665471787434696 86.227.24.100 +1 (632) 555-4827 86.227.24.100 4111 1111 1111 1111 22 DE89 3704 0044 0532 0130 00 1234 5678 378282246310005."
     new, spans = one(text)
