@@ -23,6 +23,15 @@ Lao, Khmer, Burmese) before Latin letters or digits, which is taken for text.
 Letters outside ASCII become letters of their own block of Unicode, cased ones
 among each other; combining marks and the top domain stay.
 
+Dates of 1900 to 2099: year-month-day with - or / (one or two digits a part),
+year.month.day (two digits), day-month-year with . / or -, read as month-day-year
+where it is no date otherwise, and English month names (March 25, 1990; 25th of
+Mar. 1990; 25-Mar-1990).  All notations of a day have the same pseudonym: days
+1-9, 10-12 and later ones, and months 1-9 and 10-12, are permuted among
+themselves, so that a pseudonym is read in its notation's order and width again.
+Reversed, a month's name may come back in its other form (Sept as Sep, and May,
+which is both, as a full name); the day is the same.
+
 Defined cases: NULL stays NULL with no findings; empty texts stay empty.
 Values that fail their check (a wrong check digit, a 31st of February) are left
 alone.  Overlapping findings: the first, at equal start the earlier kind of
@@ -50,6 +59,7 @@ FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal
 IBAN_LENGTHS = {"AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27,
                 "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27,
                 "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26}
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 # For tests and examples: production runs pass their own key.
 EXAMPLE_KEY = b"paddock example key"
 
@@ -200,16 +210,31 @@ class Pseudonyms:
         return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
 
     def day(self, m: re.Match, back: bool) -> str | None:
-        names = ("year", "month", "day")
-        y, mo, d = (int(m[k]) for k in names)
+        at = {k: m.span(k) for k in ("year", "month", "day")}
+        name = m["month"] if m["month"].isalpha() else ""
+        y, d = int(m["year"]), int(m["day"])
+        mo = [x[:3].lower() for x in MONTHS].index(name[:3].lower()) + 1 if name else int(m["month"])
+        if not name and mo > 12 and at["day"] < at["month"]:
+            # Month first.
+            mo, d, at["month"], at["day"] = d, mo, at["day"], at["month"]
         if not (1900 <= y <= 2099 and 1 <= mo <= 12 and 1 <= d <= monthrange(y, mo)[1]):
             return None
-        n = LAST_DAY - FIRST_DAY + 1
-        new = date.fromordinal(FIRST_DAY + self.feistel.permute(date(y, mo, d).toordinal() - FIRST_DAY, n, "day", back))
+        kind = lambda x: (x.month > 9, (x.day > 9) + (x.day > 12))
+        old, n = date(y, mo, d), LAST_DAY - FIRST_DAY + 1
+        new = date.fromordinal(FIRST_DAY + self.feistel.permute(old.toordinal() - FIRST_DAY, n, "day", back))
+        while kind(new) != kind(old):
+            new = date.fromordinal(FIRST_DAY + self.feistel.permute(new.toordinal() - FIRST_DAY, n, "day", back))
+        parts = {k: str(getattr(new, k)).zfill(end - begin) for k, (begin, end) in at.items()}
+        if name:
+            word = MONTHS[new.month - 1]
+            word = word if name.lower() in (x.lower() for x in MONTHS) else word[:3]
+            parts["month"] = word.upper() if name.isupper() else word.lower() if name.islower() else word
+            if m["th"]:
+                th = "th" if 11 <= new.day <= 13 else {1: "st", 2: "nd", 3: "rd"}.get(new.day % 10, "th")
+                parts["th"], at["th"] = th.upper() if m["th"].isupper() else th, m.span("th")
         text = m[0]
-        for k, v in sorted(zip(names, (new.year, new.month, new.day), strict=True), key=lambda x: -m.start(x[0])):
-            a, b = m.start(k) - m.start(), m.end(k) - m.start()
-            text = text[:a] + f"{v:04d}" * (k == "year") + f"{v:02d}" * (k != "year") + text[b:]
+        for k, (begin, end) in sorted(at.items(), key=lambda x: -x[1][0]):
+            text = text[:begin - m.start()] + parts[k] + text[end - m.start():]
         return text
 
     def key(self, m: re.Match, back: bool) -> str | None:
@@ -219,6 +244,7 @@ class Pseudonyms:
         return m["before"] + self._signs(m["value"], "secret", back)
 
 
+_MONTH = "|".join([*MONTHS, "Sept", *(x[:3] for x in MONTHS)])
 _MARKS = "".join(chr(i) for i in range(0x300, 0x3100) if unicodedata.category(chr(i)) in ("Mn", "Mc"))
 _RUN_HOST = rf"\w{_MARKS}-"
 _RUN = rf"\w{_MARKS}.%+-"
@@ -232,8 +258,13 @@ KINDS: tuple[tuple[str, str, re.Pattern], ...] = (
     ("secret", "=:", re.compile(r"(?P<before>\b(?:password|passwd|pwd|secret|token|api_?key|access_?key)\b[\"']?\s?[=:]\s?[\"']?)(?P<value>[^\s\"',;]{6,})", re.I)),
     ("key", "A", re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b")),
     ("iban", "0123456789", re.compile(r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b")),
-    ("day", "0123456789", re.compile(r"(?<![\w.-])(?P<year>[0-9]{4})-(?P<month>[0-9]{2})-(?P<day>[0-9]{2})(?![\w-])")),
-    ("day", "0123456789", re.compile(r"(?<![\w./])(?P<day>[0-9]{2})(?P<s>[./])(?P<month>[0-9]{2})(?P=s)(?P<year>[0-9]{4})(?![\w/])")),
+    ("day", "0123456789", re.compile(r"(?<![\w.-])(?P<year>[0-9]{4})-(?P<month>[0-9]{1,2})-(?P<day>[0-9]{1,2})(?:(?=T[0-9]{2}:)|(?![\w-]))")),
+    ("day", "0123456789", re.compile(r"(?<![\w./])(?P<year>[0-9]{4})/(?P<month>[0-9]{1,2})/(?P<day>[0-9]{1,2})(?![\w/])")),
+    ("day", "0123456789", re.compile(r"(?<![\w./-])(?P<year>[0-9]{4})\.(?P<month>[0-9]{2})\.(?P<day>[0-9]{2})(?![\w/]|\.[0-9])")),
+    ("day", "0123456789", re.compile(r"(?<![\w./])(?P<day>[0-9]{1,2})(?P<s>[./])(?P<month>[0-9]{1,2})(?P=s)(?P<year>[0-9]{4})(?![\w/])")),
+    ("day", "0123456789", re.compile(r"(?<![\w./-])(?P<day>[0-9]{1,2})-(?P<month>[0-9]{1,2})-(?P<year>[0-9]{4})(?![\w-])")),
+    ("day", "0123456789", re.compile(rf"(?<![\w-])(?P<month>{_MONTH})\.?(?:\s{{1,2}}|-)(?P<day>[0-9]{{1,2}})(?P<th>st|nd|rd|th)?(?:\s?,\s{{0,2}}|\s{{1,2}}|-)(?P<year>[0-9]{{4}})(?![\w-])", re.I)),
+    ("day", "0123456789", re.compile(rf"(?<![\w.-])(?P<day>[0-9]{{1,2}})(?P<th>st|nd|rd|th)?(?:\s{{1,2}}(?:of\s{{1,2}})?|-)(?P<month>{_MONTH})(?:\.?,?\s{{1,2}}|-)(?P<year>[0-9]{{4}})(?![\w-])", re.I)),
     ("ip", "0123456789", re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])")),
     ("ssn", "0123456789", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
     ("card", "0123456789", re.compile(r"(?<!\w)(?<![0-9][.,-])[1-9][0-9]{12,18}(?![0-9A-Za-z])(?![.,-][0-9])")),

@@ -80,6 +80,49 @@ def test_addresses_take_linear_time(text):
     assert one(text) == (text, []) and time.perf_counter() - begin < 5
 
 
+def day_of(text):
+    """Year, month and day of one of the notations below."""
+    words = re.findall(r"[A-Za-z]{3,}|[0-9]+", text)
+    names = [w for w in words if w[0].isalpha()]
+    if names:
+        y, d = (int(w) for w in sorted((w for w in words if w[0].isdigit()), key=len, reverse=True))
+        return date(y, [n[:3] for n in P.MONTHS].index(names[0][:3].title()) + 1, d)
+    a, b, c = map(int, words)
+    return date(a, b, c) if a > 31 else date(c, b, a) if b <= 12 else date(c, a, b)
+
+
+@pytest.mark.parametrize("day", [date(1985, 12, 25), date(1990, 3, 25), date(1990, 5, 3), date(2001, 10, 11), date(1999, 11, 7), date(2024, 2, 29)])
+def test_notations_of_a_day_are_linked(day):
+    y, m, d, name = day.year, day.month, day.day, P.MONTHS[day.month - 1]
+    th = "th" if 11 <= d <= 13 else {1: "st", 2: "nd", 3: "rd"}.get(d % 10, "th")
+    texts = [day.isoformat(), f"{y}-{m}-{d}", f"{y}/{m:02d}/{d:02d}", f"{y}/{m}/{d}", f"{y}.{m:02d}.{d:02d}", f"{d}/{m}/{y}", f"{d:02d}.{m:02d}.{y}", f"{d}.{m}.{y}", f"{d}-{m}-{y}",
+             f"{name} {d}, {y}", f"{name} {d}{th}, {y}", f"{name.upper()} {d} {y}", f"{name[:3]}. {d}, {y}", f"{d} {name} {y}", f"{d}{th} of {name}, {y}", f"{d:02d}-{name[:3]}-{y}"]
+    texts += [f"{m:02d}/{d:02d}/{y}", f"{m}/{d}/{y}", f"{m}-{d}-{y}"] * (d > 12)
+    images = set()
+    for text in texts:
+        new, spans = one(f"born {text}, died")
+        assert [(k, b - a) for k, a, b in spans] == [("day", len(text))], text
+        image = new[5:-6]
+        images.add(day_of(image))
+        back = P.reverse(new, KEY)[5:-6]
+        assert day_of(back) == day and (back == text or re.search("[A-Z]", text) and "May" in (name, image[:3], image[3:6], image.split("-")[1:2])), (text, image, back)
+        assert [c.isdigit() for c in image if not c.isalpha()] == [c.isdigit() for c in text if not c.isalpha()]
+    assert len(images) == 1 and images != {day}
+
+
+def test_days_are_permuted():
+    first = date(1900, 1, 1).toordinal()
+    days = [date.fromordinal(first + i) for i in range(0, P.LAST_DAY - first + 1, 7)]
+    new = [one(f"{d.month}/{d.day}/{d.year}" if d.day > 12 else f"{d.day}/{d.month}/{d.year}")[0] for d in days]
+    assert len({day_of(x) for x in new}) == len(days)
+    assert [day_of(P.reverse(x, KEY)) for x in new] == days
+
+
+@pytest.mark.parametrize("text", ["13/25/1985", "example.com/2011/03/25/post", "March 32, 1990", "version 2021.3.1", "1/2/3", "Marching 25, 1990", "in May 1990", "may 2000 people", "1776-07-04", "30 Feb 1999", "2.13.31.1999"])
+def test_no_dates(text):
+    assert one(text) == (text, [])
+
+
 def test_neighbouring_values_are_told_apart():
     text = "4665471787434696 86.227.24.100 +1 (632) 555-4827 86.227.24.100 4111 1111 1111 1111 22 DE89 3704 0044 0532 0130 00 1234 5678 378282246310005."
     new, spans = one(text)
