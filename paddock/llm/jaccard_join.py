@@ -66,15 +66,15 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint64).view(np.int64)
 
 
-def set_sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, digest) for each row; digest is NULL for empty sets."""
+def _sizes(texts: list[str | None]) -> list:
+    found = [(len(s), _digest(s) if len(s) else 0) for s in map(shingles, each_words(texts))]
+    digest = _signed(np.array([d for _, d in found], dtype=np.uint64)).tolist()
+    return [[n for n, _ in found], [d if n else None for (n, _), d in zip(found, digest, strict=True)]]
 
-    def sizes(texts: list[str | None]) -> list:
-        found = [(len(s), _digest(s) if len(s) else 0) for s in map(shingles, each_words(texts))]
-        digest = _signed(np.array([d for _, d in found], dtype=np.uint64)).tolist()
-        return [[n for n, _ in found], [d if n else None for (n, _), d in zip(found, digest, strict=True)]]
 
-    return with_computed(docs, ["doc_id"], "text", sizes, "n long, digest long")
+def set_sizes(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, digest) for each row; digest is NULL for empty sets."""
+    return with_computed(docs, ["doc_id"], "text", _sizes, "n long, digest long")
 
 
 def _packed_row(bucket: int, digest: np.ndarray, size: np.ndarray, tokens: np.ndarray, shared: np.ndarray | None = None) -> tuple:
@@ -289,10 +289,8 @@ def similar_sets(sets: DataFrame, percent: int) -> DataFrame:
     return components(linked.unionByName(rest))
 
 
-def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``.
-
-    ``percent``: the least similarity in hundredths."""
+def _answers(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, digest and root (one digest of the component; NULL without words) for every row."""
     spark = docs.sparkSession
     rows = stored(set_sizes(docs), "sets")
     total = rows.agg(F.sum("n")).first()[0] or 0
@@ -302,29 +300,53 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"))
     joined = roots.join(classes, roots["node"] == classes["digest"])
     smallest = joined.groupBy("root").agg(F.min("first").alias("smallest"))
-    linked = joined.join(smallest, "root").select("digest", "smallest")
-    answers = classes.join(linked, "digest", "left").select("digest", F.coalesce("smallest", "first").alias("component_id"))
+    linked = joined.join(smallest, "root").select("digest", "smallest", "root")
+    answers = classes.join(linked, "digest", "left").select("digest", F.coalesce("smallest", "first").alias("component_id"), F.coalesce("root", "digest").alias("root"))
     # Rows without words join with nothing; a hash spreads them over the tasks.
     spread = rows.withColumn("key", F.coalesce("digest", F.xxhash64("doc_id")))
     out = spread.join(answers.withColumnRenamed("digest", "key"), "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                      "digest", F.when(F.col("n") > 0, F.col("root")).alias("root"))
+
+
+def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``.
+
+    ``percent``: the least similarity in hundredths."""
+    return _answers(docs, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, max_broadcast: int = 4_000_000) -> DataFrame:
     """The documents without those whose component has a smaller id.
 
-    Rows that repeat a doc_id stay once (any of them).  NULL ids stay.  The
-    ids to drop are broadcast while they are at most ``max_broadcast`` (16 MB
-    a million); beyond that the join shuffles."""
-    found = stored(jaccard_components(docs, percent), "components")
+    A doc_id that repeats is judged row by row: of each component that it is the
+    smallest id of, one row stays (the smallest set digest; any of equal ones), so
+    different texts under one id do not displace each other.  Of the rows without
+    doc_id one of each component stays, beside the smallest id.  Rows without words
+    stay, once for a doc_id.  The ids to drop or to judge by row are broadcast while
+    they are at most ``max_broadcast`` (16 MB a million); beyond that the join
+    shuffles."""
+    found = stored(_answers(docs, percent), "components")
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     drop = found.where("component_id != doc_id").select("doc_id").distinct()
-    again = found.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     gone = stored(drop.withColumn("again", F.lit(False)).unionByName(again.withColumn("again", F.lit(True))), "gone")
     counts = {r["again"]: r["count"] for r in gone.groupBy("again").count().collect()}
-    ids = gone.select("doc_id")
-    if sum(counts.values()) <= max_broadcast:
-        ids = F.broadcast(ids)
-    kept = docs.join(ids, "doc_id", "left_anti")
-    if counts.get(True):
-        kept = kept.unionByName(docs.join(gone.where("again").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    few = F.broadcast if sum(counts.values()) <= max_broadcast else lambda ids: ids
+    kept = docs.join(few(gone.select("doc_id")), "doc_id", "left_anti")
+    unnamed = not found.where("doc_id IS NULL").isEmpty()
+    if not counts.get(True) and not unnamed:
+        return kept.select(*docs.columns)
+    repeated = few(gone.where("again").select("doc_id"))
+    by_row = lambda rows: rows.join(repeated, "doc_id", "left_semi").select(*rows.columns).unionByName(rows.where("doc_id IS NULL"))
+    # Names that no column of docs has.
+    digest, of = (max(docs.columns, key=len) + x for x in ("_digest", "_of"))
+    winners = by_row(found).where("digest IS NOT NULL AND (doc_id IS NULL OR component_id = doc_id)").groupBy("root", "doc_id").agg(F.min("digest").alias(digest))
+    winners = winners.select(F.col("doc_id").alias(of), F.col(digest).alias(digest + of))
+    judged = with_computed(by_row(docs), docs.columns, "text", lambda texts: _sizes(texts)[1:], f"`{digest}` long")
+    with_words = judged.join(winners, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(digest) == F.col(digest + of)), "left_semi").dropDuplicates(["doc_id", digest])
+    wordless = judged.where(F.col(digest).isNull())
+    stay = [with_words, wordless.where("doc_id IS NULL"), wordless.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])]
+    out = kept.where("doc_id IS NOT NULL").select(*docs.columns)
+    for rows in stay:
+        out = out.unionByName(rows.select(*docs.columns))
+    return out

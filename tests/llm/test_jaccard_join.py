@@ -58,6 +58,22 @@ def test_repeated_rows_nulls_and_empty(spark):
     assert J.one_of_each(docs.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("max_broadcast", [0, 1000])
+def test_one_of_each_with_repeated_and_missing_ids(spark, max_broadcast):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    near = b + " more"
+    rows = [(1, a), (2, a), (2, b), (2, b), (2, c), (3, near), (4, d), (4, d + " more"), (5, ""), (5, None), (None, c), (None, c), (None, "e f g"), (None, "e f g"), (None, ""), (None, None), (6, "own")]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], SCHEMA).repartition(3)
+    out = J.one_of_each(docs, max_broadcast=max_broadcast)
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    four = [g for g in got if g[0] == 4]
+    five = [g for g in got if g[0] == 5]
+    assert len(four) == len(five) == 1
+    want = [(1, a), (2, b), (2, c), (None, c), (None, "e f g"), (None, ""), (None, None), (6, "own")]
+    assert sorted((g for g in got if g[0] not in (4, 5)), key=str) == sorted(want, key=str)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(40).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     got = {r["node"]: r["root"] for r in components(edges).collect()}
