@@ -18,6 +18,7 @@ from paddock.llm.mixing import mixed
 from paddock.llm.neighbours import nearest_vectors
 from paddock.llm.pseudonyms import pseudonymised
 from paddock.llm.quality import fit_quality, quality_scores
+from paddock.llm.resampling import importance_sample
 from paddock.llm.token_counts import token_counts
 
 WORDS_SQL = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -70,6 +71,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents with at least 20 words, drawn towards the benchmark's words."""
+    return importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix": op2_mix,
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_jaccard": op9_jaccard,
     "op10_pii": op10_pii,
+    "op13_resample": op13_resample,
 }
 
 SQL: dict[str, str] = {
@@ -110,4 +117,25 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.x = b.x AND a.d
       GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
 r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = s.doc_id) AS component_id FROM s""",
+    "op13_resample": r"""
+WITH c AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS tab),
+f AS (SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS r, text FROM documents UNION ALL SELECT 'b', NULL, row_number() OVER (), text FROM benchmark),
+w AS (SELECT side, r, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM f),
+n AS (SELECT side, r, w, count(*) AS n FROM w GROUP BY ALL),
+h AS (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM n)),
+b AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+    lambda v, y: xor(v >> 8, tab[xor(v, y) % 256 + 1])), 4294967295) % 10000 AS bucket FROM h, c),
+k AS (SELECT side, r, bucket, sum(n) AS n FROM n JOIN b USING (w) GROUP BY ALL),
+s AS (SELECT bucket, CAST(coalesce(sum(n) FILTER (side = 'd'), 0) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (side = 'b'), 0) AS DOUBLE) AS t FROM k GROUP BY bucket),
+a AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM s),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000)))) AS BIGINT) AS gain FROM s, a),
+m AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS total FROM k JOIN g USING (bucket) WHERE side = 'd' GROUP BY r),
+o AS (SELECT id AS doc_id, coalesce(n_features, 0) AS n_features,
+    coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+    CAST('0x' || substr(sha256('2024:' || coalesce(CAST(id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM f LEFT JOIN m USING (r) WHERE side = 'd'),
+p AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM o),
+q AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place FROM p)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT count(*) FROM q WHERE n_features >= 20) * 10 // 100 THEN place END AS rank FROM q""",
 }

@@ -1,0 +1,105 @@
+"""Importance resampling against plain Python, SQL and the defined cases."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from paddock.llm import resampling as R
+from paddock.llm.queries import SQL
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, weight string"
+
+
+def features(text, width):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    return [" ".join(w[i:i + n]) for n in range(1, width + 1) for i in range(len(w) - n + 1)], len(w)
+
+
+def brute(docs, target, buckets, width, percent, min_words, seed):
+    """[(doc_id, text)], [text] -> sorted list of (doc_id, n_features, weight, score, rank)."""
+    def bag(text):
+        return Counter(zlib.crc32(f.encode()) % buckets for f in features(text, width)[0])
+
+    s, t = Counter(), Counter()
+    for _, text in docs:
+        s += bag(text)
+    for text in target:
+        t += bag(text)
+    s_all, t_all = sum(s.values()), sum(t.values())
+    rows = []
+    for doc_id, text in docs:
+        b = bag(text)
+        n = sum(b.values())
+        gain = sum(k * math.floor(1000 * math.log((t[x] + 1.0) * (s_all + buckets) / ((s[x] + 1.0) * (t_all + buckets)))) for x, k in b.items())
+        weight = gain // n if n else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        rows.append([doc_id, n, weight, score, None, features(text, width)[1] >= min_words])
+    able = sorted((r for r in rows if r[5]), key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1], r[2]))
+    for place, r in enumerate(able[:percent * len(able) // 100], 1):
+        r[4] = place
+    return sorted((tuple(r[:5]) for r in rows), key=repr)
+
+
+def corpus():
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(300)] + ["Été", "日本", "Z9", "naïve"]
+    docs = [(i, " ".join(rng.choice(vocabulary, int(rng.integers(1, 90)))).replace("w7 ", "W7, -- ")) for i in range(400)]
+    docs += [(400, None), (401, ""), (402, " .,;\n"), (None, "w1 " * 30), (403, "w2 w3 " * 20_000), (5, docs[5][1]), (5, docs[5][1])]
+    docs += [(500 + i, "copy of one text with more than twenty words " * 3) for i in range(200)]
+    return docs, ["w1 w2 w3 w4 w5", "Été w9 w10", None, "", "日本 w1"]
+
+
+@pytest.mark.parametrize(("buckets", "width", "percent"), [(10_000, 1, 10), (97, 3, 35), (1, 2, 100), (64, 1, 0)])
+def test_equals_brute_force(spark, monkeypatch, buckets, width, percent):
+    monkeypatch.setattr(R, "CHUNK", 1000)         # the long text is read in many parts
+    docs, target = corpus()
+    got = R.importance_sample(
+        spark.createDataFrame([(d, t, "x") for d, t in docs], SCHEMA).repartition(7),
+        spark.createDataFrame([(t,) for t in target], "text string"),
+        buckets=buckets, width=width, percent=percent, min_words=20, seed=7)
+    assert got.dtypes == [(c, "bigint") for c in ("doc_id", "n_features", "weight", "score", "rank")]
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(docs, target, buckets, width, percent, 20, 7)
+
+
+def test_equals_sql(spark):
+    docs, target = corpus()
+    table = spark.createDataFrame([(d, t, "x") for d, t in docs if d is not None], SCHEMA)
+    goal = spark.createDataFrame([(t,) for t in target], "text string")
+    con = duckdb.connect()
+    con.register("documents", table.toPandas())
+    con.register("benchmark", goal.toPandas())
+    want = con.sql(f"SELECT doc_id, n_features, weight, score, rank FROM ({SQL['op13_resample']})").fetchall()
+    assert sorted(map(tuple, R.importance_sample(table, goal).collect()), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("low", [-9000, 0, 5])
+def test_planes_give_exact_sums(low):
+    rng = np.random.default_rng(low + 9000)
+    gains = rng.integers(low, 9000, 130)
+    counts = rng.integers(0, 2, (20, 130)) * rng.integers(0, 100_000, (20, 130))
+    assert R.sliced_sums(counts, R.signed_planes(gains)).tolist() == (counts * gains).sum(axis=1).tolist()
+    assert sum(c * np.unpackbits(p.view(np.uint8))[:130].astype(int) for c, p in R.signed_planes(gains)).tolist() == gains.tolist()
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "a b c " * 10, ""), (2, None, "")], SCHEMA)
+    none = spark.createDataFrame([], "text string")
+    assert R.importance_sample(docs.limit(0), none).collect() == []
+    rows = R.importance_sample(docs, none, percent=100).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_features, r.rank) for r in rows] == [(1, 30, 1), (2, 0, None)]
+
+
+def test_places_follow_the_order_over_pieces(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v"), F.lit(0).alias("same"))
+    rows = R.ranked(df, [F.col("same"), F.col("v").desc()], "rank").collect()
+    assert sorted(r["rank"] for r in rows) == list(range(1, 5001))
+    assert all(r["rank"] == 5000 - r["v"] for r in rows)
