@@ -16,6 +16,7 @@ from paddock.llm.language_id import languages, learn_languages
 from paddock.llm.language_model import model_scores
 from paddock.llm.mixing import mixed
 from paddock.llm.neighbours import nearest_vectors
+from paddock.llm.piece_codec import decoded, encoded
 from paddock.llm.pseudonyms import pseudonymised
 from paddock.llm.quality import fit_quality, quality_scores
 from paddock.llm.resampling import importance_sample
@@ -71,6 +72,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and the text that they stand for, as digests."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    both = decoded(encoded(table(spark, sf_dir, "documents"), model), model)
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the documents with at least 20 words, drawn towards the benchmark's words."""
     return importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -87,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_jaccard": op9_jaccard,
     "op10_pii": op10_pii,
+    "op12_pieces": op12_pieces,
     "op13_resample": op13_resample,
 }
 
