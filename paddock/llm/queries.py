@@ -21,6 +21,7 @@ from paddock.llm.pseudonyms import pseudonymised
 from paddock.llm.quality import fit_quality, quality_scores
 from paddock.llm.resampling import importance_sample
 from paddock.llm.token_counts import token_counts
+from paddock.llm.vector_codes import vector_codes
 
 WORDS_SQL = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -72,6 +73,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """8 parts, 16 entries, 6 rounds."""
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the text that they stand for, as digests."""
     import public_tokenizers
@@ -89,6 +95,29 @@ def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def codes_sql() -> str:
+    """The rounds written out, since each one is a join with the codebooks of the one before."""
+    text = """WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+p AS MATERIALIZED (SELECT r, position, x[position * len(x) // 8 + 1:(position + 1) * len(x) // 8] AS part FROM v, range(8) AS t(position)),
+q AS MATERIALIZED (SELECT position, part, count(*) AS n FROM p GROUP BY ALL),
+i AS (SELECT r, row_number() OVER (ORDER BY vec_id, x) - 1 AS entry FROM v),
+b0 AS MATERIALIZED (SELECT position, entry, part AS e FROM i JOIN p USING (r) WHERE entry < 16)"""
+    for k in range(7):
+        text += f""",
+a{k} AS MATERIALIZED (SELECT q.position, part, n, min({{'d': CAST(list_sum(list_transform(range(1, len(part) + 1), lambda i: (part[i] - e[i]) * (part[i] - e[i]))) AS BIGINT), 'k': entry}}) AS m
+  FROM q JOIN b{k} b ON q.position = b.position GROUP BY ALL)"""
+        if k < 6:
+            text += f""",
+s{k} AS (SELECT position, m.k AS entry, i, CAST(sum(part[i] * n) AS BIGINT) AS s, CAST(sum(n) AS BIGINT) AS c FROM a{k}, range(1, len(part) + 1) AS t(i) GROUP BY ALL),
+b{k + 1} AS MATERIALIZED (SELECT position, entry, coalesce(f.e, b.e) AS e FROM b{k} b LEFT JOIN
+  (SELECT position, entry, list((s - ((s % c) + c) % c) // c ORDER BY i) AS e FROM s{k} GROUP BY ALL) f USING (position, entry))"""
+    return text + """,
+h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY position, entry)) AS codebooks_sha256 FROM b6),
+c AS (SELECT r, string_agg(printf('%02x', m.k), '' ORDER BY position) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM p JOIN a6 USING (position, part) GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN c USING (r), h"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix": op2_mix,
@@ -100,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_jaccard": op9_jaccard,
     "op10_pii": op10_pii,
+    "op11_codes": op11_codes,
     "op12_pieces": op12_pieces,
     "op13_resample": op13_resample,
 }
@@ -131,6 +161,7 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.x = b.x AND a.d
       GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
 r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = s.doc_id) AS component_id FROM s""",
+    "op11_codes": codes_sql(),
     "op13_resample": r"""
 WITH c AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
     lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS tab),
