@@ -53,6 +53,10 @@ class Dim:
     label: str = ""
 
 
+# ---------------------------------------------------------------------------
+# Query, key slug, display label, stored header, memo, bucket
+# edges and labels of the dimensions.
+# ---------------------------------------------------------------------------
 DIMENSIONS = (
     Dim("frame_no", "by_frame_no", "wakuban", "枠番", "枠番", "枠番別成績", RAW, "frame_no", "int"),
     Dim("horse_no", "by_horse_no", "umaban", "馬番", "馬番", "馬番別成績", RAW, "horse_no", "int"),
@@ -129,6 +133,7 @@ CHECK_COURSE = Selection(3, True, 1200, "良", _ALL_DAYS, CHECK_SINCE)
 CHECK_GRADED = Selection(3, True, 1200, "良", _ALL_DAYS, CHECK_SINCE, grade_race="URGENT")
 CHECK_COURSE_OPT = Selection(3, True, 1200, "良", _ALL_DAYS, CHECK_SINCE, months=(1, 2, 3, 4, 5, 6), race_rank="オープン")
 CHECK_COURSE_TERMS = Selection(3, True, 1200, "良", _ALL_DAYS, CHECK_SINCE, name_contains="URGENT", terms="ハンデ")
+CHECK_NO_RACE = Selection(3, True, 1200, "良", _ALL_DAYS, CHECK_SINCE, grade_race="NO SUCH RACE")
 
 BINDING = """
 race AS (
@@ -556,6 +561,7 @@ def oracle_statements() -> dict[str, str]:
     out["analysis_rows"] = analysis_rows_sql(CHECK_COURSE, [dimension(n) for n in INSERTED])
     out["grade_race_course"] = course_card_sql(CHECK_GRADED)
     out["course_summary"] = summary_sql(CHECK_GRADED)
+    out["course_summary_no_race"] = summary_sql(CHECK_NO_RACE)
     out["all_courses_breakdown"] = all_courses_sql(CHECK_SINCE)
     out["all_courses_reports"] = all_courses_reports_sql(CHECK_SINCE, [dimension(n) for n in INSERTED])
     return out

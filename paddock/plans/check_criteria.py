@@ -21,3 +21,6 @@ CHECK_COURSE_OPT = Criteria(3, True, 1200, "良", DAY_PRESETS[7], since=CHECK_SI
 # Course mode with name and terms.
 CHECK_COURSE_TERMS = Criteria(3, True, 1200, "良", DAY_PRESETS[7], since=CHECK_SINCE,
                               name_contains="URGENT", terms="ハンデ")
+
+# Graded-race mode with a name that no race has.
+CHECK_NO_RACE = Criteria(3, True, 1200, "良", DAY_PRESETS[7], grade_race="NO SUCH RACE", since=CHECK_SINCE)

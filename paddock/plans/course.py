@@ -30,7 +30,7 @@ from paddock.plans.dimensions import DIMENSIONS, INSERTED, Dimension, dimension
 from paddock.sources.tables import RaceTables
 
 MIN_JOCKEY_FINISHES = 20
-MAX_PLACE_ROWS = 10_000
+CARD_COLUMNS = ("length", "race_type", "circling", "terms")
 
 
 def _dims(dims) -> list[Dimension]:
@@ -159,54 +159,61 @@ class CourseAnalysis:
         return write_analysis(self.reports(dims, breakdown), path=path, table=table, fmt=fmt)
 
     # -- course card and summary -------------------------------------------
-    def _places(self) -> DataFrame:
-        """Racecourse names, broadcast when the table is within bounds."""
-        places = self.tables.master_place.select(F.col("id").alias("place_id"),
-                                                 F.col("name").alias("place_name"))
-        return bounded_broadcast(places, MAX_PLACE_ROWS)[0]
+    def _latest_card(self, by_place: DataFrame) -> DataFrame:
+        """``by_place`` (one row per racecourse, with its latest race) joined to the
+        racecourse names: ``card`` is that race as the original's inner join
+        shows it, NULL where the racecourse has no row.
+
+        Races are reduced to one a racecourse before the join, so it is a join of
+        two small tables whatever the number of races.  Repeated racecourse ids
+        give one row each here: the last name in order."""
+        names = self.tables.master_place.groupBy(F.col("id").alias("place_id")).agg(
+            F.struct(F.max("name").alias("place_name")).alias("place"))
+        card = F.struct("latest.date_and_time", "latest.race_id", "place.place_name", *[f"latest.{c}" for c in CARD_COLUMNS])
+        joined = by_place.join(names, "place_id", "left")
+        return joined.withColumn("card", F.when(F.col("place").isNotNull() & F.col("latest").isNotNull(), card))
 
     def course_card(self) -> DataFrame:
         """Latest race whose name contains the graded-race text (no date
         bound); for a course, one row with the empty card text."""
         g = self.criteria.grade_race
-        shown = ("length", "race_type", "circling", "terms")
         if g is None:
             race = self.tables.race.schema
             empty = [F.lit(None).cast("string").alias("place_name")]
-            empty += [F.lit(None).cast(race[c].dataType).alias(c) for c in shown]
+            empty += [F.lit(None).cast(race[c].dataType).alias(c) for c in CARD_COLUMNS]
             return self.tables.race.sparkSession.range(1).select(*empty, F.lit("").alias("course"))
-        mp = self._places()
-        latest = (self.tables.race.where(F.col("name").contains(g))
-                  .select("race_id", "date_and_time", "place_id", *shown)
-                  .join(mp, "place_id")
-                  .orderBy(F.desc("date_and_time"), F.desc("race_id"))
-                  .limit(1))
-        return latest.select("place_name", *shown, _card_text().alias("course"))
+        by_place = self.tables.race.where(F.col("name").contains(g)).groupBy("place_id").agg(
+            F.max(_race_struct()).alias("latest"))
+        latest = self._latest_card(by_place).agg(F.max("card").alias("card")).where("card IS NOT NULL")
+        return latest.select("card.place_name", *[f"card.{c}" for c in CARD_COLUMNS]).select("*", _card_text().alias("course"))
 
     def summary(self) -> DataFrame:
-        """One row: course card text ('' for a course), races, runners.
+        """One row: course card text ('' for a course, or when no race matches),
+        races, runners.
 
-        Races and card come from one scan of the race table, runners from the
-        same inner join ``count_horse`` uses; both are single partial sums."""
+        Races and card come from one scan of the race table, summed per
+        racecourse; the card is chosen after the join to the racecourse names,
+        as ``course_card`` chooses it.  Runners come from the same inner join
+        ``count_horse`` uses."""
         g = self.criteria.grade_race
         in_card = F.col("name").contains(g) if g is not None else F.lit(False)
-        card = F.struct("place_id", "length", "race_type", "circling", "terms")
-        races = (
+        by_place = (
             self.tables.race.withColumns({"in_sel": self.criteria.predicate(), "in_card": in_card})
             .where(F.col("in_sel") | F.col("in_card"))
-            .select(F.col("in_sel").cast("bigint").alias("races"), F.lit(0).cast("bigint").alias("runners"),
-                    F.when(F.col("in_card"), F.struct("date_and_time", "race_id")).alias("at"), card.alias("card")))
-        runners = self._runners().select(
-            F.lit(0).cast("bigint").alias("races"), F.lit(1).cast("bigint").alias("runners"),
-            F.lit(None).cast(races.schema["at"].dataType).alias("at"),
-            F.lit(None).cast(races.schema["card"].dataType).alias("card"))
+            .groupBy("place_id").agg(F.count_if("in_sel").alias("races"),
+                                     F.max(F.when(F.col("in_card"), _race_struct())).alias("latest")))
+        races = self._latest_card(by_place).select("races", F.lit(0).cast("bigint").alias("runners"), "card")
+        runners = self._runners().agg(F.count(F.lit(1)).alias("runners")).select(
+            F.lit(0).cast("bigint").alias("races"), "runners", F.lit(None).cast(races.schema["card"].dataType).alias("card"))
         stats = races.unionByName(runners).agg(
-            F.coalesce(F.sum("races"), F.lit(0)).alias("target_race"),
-            F.coalesce(F.sum("runners"), F.lit(0)).alias("target_horse"),
-            F.max_by("card", "at").alias("card")).select("target_race", "target_horse", "card.*")
-        stats = stats.join(self._places(), "place_id", "left")
-        course = _card_text() if g is not None else F.lit("")
-        return stats.select(F.coalesce(course, F.lit("")).alias("course"), "target_race", "target_horse")
+            F.sum("races").alias("target_race"), F.sum("runners").alias("target_horse"), F.max("card").alias("card"))
+        course = F.when(F.col("card").isNotNull(), _card_text()).otherwise("")
+        return stats.select("target_race", "target_horse", "card", "card.*").select(course.alias("course"), "target_race", "target_horse")
+
+
+def _race_struct():
+    """A race, so that the greatest one is the latest (ties: larger race id)."""
+    return F.struct("date_and_time", "race_id", *CARD_COLUMNS)
 
 
 # ---------------------------------------------------------------------------

@@ -1,12 +1,14 @@
 """Readers: column names, exact decimals, the racecourse fallback; the sink."""
 
+import datetime as dt
+from dataclasses import replace
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, DoubleType
 
-from fixture_tables import golden, write_tables
+from fixture_tables import DAY, golden, race_row, write_tables
 from paddock import CourseAnalysis, Criteria
 from paddock.operators.sink import write_analysis
 from paddock.sources.tables import exact, read_tables
@@ -80,3 +82,45 @@ def test_reports_from_a_breakdown_at_hand(spark):
     a = CourseAnalysis(golden(spark), C)
     everything = a.breakdown_all()
     assert sorted(map(str, a.reports(breakdown=everything).collect())) == sorted(map(str, a.reports().collect()))
+
+
+def graded(tables, name="R"):
+    return CourseAnalysis(tables, Criteria(3, True, 1200, "良", (1,), grade_race=name))
+
+
+def cards(a):
+    """The card by ``course_card`` ('' where there is none) and by ``summary``; one row each."""
+    card, summary = [r["course"] for r in a.course_card().collect()], a.summary().collect()
+    assert len(card) <= 1 and len(summary) == 1
+    return (card or [""])[0], summary[0]["course"]
+
+
+def test_summary_of_a_name_without_a_race(spark):
+    a = graded(golden(spark), "no such name")
+    assert a.course_card().collect() == []
+    assert tuple(a.summary().first()) == ("", 0, 0)
+
+
+def test_summary_card_is_the_latest_race_with_a_racecourse(spark):
+    t = golden(spark)
+    later = spark.createDataFrame([race_row(9, place_id=77, when=DAY + dt.timedelta(days=9)), race_row(8, place_id=5, length=1600, when=DAY + dt.timedelta(days=2)),
+                                   race_row(7, place_id=None, when=DAY + dt.timedelta(days=20))], t.race.schema)
+    a = graded(replace(t, race=t.race.unionByName(later)))
+    card, summary = cards(a)
+    assert card == summary and "東京" in card and "1600" in card
+    assert a.summary().first()["target_race"] == 5           # the races without a racecourse row count
+
+
+def test_summary_with_repeated_racecourse_and_race_ids(spark):
+    t = golden(spark)
+    places = t.master_place.unionByName(t.master_place).unionByName(spark.createDataFrame([(3, "zz"), (None, "none"), (3, None)], t.master_place.schema))
+    a = graded(replace(t, master_place=places, race=t.race.unionByName(t.race)))
+    card, summary = cards(a)
+    assert card == summary and "福島" in card
+    assert tuple(a.summary().first())[1:] == (4, 14)
+
+
+def test_card_of_empty_tables(spark):
+    t = golden(spark)
+    for a in (graded(replace(t, master_place=t.master_place.limit(0))), graded(replace(t, race=t.race.limit(0)))):
+        assert cards(a) == ("", "")
