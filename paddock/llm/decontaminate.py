@@ -18,12 +18,16 @@ one every ``STRIDE`` bytes and one at its end, by the same lemma and alignment
 with a tenth of the window as budget.  So every copied part that holds a window
 is found, whatever else of the item is missing: any run of ``WINDOW + STRIDE``
 bytes, most exact ones of ``WINDOW``.  Items of at most ``WINDOW`` bytes count as a
-whole only.
+whole only, items of more than ``LONGEST`` bytes by their windows only.
 
 Texts are compared on a normal form: A-Z and Latin-1 capitals lower-cased,
 every run of other ASCII characters than letters and digits one space.  The
 result depends on no sample or prefix: whole texts, all items.
 
+Memory in a task is bounded by one text (a few times its bytes), the item
+block, and the q-gram hits of one piece: texts are searched about ``CHUNK`` bytes
+at a time, in pieces that overlap by the longest item and its bands.
+
 The items are a stated query set.  They are collected and sent to the tasks in
 blocks of at most ``BLOCK_BYTES`` bytes; each block is one pass over the texts,
 so a larger benchmark costs passes, not memory.
@@ -50,6 +54,7 @@ from paddock.llm.common import kept_rows, with_computed
 Q = 8
 BUDGET = 0.10
 WINDOW, STRIDE = 320, 80
+LONGEST = 1 << 14
 CHUNK = 1 << 20
 BLOCK_BYTES = 4 << 20
 _BITS = 22
@@ -64,15 +69,27 @@ _NORMAL[0] = 0
 
 def normal_bytes(raw: bytes) -> np.ndarray:
     """The normal form; zero bytes (separators of texts) stay."""
-    if not raw:
-        return np.zeros(0, np.uint8)
-    a = np.frombuffer(raw, dtype=np.uint8)
+    out, at, spaced = [np.zeros(0, np.uint8)], 0, True
+    while at < len(raw):
+        cut = min(at + CHUNK, len(raw))
+        while cut < len(raw) and 0x80 <= raw[cut] < 0xC0:      # within a character
+            cut += 1
+        part = _normal_part(np.frombuffer(raw, dtype=np.uint8, count=cut - at, offset=at), spaced)
+        spaced = bool(part[-1] == 32) if len(part) else spaced
+        out.append(part)
+        at = cut
+    return np.concatenate(out)
+
+
+def _normal_part(a: np.ndarray, spaced: bool) -> np.ndarray:
+    """``spaced``: a space stands before the part, or nothing."""
     x = _NORMAL[a]
     capital = np.flatnonzero(a[:-1] == 0xC3) + 1
     capital = capital[(a[capital] >= 0x80) & (a[capital] <= 0x9E) & (a[capital] != 0x97)]
     x[capital] += 0x20
     space = x == 32
     keep = ~space
+    keep[0] |= not spaced
     keep[1:] |= ~space[:-1]
     return x[keep]
 
@@ -143,8 +160,9 @@ class ItemIndex:
         self.ids = [i for i, _ in items]
         self.items = [np.frombuffer(b, dtype=np.uint8) for _, b in items]
         self.length = np.array([len(x) for x in self.items], dtype=np.int64)
-        self.budget = np.array([edit_budget(int(m)) for m in self.length], dtype=np.int64)
-        self.need = self.length + 1 - Q * (self.budget + 1)
+        by_windows = self.length > LONGEST
+        self.budget = np.array([edit_budget(int(m)) if m <= LONGEST else 0 for m in self.length], dtype=np.int64)
+        self.need = np.where(by_windows, np.iinfo(np.int64).max, self.length + 1 - Q * (self.budget + 1))
         g = [grams(x) for x in self.items]
         value = np.concatenate(g) if g else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(g)), [len(x) for x in g])
@@ -156,7 +174,13 @@ class ItemIndex:
         self.short = [(k, x.tobytes()) for k, x in enumerate(self.items) if 0 < len(x) < Q]
         # Band width: at least the item's budget, so that a copy lies in two neighbours at most.
         self.shift = np.array([max(3, int(e).bit_length()) for e in self.budget], dtype=np.int64)
-        self.margin = int((self.length.max(initial=1) // 512 + 1) * 512) << max(0, int(self.shift.max(initial=3)) - 9)
+        # A multiple of every band's width, as are the begins of the pieces of a long block of texts.
+        widest = max(9, int(self.shift.max(initial=3)))
+        self.margin = (int(self.length.max(initial=1)) // 512 + 1) * 512 << (widest - 9)
+        # A band's hits lie within the length of what it is a band of, an item or a window.
+        longest = max(WINDOW, int(self.length[~by_windows].max(initial=1)))
+        self.reach = -(-(longest + (2 << widest) + Q) >> widest) << widest
+        self.step = max(CHUNK >> widest << widest, self.reach)
         # Windows of the long items: item and offset, the first window of each item.
         begins = [[*range(0, len(x) - WINDOW, STRIDE), len(x) - WINDOW] if len(x) > WINDOW else [] for x in self.items]
         self.first_window = np.cumsum([0, *(len(b) for b in begins)])
@@ -174,14 +198,15 @@ class ItemIndex:
     def _reaching(owner: np.ndarray, band: np.ndarray, place: np.ndarray, need: np.ndarray, bands: np.int64, distinct: bool) -> tuple:
         """Owners and bands that reach ``need`` (by owner) together with the next band, and the hits of both."""
         key = owner * bands + band
+        if not len(key):
+            return key, key, np.zeros(0, np.int64)
         if distinct:
-            key = np.unique((key << np.int64(24)) | place)
-            key, place, at = key >> np.int64(24), key & np.int64((1 << 24) - 1), None
+            at = np.lexsort((place, key))
+            key, place = key[at], place[at]
+            key = key[np.r_[True, (key[1:] != key[:-1]) | (place[1:] != place[:-1])]]
         else:
             at = np.argsort(key, kind="stable")
             key = key[at]
-        if not len(key):
-            return key, key, np.zeros(0, np.int64)
         new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         own, n = key[new], np.diff(np.r_[new, len(key)])
         follows = np.r_[own[1:] == own[:-1] + 1, False]
@@ -192,7 +217,16 @@ class ItemIndex:
 
     def regions(self, text: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
         """(item, begin and end in the item, budget, lowest and highest diagonal) of the bands of a block
-        of texts that reach the lemma's bound; whole items first, then windows."""
+        of texts that reach the lemma's bound; whole items first, then windows.
+
+        A long block is searched piece by piece.  Pieces overlap by ``reach`` and begin at multiples of every
+        band's width, so each band lies whole in a piece, and bands found twice are the same."""
+        found = {(k, first, last, e, low + at, high + at)
+                 for at in range(0, len(text), self.step)
+                 for k, first, last, e, low, high in self._regions(text[at:at + self.step + self.reach])}
+        return sorted(found, key=lambda r: (r[2] - r[1] < self.length[r[0]], r))
+
+    def _regions(self, text: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
         g = grams(text)
         at = np.flatnonzero(self.seen[self._slot(g)])
         if not len(at) or not len(self.distinct):
@@ -245,9 +279,9 @@ class ItemIndex:
         text = normal_bytes(b"\0" * Q + (b"\0" * Q).join(raw) + b"\0" * Q)
         zero = text == 0
         body = np.flatnonzero(np.diff(np.r_[True, zero, True].astype(np.int8)))
-        # Texts may be empty: count separators, not bodies.
-        number = np.cumsum(zero) // Q - 1
         starts, ends = body[::2], body[1::2]
+        # Texts may be empty: count separators, not bodies.
+        number = np.searchsorted(np.flatnonzero(zero), starts) // Q - 1
         whole = text.tobytes()
         found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         partly: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
@@ -284,10 +318,10 @@ class ItemIndex:
         for (s, k), hits in found.items():
             for g in grouped(hits):
                 cost, b, t = min(g)
-                yield int(number[starts[s]]), self.ids[k], b, t, cost
+                yield int(number[s]), self.ids[k], b, t, cost
         for (s, k), hits in partly.items():
             for g in grouped([h for h in hits if not any(h[1] < t and b < h[2] for b, t in copies[s, k])]):
-                yield int(number[starts[s]]), self.ids[k], g[0][1], max(h[2] for h in g), min(g)[0]
+                yield int(number[s]), self.ids[k], g[0][1], max(h[2] for h in g), min(g)[0]
 
 
 def _text_blocks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:

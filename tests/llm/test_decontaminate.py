@@ -115,3 +115,63 @@ def test_cut_copies_of_long_items(spark):
     exact = [r for r in rows if r["doc_id"] < 100 and r["doc_id"] % 2 == 0]
     assert all(r["edits"] == 0 for r in exact) and len(exact) == 30
     assert {r["doc_id"] for r in D.without_contaminated(table, benchmark).collect()} == {100, 101}
+
+
+def letters(rng, n):
+    """n bytes of random words, as bytes."""
+    x = rng.integers(97, 123, n).astype(np.uint8)
+    x[rng.integers(0, n, n // 7)] = 32
+    return x.tobytes()
+
+
+def test_normal_form_by_parts(monkeypatch):
+    rng = random.Random(8)
+    raws = ["".join(rng.choice("aÉß .,\0日—") for _ in range(rng.randrange(0, 60))).encode() for _ in range(300)]
+    want = [D.normal_bytes(r).tolist() for r in raws]
+    monkeypatch.setattr(D, "CHUNK", 3)
+    assert [D.normal_bytes(r).tolist() for r in raws] == want
+
+
+def test_pieces_find_what_whole_texts_find(monkeypatch):
+    rng = np.random.default_rng(2)
+    items = [(i, D.item_bytes(letters(rng, n).decode())) for i, n in enumerate([60, 200, 320, 900, 2500])]
+    r = random.Random(3)
+    text = b""
+    for _ in range(20):
+        item = items[r.randrange(len(items))][1]
+        at = r.randrange(len(item) // 2)
+        text += letters(rng, r.randrange(10, 3000)) + edited(r, (item if r.random() < 0.5 else item[at:]).decode(), len(item) // 30).encode()
+    for longest in (1 << 14, 1000):
+        monkeypatch.setattr(D, "LONGEST", longest)
+        monkeypatch.setattr(D, "CHUNK", 1 << 20)
+        whole = D.ItemIndex(items)
+        monkeypatch.setattr(D, "CHUNK", 1 << 9)
+        pieces = D.ItemIndex(items)
+        normal = D.normal_bytes(text)
+        assert whole.step >= len(normal) > 4 * pieces.step
+        assert pieces.regions(normal) == whole.regions(normal)
+        found = list(pieces.matches([text, text[:5000]]))
+        assert found == list(whole.matches([text, text[:5000]])) and len(found) >= 12
+
+
+def test_many_items_in_a_very_long_text():
+    """More (item, band) pairs than 64 bits hold together with a place."""
+    rng = np.random.default_rng(4)
+    items = [(i, bytes(x)) for i, x in enumerate(rng.integers(97, 123, (350_000, 11)).astype(np.uint8))]
+    text = bytearray(rng.integers(48, 58, 16 << 20).astype(np.uint8).tobytes())
+    planted = {0: 15 << 20, 123_456: 7 << 20, 349_000: (16 << 20) - 200, 349_999: 5}
+    for i, at in planted.items():
+        text[at:at + 11] = items[i][1]
+    found = {(i, begin, end, edits) for _, i, begin, end, edits in D.ItemIndex(items).matches([bytes(text)])}
+    assert found == {(i, at, at + 11, 0) for i, at in planted.items()}
+
+
+def test_items_of_more_than_sixteen_megabytes():
+    rng = np.random.default_rng(6)
+    item = rng.integers(97, 123, (17 << 20) + 5).astype(np.uint8).tobytes()
+    index = D.ItemIndex([(1, item), (2, b"an item of usual length here")])
+    around = rng.integers(48, 58, 3000).astype(np.uint8).tobytes()
+    for at in (0, 17 << 20 - 4, len(item) - 900):
+        found = list(index.matches([b"nothing", around + item[at:at + 900] + around]))
+        assert [(n, i, edits) for n, i, _, _, edits in found] == [(1, 1, 0)]
+        assert found[0][2] <= 3000 + 80 and found[0][3] >= 3900 - 80
