@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -55,18 +56,21 @@ def test_many_random_texts(codec, library):
     pieces = [p.replace(C._MARK, " ") for p in codec.vocabulary.pieces if p]
     r = random.Random(3)
     texts += ["".join(r.choices(pieces, k=4)) for _ in range(30_000)]
-    assert [codec.encode(t).tolist() for t in texts] == library.encode(texts)
+    assert [ids.tolist() for ids in codec.encode_all(texts)] == library.encode(texts)
 
 
 def test_every_prefix_has_one_last_piece(codec, library):
-    for text in random_texts(4, 40, 12) + ["representations of internationalisation", " " * 40 + "x"]:
-        marked = C._MARK + text.replace(" ", C._MARK) if text else ""
-        for part in C._PARTS.findall(marked):
-            piece, begin = codec.last_pieces(part)
-            for end in range(len(part)):
-                fitting = [p for p, i in codec.id_of.items() if part[:end + 1].endswith(p) and (
-                    end + 1 == len(p) or piece[end - len(p)] < 0 or codec.compatible(piece[end - len(p)], i))]
-                assert fitting == ([part[begin[end]:end + 1]] if piece[end] >= 0 else [])
+    for text in random_texts(4, 40, 12) + ["representations of internationalisation", " " * 40 + "x", "y" * 100]:
+        for unit in C.re.findall(f"{C._MARK}*[^{C._MARK}\n]+", C._MARK + text.replace(" ", C._MARK)):
+            code = codec.automaton.code[[ord(c) for c in unit]]
+            if not code.all():
+                continue
+            last = codec.last_pieces(code, np.array([0]))
+            assert last[0] == -1
+            for end in range(1, len(unit) + 1):
+                fitting = [i for p, i in codec.id_of.items() if unit[:end].endswith(p) and (
+                    end == len(p) or codec.compatible(int(last[end - len(p)]), i))]
+                assert fitting == [last[end]]
 
 
 def test_compatible_pairs_are_those_the_library_keeps(codec, library):
@@ -90,15 +94,22 @@ def test_decoding_of_any_ids(codec, library):
             codec.decode(wrong)
 
 
-def test_tables_stay_bounded(library, monkeypatch):
-    monkeypatch.setattr(C, "KEPT_BYTES", 3000)
-    monkeypatch.setattr(C, "KEPT_PAIRS", 20)
-    monkeypatch.setattr(C, "SEGMENT", 50)
-    small = C.Codec(C.read_vocabulary(MODEL)[1])
-    for text in random_texts(7, 300, 60):
-        assert small.encode(text).tolist() == library.encode(text)
-        assert len(small.parts) + len(small.older) < 30 and len(small.pairs) <= 20
-    assert all(len(p) <= C.KEPT_LENGTH for p in small.parts)
+def test_bounds_change_nothing(library, monkeypatch):
+    texts = random_texts(7, 300, 60) + ["".join(random.Random(9).choices("abcdefgh", k=5000)), "é" * 300 + "日本\U0001f44d" * 40]
+    want = library.encode(texts)
+    for bounds in ({"PAIR_BITS": 4, "SEGMENT": 50, "WIDE": 8}, {"PAIR_BITS": 9, "WIDE": 1}, {"PAIR_BITS": 12, "SEGMENT": 1, "KEPT_PAIRS": 3}):
+        with monkeypatch.context() as m:
+            for name, value in bounds.items():
+                m.setattr(C, name, value)
+            small = C.Codec(C.read_vocabulary(MODEL)[1])
+            assert [i.tolist() for i in small.encode_all(texts)] == want
+            assert small.pairs.used <= len(small.pairs.keys) // 2
+
+
+def test_parts_of_equal_hashes(codec, library, monkeypatch):
+    monkeypatch.setattr(C, "_WEIGHT", np.zeros(C.WIDE + 1, dtype=np.uint64))
+    texts = random_texts(8, 200, 30)
+    assert [i.tolist() for i in codec.encode_all(texts)] == library.encode(texts)
 
 
 def test_other_vocabularies_raise():
