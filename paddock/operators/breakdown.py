@@ -15,9 +15,10 @@ dimensions fall in three groups, each with a narrow plan of its own:
 
 * keyed dimensions: one ``Generate`` per runner, a row per dimension, summed
   per (dim, key);
-* the jockey dimension: summed per (horse id, jockey id), then joined to the
-  horse and jockey rows (inner joins, so repeated or missing rows count as in
-  the original) and summed per name;
+* the jockey dimension: runners joined to the jockey and horse rows (inner
+  joins, so repeated or missing rows count as in the original) and summed per
+  name -- (horse, jockey) pairs on a course are nearly as many as runners, so
+  summing them first would only add a shuffle;
 * in-race rank dimensions: summed per (race, time), ranked by a window per
   race -- a bounded group even for a huge race -- and summed per rank
   (separately per side when payout rows repeat, as the original ranked the
@@ -39,23 +40,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock.functions.sql import ident, quote
-from paddock.functions.text import percent_text_sql, ratio_sql, record_sql
+from paddock.functions.text import percent_text_sql, record_sql
 from paddock.operators.fact import runner_fact
 from paddock.operators.joins import fits
 from paddock.operators.race_rank import value_ranks
+from paddock.operators.rate_rank import piece_ranks, window_ranks
 from paddock.plans.dimensions import BUCKET, JOCKEY, RACE_RANK, Dimension
 from paddock.sources.tables import RaceTables
 
 COUNTS = ("no1", "no2", "no3", "no4")
 PAYOUTS = ("w_rows", "w_money", "p_rows", "p_money")
 MEASURES = COUNTS + PAYOUTS
+# Fact columns that the measures are made from.
+FACT_MEASURES = ("seq", "arrival_order", "w_n", "w_sum", "p_n", "p_sum")
 FLAGS = ("has_c", "has_w", "has_p")
 KEY_COLS = ("dim", "dim_key")
 KEY_ORDER_TYPE = "DECIMAL(12,1)"
-# Row bounds for broadcasting the horse and jockey tables (checked on the raw
-# table, an upper bound of the per-id rows actually broadcast).
-MAX_HORSE_ROWS = 2_000_000
-MAX_JOCKEY_ROWS = 1_000_000
+# Rows of the jockey table (an upper bound of the names) up to which a window ranks all jockeys.
+MAX_RANKED_JOCKEYS = 200_000
 
 METRIC_COLUMNS = (
     "record", "win_rate_pct", "rentai_rate_pct", "fukusho_rate_pct",
@@ -112,22 +114,17 @@ def key_sums(fact: DataFrame, dims: list[Dimension], carry: tuple = ()) -> DataF
 
 
 def jockey_sums(fact: DataFrame, horse: DataFrame, jockey: DataFrame, dim: Dimension,
-                carry: tuple = (), broadcast: bool = True) -> DataFrame:
+                carry: tuple = ()) -> DataFrame:
     """The jockey dimension: a runner counts once per (horse row, jockey row)
     of its ids; runners without either are missing.
 
-    Horse and jockey tables are broadcast while within their bounds (and
-    ``broadcast`` holds)."""
+    Horse and jockey tables carry no hint: Spark broadcasts them while their
+    size, as planned or as measured by AQE, is under its threshold."""
     horses = horse.groupBy(F.col("id").alias("horse_id")).agg(F.count(F.lit(1)).alias("horse_n"))
     jockeys = jockey.select(F.col("id").alias("jockey_id"), F.col("name").alias("dim_key"))
-    if broadcast and fits(horse, MAX_HORSE_ROWS):
-        horses = F.broadcast(horses)
-    if broadcast and fits(jockey, MAX_JOCKEY_ROWS):
-        jockeys = F.broadcast(jockeys)
     rows = fact.where("horse_id IS NOT NULL AND jockey_id IS NOT NULL").selectExpr(
         *_cols(carry), "horse_id", "jockey_id", *measures_sql())
-    pairs = _summed(rows, (*carry, "horse_id", "jockey_id"))
-    named = pairs.join(horses, "horse_id").join(jockeys, "jockey_id")
+    named = rows.join(jockeys, "jockey_id").join(horses, "horse_id")
     return _keyed(_summed(named, (*carry, "dim_key"), "horse_n").withColumn("dim", F.lit(dim.slug)), carry)
 
 
@@ -161,13 +158,34 @@ def aggregate(rows: DataFrame, group: tuple) -> DataFrame:
                                     *[F.max(f).alias(f) for f in FLAGS])
 
 
+def shared_fact(fact: DataFrame, dims: list[Dimension], carry: tuple) -> DataFrame:
+    """``fact`` with exactly the columns that ``dims`` need together, for several plans over it.
+
+    Each plan reads other columns, and Catalyst would prune each one's scans and
+    exchanges to its own: the same runners read and shuffled once a plan.  The
+    rows pass a Generate of one row that names every column; nothing is pruned
+    through it, so the exchanges below are equal and Spark reuses them.  Race id
+    and carried columns pass beside it, which keeps the clustering by race."""
+    names = dict.fromkeys(FACT_MEASURES)
+    for d in dims:
+        names.update(dict.fromkeys(("horse_id", "jockey_id") if d.kind == JOCKEY else (d.source,)))
+    fields = ", ".join(f"{quote(c)}, {ident(c)}" for c in names)
+    return fact.selectExpr(*_cols((*carry, "race_id")), f"inline(array(named_struct({fields})))")
+
+
 def breakdown_sums(tables: RaceTables, races: DataFrame, dims: list[Dimension], carry: tuple = (),
                    races_are_small: bool = False) -> DataFrame:
     """One row per (carry, dim, dim_key): measures and side flags."""
     fact = runner_fact(tables, races, carry, races_are_small)
-    parts = [rank_sums(fact, d, carry) for d in dims if d.kind == RACE_RANK]
-    parts += [jockey_sums(fact, tables.horse, tables.jockey, d, carry, races_are_small) for d in dims if d.kind == JOCKEY]
     keyed = [d for d in dims if d.kind not in (RACE_RANK, JOCKEY)]
+    if len(dims) - len(keyed) + bool(keyed) > 1:
+        if races_are_small:
+            # The races were broadcast, so the runners have no exchange yet that the plans
+            # could share; dealt by runner, a hot race is spread.
+            fact = fact.repartition("race_id", "horse_no", "seq")
+        fact = shared_fact(fact, dims, carry)
+    parts = [rank_sums(fact, d, carry) for d in dims if d.kind == RACE_RANK]
+    parts += [jockey_sums(fact, tables.horse, tables.jockey, d, carry) for d in dims if d.kind == JOCKEY]
     if keyed:
         parts.append(key_sums(fact, keyed, carry))
     return reduce(DataFrame.unionByName, parts)
@@ -187,27 +205,38 @@ def _label_sql(dims: list[Dimension]) -> str:
     return f"(CASE dim {' '.join(whens)} ELSE dim_key END)" if whens else "dim_key"
 
 
+def many_jockeys(tables: RaceTables, dims: list[Dimension]) -> bool:
+    """Whether the jockey dimension may have more names than one window task should rank."""
+    return any(d.kind == JOCKEY for d in dims) and not fits(tables.jockey, MAX_RANKED_JOCKEYS)
+
+
 def finish(agg: DataFrame, dims: list[Dimension], part: tuple = (),
-           min_jockey_finishes: int = 20) -> DataFrame:
+           min_jockey_finishes: int = 20, jockeys_are_many: bool = False) -> DataFrame:
     """Texts, ranks and flags of aggregated rows.
 
     Ranks are taken per ``part + (dim,)`` over the unrounded rates, highest
     first, NULL rates last, ties sharing a rank; the jockey rows are then
     limited to names with at least ``min_jockey_finishes`` counted finishes
-    (ranks stay those among all jockeys).
+    (ranks stay those among all jockeys).  ``jockeys_are_many``: jockey rows are
+    ranked by pieces of the rate, the other dimensions' few values by a window.
     """
     kept = agg.where("has_c = 1 AND has_w = 1 AND has_p = 1 AND dim_key IS NOT NULL").selectExpr(
         *_cols(part), *KEY_COLS, *MEASURES,
         "no1 + no2 + no3 + no4 AS total_count", "no1 + no2 AS n12", "no1 + no2 + no3 AS n123")
-    by = ", ".join(_cols((*part, "dim")))
-
-    def rank_of(num: str) -> str:
-        return f"rank() OVER (PARTITION BY {by} ORDER BY {ratio_sql(num, 'total_count')} DESC NULLS LAST)"
+    group = (*part, "dim")
+    rates = {"win_rate_ranking": ("no1", "total_count"), "rentai_rate_ranking": ("n12", "total_count"),
+             "fukusho_rate_ranking": ("n123", "total_count")}
+    jockey_slugs = ", ".join(quote(d.slug) for d in dims if d.kind == JOCKEY)
+    if jockeys_are_many and jockey_slugs:
+        few, many = (kept.where(f"dim {is_in} ({jockey_slugs})") for is_in in ("NOT IN", "IN"))
+        ranked = window_ranks(few, group, rates).unionByName(piece_ranks(many, group, "dim_key", rates))
+    else:
+        ranked = window_ranks(kept, group, rates)
 
     def over_100(money: str, rows: str) -> str:
         return f"CASE WHEN {money} >= {rows} * 100 THEN 1 ELSE 0 END"
 
-    out = kept.selectExpr(
+    out = ranked.selectExpr(
         *_cols(part), *KEY_COLS,
         f"{_key_order_sql(dims)} AS key_order",
         f"{_label_sql(dims)} AS dim_value",
@@ -215,18 +244,15 @@ def finish(agg: DataFrame, dims: list[Dimension], part: tuple = (),
         f"{percent_text_sql('no1', 'total_count', 1000)} AS win_rate_pct",
         f"{percent_text_sql('n12', 'total_count', 1000)} AS rentai_rate_pct",
         f"{percent_text_sql('n123', 'total_count', 1000)} AS fukusho_rate_pct",
-        f"{rank_of('no1')} AS win_rate_ranking",
-        f"{rank_of('n12')} AS rentai_rate_ranking",
-        f"{rank_of('n123')} AS fukusho_rate_ranking",
+        *rates,
         f"{percent_text_sql('w_money', 'w_rows', 10)} AS win_recovery_rate",
         f"{percent_text_sql('p_money', 'p_rows', 10)} AS d_win_recovery_rate",
         f"{over_100('w_money', 'w_rows')} AS win_recovery_100_over",
         f"{over_100('p_money', 'p_rows')} AS d_win_recovery_100_over",
         "total_count",
     )
-    jockey_slugs = [quote(d.slug) for d in dims if d.kind == JOCKEY]
     if jockey_slugs:
-        out = out.where(f"dim NOT IN ({', '.join(jockey_slugs)}) OR total_count >= {int(min_jockey_finishes)}")
+        out = out.where(f"dim NOT IN ({jockey_slugs}) OR total_count >= {int(min_jockey_finishes)}")
     return out
 
 

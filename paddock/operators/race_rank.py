@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from paddock.functions.sql import ident
 
-# Largest race that is ranked by a window over its runners.
-MAX_RACE_ROWS = 100_000
-
 
 def value_ranks(summed: DataFrame, part: tuple, value: str, weights: dict[str, str]) -> DataFrame:
     """``summed`` (one row per ``part`` and ``value``) with the ranks in
@@ -28,18 +25,18 @@ def value_ranks(summed: DataFrame, part: tuple, value: str, weights: dict[str, s
                                     for r, w in weights.items()])
 
 
-def in_race_rank(runners: DataFrame, column: str, out: str, max_race_rows: int = MAX_RACE_ROWS) -> DataFrame:
-    """``runners`` with the in-race rank of ``column``.
+def in_race_rank(runners: DataFrame, column: str, out: str) -> DataFrame:
+    """``runners`` with the in-race rank of ``column``, one plan for any size of race.
 
-    While no race has more than ``max_race_rows`` runners (counted first, over
-    the race ids alone) a plain window ranks them: one scan, one shuffle.
-    Beyond that ranks come from the counts per (race, value), joined back."""
-    largest = runners.groupBy("race_id").count().agg(F.max("count")).first()[0] or 0
-    if largest <= max_race_rows:
-        return runners.selectExpr("*", f"CAST(rank() OVER (PARTITION BY race_id ORDER BY {ident(column)} "
-                                       f"ASC NULLS FIRST) AS INT) AS {ident(out)}")
+    A rank needs the number of runners with smaller values only, so values are
+    counted per (race, value) -- reading these two columns, partial counts first
+    -- ranked per race, and joined back on (race, value).  A huge race is dealt
+    by its values; one value that many of its runners share is a skewed key of
+    that join, which AQE splits."""
     counts = runners.groupBy("race_id", column).agg(F.count(F.lit(1)).alias("_n"))
-    ranks = value_ranks(counts, ("race_id",), column, {"_rank": "_n"}).select(
-        F.col("race_id").alias("_rid"), F.col(column).alias("_val"), F.col("_rank").cast("int").alias(out))
-    joined = runners.join(ranks, (F.col("race_id") == F.col("_rid")) & F.col(column).eqNullSafe(F.col("_val")))
-    return joined.drop("_rid", "_val")
+    # One computed key: with race_id as a key of its own the join would keep the clustering
+    # by race that the window leaves, and AQE splits only joins of two shuffled sides.
+    key = f"concat(race_id, '/', coalesce(concat('=', {ident(column)}), ''))"
+    ranks = value_ranks(counts, ("race_id",), column, {"_rank": "_n"}).selectExpr(
+        f"{key} AS _of", f"CAST(_rank AS INT) AS {ident(out)}")
+    return runners.withColumn("_of", F.expr(key)).join(ranks, "_of").drop("_of")

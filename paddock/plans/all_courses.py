@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paddock.operators.breakdown import FLAGS, KEY_COLS, MEASURES, aggregate, breakdown_sums, finish
+from paddock.operators.breakdown import FLAGS, KEY_COLS, MEASURES, aggregate, breakdown_sums, finish, many_jockeys
 from paddock.operators.joins import MAX_BROADCAST_ROWS, bounded_broadcast
 from paddock.operators.report import payload_header_sql, payloads, report_memo_sql
 from paddock.operators.sink import analysis_frame
@@ -57,7 +57,8 @@ def all_courses_breakdown(tables: RaceTables, since: str = COURSE_SINCE, dims=No
     per_preset = per_day.select(
         *COURSE_COLS, F.explode(F.try_element_at(day_presets(), F.col("days"))).alias("preset"),
         *KEY_COLS, *MEASURES, *FLAGS)
-    return finish(aggregate(per_preset, (*PRESET_COLS, *KEY_COLS)), dims, PRESET_COLS, min_jockey_finishes)
+    return finish(aggregate(per_preset, (*PRESET_COLS, *KEY_COLS)), dims, PRESET_COLS, min_jockey_finishes,
+                  many_jockeys(tables, dims))
 
 
 def all_courses_reports(tables: RaceTables, since: str = COURSE_SINCE, dims=INSERTED,

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock.functions.text import percent_text_expr
-from paddock.operators.breakdown import breakdown_sums, dimension_view, finish
+from paddock.operators.breakdown import breakdown_sums, dimension_view, finish, many_jockeys
 from paddock.operators.fact import race_runners
 from paddock.operators.joins import MAX_BROADCAST_ROWS, bounded_broadcast
 from paddock.operators.report import (
@@ -78,7 +78,7 @@ class CourseAnalysis:
     def breakdown_all(self, dims=None) -> DataFrame:
         """All requested dimensions in one job, keyed by ``dim`` (slug)."""
         dims = _dims(dims)
-        return finish(self._sums(dims), dims, (), self.min_jockey_finishes)
+        return finish(self._sums(dims), dims, (), self.min_jockey_finishes, many_jockeys(self.tables, dims))
 
     def side_totals(self, dim) -> DataFrame:
         """Per dimension value, before the NULL-key and three-side rules:

@@ -10,6 +10,7 @@ from oracle_compare import compare
 from oracle_sql import all_courses_sql, breakdown_sql, race_pred
 from paddock import DIMENSIONS, CourseAnalysis, Criteria
 from paddock.plans.all_courses import all_courses_breakdown, all_courses_reports
+from paddock.plans.dimensions import dimension
 from paddock.sources.tables import read_tables
 
 SINCE = "2014-06-01 00:00:00"
@@ -60,9 +61,14 @@ def test_all_courses_both_forms(spark, twice):
     assert a == b and a
 
 
-def test_horse_and_jockey_bounds(twice, monkeypatch):
-    tables, _ = twice
-    want = rows(CourseAnalysis(tables, GRADED).breakdown_all(["jockey"]))
-    monkeypatch.setattr(B, "MAX_HORSE_ROWS", 0)
-    monkeypatch.setattr(B, "MAX_JOCKEY_ROWS", 0)
-    assert rows(CourseAnalysis(tables, GRADED).breakdown_all(["jockey"])) == want
+def test_ranks_of_many_jockeys(spark, twice, monkeypatch):
+    """Jockeys ranked by pieces of the rate: same rows as by a window, and as the SQL."""
+    tables, con = twice
+    want = rows(CourseAnalysis(tables, GRADED, min_jockey_finishes=1).breakdown_all(["jockey", "frame_no"]))
+    want_all = rows(all_courses_breakdown(tables, SINCE, ["jockey"], 1))
+    monkeypatch.setattr(B, "MAX_RANKED_JOCKEYS", 0)
+    many = CourseAnalysis(tables, GRADED, min_jockey_finishes=1)
+    assert rows(many.breakdown_all(["jockey", "frame_no"])) == want
+    assert rows(all_courses_breakdown(tables, SINCE, ["jockey"], 1)) == want_all and want_all
+    r = compare(spark, "jockey", lambda s, p: many.breakdown("jockey"), breakdown_sql(GRADED, dimension("jockey"), 1, binding=False), "", con)
+    assert r["ok"], r
