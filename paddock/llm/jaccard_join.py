@@ -10,6 +10,8 @@ of each document, exactly: no cap, no sampling of candidates.
    buckets as packed arrays; a shingle that two classes of the block share is
    announced once (this is the map-side combine that keeps frequent shingles
    small), any other travels with its class.  Buckets return what is shared.
+   Equal texts of a block count once; a class with over ``BUCKET_TOKENS`` shingles
+   in all its copies is dealt by one row only (its smallest id hash).
 2. *Index lists, skipped by position.*  Each remaining class puts the first
    ``s - ceil(0.8 n) + 1`` of its ``s`` shared shingles, rarest first, into
    index lists.  Lists are cut into blocks of set sizes 1.25 apart.  A class
@@ -44,12 +46,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.llm.common import shuffle_parts, stored, with_computed
+from paddock.llm.common import fresh, named, shuffle_parts, stored, with_computed, with_totals
 from paddock.llm.components import components
 from paddock.llm.words import each_words, mix, packed, shingles, unpacked
 
 BLOCK_TOKENS = 1_000_000
 BUCKET_TOKENS = 1_000_000
+MOST_COPIED = 1_000_000
 LOW_BITS = np.uint64(40)
 LOW_MASK = np.uint64((1 << 40) - 1)
 MEMBERS, OUTSIDERS = 1024, 128
@@ -96,8 +99,11 @@ def _read_rows(rows: pd.DataFrame, high: str) -> tuple[np.ndarray, np.ndarray, n
             cat("low", "<u4").astype(np.uint64) | (cat("high", high).astype(np.uint64) << np.uint64(32)))
 
 
-def _dealer(buckets: int):
-    """Deals the shingles of blocks of texts to buckets."""
+def _dealer(buckets: int, copied: np.ndarray, speaker: np.ndarray):
+    """Deals the shingles of blocks of texts to buckets.
+
+    ``copied``: sorted digests of classes with so many copies that only the rows
+    with the id hash in ``speaker`` deal; others deal once a block."""
 
     def flush(sets: dict[int, np.ndarray]) -> pd.DataFrame:
         digests = np.fromiter(sets.keys(), np.uint64, len(sets))
@@ -135,10 +141,14 @@ def _dealer(buckets: int):
         held: dict[int, np.ndarray] = {}
         tokens = 0
         for batch in batches:
-            for words in each_words(batch["text"].tolist()):
+            for words, name in zip(each_words(batch["text"].tolist()), batch["id_hash"].tolist(), strict=True):
                 if len(words):
                     values = shingles(words)
-                    if held.setdefault(_digest(values), values) is values:
+                    digest = _digest(values)
+                    at = int(np.searchsorted(copied, np.uint64(digest)))
+                    if at < len(copied) and int(copied[at]) == digest and speaker[at] != name:
+                        continue
+                    if held.setdefault(digest, values) is values:
                         tokens += len(values)
                 if tokens >= BLOCK_TOKENS:
                     yield flush(held)
@@ -200,9 +210,14 @@ def _gather(percent: int):
     return classes
 
 
-def candidate_sets(docs: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """(digest, n, tokens): classes with enough shared shingles, and those."""
-    dealt = docs.select("text").mapInPandas(_dealer(buckets), _PACKED)
+def candidate_sets(docs: DataFrame, percent: int, buckets: int, copied: list[tuple[int, int]] = ()) -> DataFrame:
+    """(digest, n, tokens): classes with enough shared shingles, and those.
+
+    ``copied``: digest and id hash of the speaker of classes with many copies."""
+    speakers = sorted((d % (1 << 64), name) for d, name in copied)
+    digests = np.array([d for d, _ in speakers], dtype=np.uint64)
+    names = np.array([name for _, name in speakers], dtype=np.int64)
+    dealt = docs.select("text", F.xxhash64("doc_id").alias("id_hash")).mapInPandas(_dealer(buckets, digests, names), _PACKED)
     back = dealt.groupBy("bucket").applyInPandas(_returner(buckets), _PACKED)
     return back.groupBy("bucket").applyInPandas(_gather(percent), "digest long, n long, tokens array<long>")
 
@@ -295,18 +310,22 @@ def _answers(docs: DataFrame, percent: int) -> DataFrame:
     rows = stored(set_sizes(docs), "sets")
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(shuffle_parts(spark), total // BUCKET_TOKENS + 1)
-    sets = stored(candidate_sets(docs, percent, int(buckets)), "candidates")
+    worded = rows.where("n > 0")
+    classes = stored(worded.groupBy("digest").agg(
+        F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.min(F.xxhash64("doc_id")).alias("speaker")), "classes")
+    # At most MOST_COPIED classes: each has over a MOST_COPIED-th of all shingles.
+    heavy = classes.where(F.col("copies") * F.col("n") > max(BUCKET_TOKENS, total // MOST_COPIED))
+    sets = stored(candidate_sets(docs, percent, int(buckets), [tuple(r) for r in heavy.select("digest", "speaker").collect()]), "candidates")
     roots = similar_sets(sets, percent)
-    classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"))
-    joined = roots.join(classes, roots["node"] == classes["digest"])
-    smallest = joined.groupBy("root").agg(F.min("first").alias("smallest"))
-    linked = joined.join(smallest, "root").select("digest", "smallest", "root")
-    answers = classes.join(linked, "digest", "left").select("digest", F.coalesce("smallest", "first").alias("component_id"), F.coalesce("root", "digest").alias("root"))
-    # Rows without words join with nothing; a hash spreads them over the tasks.
-    spread = rows.withColumn("key", F.coalesce("digest", F.xxhash64("doc_id")))
-    out = spread.join(answers.withColumnRenamed("digest", "key"), "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-                      "digest", F.when(F.col("n") > 0, F.col("root")).alias("root"))
+    joined = roots.join(classes.select("digest", "first"), roots["node"] == classes["digest"]).select("digest", "first", "root")
+    smallest = joined.groupBy("root").agg(F.min("first").alias("smallest"), F.count("*").alias("size"))
+    linked = with_totals(joined.select("digest", "root"), smallest, "root", "size")
+    answers = classes.join(linked, "digest", "left").select(
+        "digest", F.coalesce("smallest", "first").alias("component_id"), F.coalesce("root", "digest").alias("root"), "copies")
+    out = with_totals(worded, answers, "digest", "copies").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "digest", "root")
+    wordless = rows.where("n = 0").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("digest"), F.lit(None).cast("long").alias("root"))
+    return out.unionByName(wordless)
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -335,18 +354,17 @@ def one_of_each(docs: DataFrame, percent: int = 80, max_broadcast: int = 4_000_0
     kept = docs.join(few(gone.select("doc_id")), "doc_id", "left_anti")
     unnamed = not found.where("doc_id IS NULL").isEmpty()
     if not counts.get(True) and not unnamed:
-        return kept.select(*docs.columns)
+        return kept.select(*map(named, docs.columns))
     repeated = few(gone.where("again").select("doc_id"))
-    by_row = lambda rows: rows.join(repeated, "doc_id", "left_semi").select(*rows.columns).unionByName(rows.where("doc_id IS NULL"))
-    # Names that no column of docs has.
-    digest, of = (max(docs.columns, key=len) + x for x in ("_digest", "_of"))
+    by_row = lambda rows: rows.join(repeated, "doc_id", "left_semi").select(*map(named, rows.columns)).unionByName(rows.where("doc_id IS NULL"))
+    digest, of, digest_of = fresh(docs, "set_digest", "winner_of", "digest_of")
     winners = by_row(found).where("digest IS NOT NULL AND (doc_id IS NULL OR component_id = doc_id)").groupBy("root", "doc_id").agg(F.min("digest").alias(digest))
-    winners = winners.select(F.col("doc_id").alias(of), F.col(digest).alias(digest + of))
-    judged = with_computed(by_row(docs), docs.columns, "text", lambda texts: _sizes(texts)[1:], f"`{digest}` long")
-    with_words = judged.join(winners, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(digest) == F.col(digest + of)), "left_semi").dropDuplicates(["doc_id", digest])
+    winners = winners.select(F.col("doc_id").alias(of), F.col(digest).alias(digest_of))
+    judged = with_computed(by_row(docs), docs.columns, "text", lambda texts: _sizes(texts)[1:], f"{digest} long")
+    with_words = judged.join(winners, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(digest) == F.col(digest_of)), "left_semi").dropDuplicates(["doc_id", digest])
     wordless = judged.where(F.col(digest).isNull())
     stay = [with_words, wordless.where("doc_id IS NULL"), wordless.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])]
-    out = kept.where("doc_id IS NOT NULL").select(*docs.columns)
+    out = kept.where("doc_id IS NOT NULL").select(*map(named, docs.columns))
     for rows in stay:
-        out = out.unionByName(rows.select(*docs.columns))
+        out = out.unionByName(rows.select(*map(named, docs.columns)))
     return out

@@ -89,3 +89,21 @@ def test_hashes_do_not_depend_on_place():
     assert len(together[2]) == CHUNK // 4 and len(set(together[2])) == 1
     assert together[0][0] == together[5][1]
     assert len(shingles(together[2])) == 1
+
+
+def test_classes_of_many_copies(spark, monkeypatch):
+    """Copies of a heavy class are dealt by one row; frequent classes are joined without a shuffle."""
+    rng = random.Random(11)
+    base = " ".join(f"w{rng.randrange(500)}" for _ in range(60))
+    near = [base.replace(f" {w} ", " changed ", 1) for w in base.split()[5:9]]
+    rows = [(i, base) for i in range(300)] + [(1000 + i, near[i % 4]) for i in range(200)] + [(2000 + i, f"other text number {i} of its own kind here") for i in range(100)]
+    rows += [(None, base), (None, near[0]), (3000, None), (3001, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    want = sorted(map(str, J.jaccard_components(docs).collect()))
+    assert [eval(x.replace("Row", "dict"))["component_id"] for x in want if "doc_id=1001," in x] == [0]
+    monkeypatch.setattr(J, "BUCKET_TOKENS", 500)
+    dealt = []
+    sets = J.candidate_sets
+    monkeypatch.setattr(J, "candidate_sets", lambda docs, percent, buckets, copied: dealt.append(copied) or sets(docs, percent, buckets, copied))
+    assert sorted(map(str, J.jaccard_components(docs).collect())) == want
+    assert len(dealt[0]) == 5
