@@ -13,8 +13,15 @@ with keyed blake2b as round function; results outside the format walk on
 through the cycle.
 
 Kinds: e-mail addresses, payment cards (Luhn), IBANs (mod 97), telephone
-numbers, US social security numbers, IPv4 addresses, dates, access keys and
-assigned secrets (password=..., token = "...").
+numbers, US social security numbers, IPv4 and global or unique local IPv6
+addresses, dates, access keys, tokens of known services (``TOKENS``, and signed
+web tokens eyJ...), private key blocks and assigned secrets (password=...,
+token = "...").  IPv6 addresses come out, and back, in their shortest notation.
+Not found: telephone numbers without + that are not in a US form, names, postal
+addresses, and secrets that nothing marks as such.
+
+The key comes from the Spark setting ``KEY_SETTING``; without it each application
+makes a random one that nobody holds.
 
 E-mail addresses begin at the start of their run of letters, digits, combining
 marks and ``._%+-``, in any script; leading punctuation is left out, and so is a
@@ -36,22 +43,25 @@ Defined cases: NULL stays NULL with no findings; empty texts stay empty.
 Values that fail their check (a wrong check digit, a 31st of February) are left
 alone.  Overlapping findings: the first, at equal start the earlier kind of
 ``KINDS``.  Other columns pass unchanged, in whatever order and number; one
-called like an added column (n_found, found) is replaced.
+called like an added column (n_found, found, key_id) is replaced.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from calendar import monthrange
 from datetime import date
 from functools import cache
 from hashlib import blake2b
+from ipaddress import IPv6Address
 from math import isqrt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paddock.llm.common import with_computed
+from paddock.llm.common import named, with_computed
 
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
@@ -60,8 +70,28 @@ IBAN_LENGTHS = {"AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE"
                 "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27,
                 "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26}
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
-# For tests and examples: production runs pass their own key.
-EXAMPLE_KEY = b"paddock example key"
+# What access tokens of known services begin with.
+TOKENS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "npm_", "hf_", "pypi-", "dop_v1_",
+          "sk_live_", "sk_test_", "rk_live_", "pk_live_", "sk-", "AIza", "ya29.", "xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-", "SG.")
+# The Spark setting that holds the key.
+KEY_SETTING = "spark.paddock.pseudonym.key"
+_SESSION_KEYS: dict[str, bytes] = {}
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The key of the setting ``KEY_SETTING``.
+
+    Where it is unset, a random key of this application, which is written nowhere:
+    values are linked within the application's runs, and nobody can map them back."""
+    named = spark.conf.get(KEY_SETTING, None)
+    if named:
+        return named.encode()
+    return _SESSION_KEYS.setdefault(spark.sparkContext.applicationId, os.urandom(32))
+
+
+def key_id(key: bytes) -> str:
+    """Tells which key made a pseudonym, without telling the key."""
+    return blake2b(b"key id", key=key[:64], digest_size=6).hexdigest()
 
 
 class Feistel:
@@ -240,6 +270,25 @@ class Pseudonyms:
     def key(self, m: re.Match, back: bool) -> str | None:
         return m[0][:4] + self._signs(m[0][4:], "key" + m[0][:4], back)
 
+    def token(self, m: re.Match, back: bool) -> str | None:
+        if not any(c.isdigit() for c in m["value"]):
+            return None
+        return m["before"] + self._signs(m["value"], "token" + m["before"], back)
+
+    def private_key(self, m: re.Match, back: bool) -> str | None:
+        lines = re.split(r"(\s+)", m["body"])
+        return m["before"] + "".join(x if x.isspace() or not x else self._signs(x, "private", back) for x in lines) + m["after"]
+
+    def ip6(self, m: re.Match, back: bool) -> str | None:
+        try:
+            old = int(IPv6Address(m[0]))
+        except ValueError:
+            return None
+        for base, bits in ((0x2000 << 112, 125), (0xFC00 << 112, 121)):
+            if old >> bits == base >> bits:
+                return str(IPv6Address(base + self.feistel.permute(old - base, 1 << bits, f"ip6/{bits}", back)))
+        return None
+
     def secret(self, m: re.Match, back: bool) -> str | None:
         return m["before"] + self._signs(m["value"], "secret", back)
 
@@ -251,12 +300,17 @@ _RUN = rf"\w{_MARKS}.%+-"
 # Scripts written without spaces, in whole blocks of ``alphabet``.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u107f\u1780-\u17ff\u3000-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7ff"
 # The quantifiers with a plus never give back, and each pattern begins at the start of a run: time is linear in the text.
-KINDS: tuple[tuple[str, str, re.Pattern], ...] = (
+# Kind, what a text must hold one of (signs or strings), pattern.
+KINDS: tuple[tuple[str, str | tuple[str, ...], re.Pattern], ...] = (
     ("email", "@", re.compile(
         rf"(?<![{_RUN}])[._%+-]*+(?:[{_UNSPACED}]++[._%+-]*+(?=[A-Za-z0-9]))?+(?P<address>[{_RUN}]++@"
         rf"(?:(?:[{_RUN_HOST}]++\.)+[A-Za-z]{{2,24}}+(?![A-Za-z0-9-])|(?:[{_RUN_HOST}]++\.)+(?:xn--[A-Za-z0-9-]{{2,59}}+|[^\W\d_A-Za-z]{{2,24}}+)(?![\w-])))")),
     ("secret", "=:", re.compile(r"(?P<before>\b(?:password|passwd|pwd|secret|token|api_?key|access_?key)\b[\"']?\s?[=:]\s?[\"']?)(?P<value>[^\s\"',;]{6,})", re.I)),
     ("key", "A", re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b")),
+    ("token", TOKENS, re.compile(rf"(?<![A-Za-z0-9_-])(?P<before>{'|'.join(map(re.escape, TOKENS))})(?P<value>[A-Za-z0-9_-]{{16,255}}+)(?![A-Za-z0-9_-])")),
+    ("token", ("eyJ",), re.compile(r"(?<![A-Za-z0-9_.-])(?P<before>eyJ)(?P<value>[A-Za-z0-9_-]{8,2000}+\.eyJ[A-Za-z0-9_-]{8,4000}+\.[A-Za-z0-9_-]{16,1000}+)(?![A-Za-z0-9_.-])")),
+    ("private_key", ("PRIVATE KEY-----",), re.compile(r"(?P<before>-----BEGIN (?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY-----)(?P<body>[A-Za-z0-9+/=\s]{40,20000}+)(?P<after>-----END )")),
+    ("ip6", ":", re.compile(r"(?<![\w:.])(?:[23][0-9a-f]{3}|f[cd][0-9a-f]{2})(?::[0-9a-f]{0,4}){2,7}(?![\w:]|\.[0-9])", re.I)),
     ("iban", "0123456789", re.compile(r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b")),
     ("day", "0123456789", re.compile(r"(?<![\w.-])(?P<year>[0-9]{4})-(?P<month>[0-9]{1,2})-(?P<day>[0-9]{1,2})(?:(?=T[0-9]{2}:)|(?![\w-]))")),
     ("day", "0123456789", re.compile(r"(?<![\w./])(?P<year>[0-9]{4})/(?P<month>[0-9]{1,2})/(?P<day>[0-9]{1,2})(?![\w/])")),
@@ -297,27 +351,28 @@ def rewrite(text: str, pseudonyms: Pseudonyms, back: bool = False) -> tuple[str,
     return "".join([*parts, text[at:]]) if spans else text, spans
 
 
-def pseudonymised(docs: DataFrame, key: bytes = EXAMPLE_KEY) -> DataFrame:
-    """``docs`` with ``text`` rewritten, ``n_found`` and ``found`` (kind,
-    begin, end: code points of the old text) added.  One narrow pass."""
+def pseudonymised(docs: DataFrame, key: bytes) -> DataFrame:
+    """``docs`` with ``text`` rewritten, ``n_found``, ``found`` (kind, begin,
+    end: code points of the old text) and ``key_id`` added.  One narrow pass."""
 
     def run(texts: list[str | None]) -> list:
         done = [rewrite(t, Pseudonyms(key)) if t else (t, []) for t in texts]
         return [[t for t, _ in done], [len(s) for _, s in done], [[{"kind": k, "begin": a, "end": b} for k, a, b in s] for _, s in done]]
 
-    keep = [c for c in docs.columns if c not in ("text", "n_found", "found")]
+    added = ("n_found", "found", "key_id")
+    keep = [c for c in docs.columns if c not in ("text", *added)]
     out = with_computed(docs, keep, "text", run, "text string, n_found long, found array<struct<kind:string,begin:bigint,end:bigint>>")
-    return out.select(*[c for c in docs.columns if c not in ("n_found", "found")], "n_found", "found")
+    return out.select(*[named(c) for c in docs.columns if c not in added], "n_found", "found", F.lit(key_id(key)).alias("key_id"))
 
 
-def rewritten(docs: DataFrame, key: bytes = EXAMPLE_KEY) -> DataFrame:
+def rewritten(docs: DataFrame, key: bytes) -> DataFrame:
     """The columns of ``docs``, ``text`` with pseudonyms."""
 
     def run(texts: list[str | None]) -> list:
         return [[rewrite(t, Pseudonyms(key))[0] if t else t for t in texts]]
 
     keep = [c for c in docs.columns if c != "text"]
-    return with_computed(docs, keep, "text", run, "text string").select(*docs.columns)
+    return with_computed(docs, keep, "text", run, "text string").select(*map(named, docs.columns))
 
 
 def reverse(text: str, key: bytes) -> str:

@@ -17,7 +17,7 @@ from paddock.llm.language_model import model_scores
 from paddock.llm.mixing import mixed
 from paddock.llm.neighbours import nearest_vectors
 from paddock.llm.piece_codec import decoded, encoded
-from paddock.llm.pseudonyms import pseudonymised
+from paddock.llm.pseudonyms import key_of, pseudonymised
 from paddock.llm.quality import fit_quality, quality_scores
 from paddock.llm.resampling import importance_sample
 from paddock.llm.token_counts import token_counts
@@ -69,8 +69,8 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, the rewritten text, how many values were replaced and where."""
-    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """doc_id, the rewritten text, how many values were replaced and where, and the key's name."""
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark))
 
 
 def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

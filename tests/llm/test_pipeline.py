@@ -32,7 +32,7 @@ def test_stages_equal_brute_force(spark, sf_small):
     exact = {d for d in ids["near_duplicates"] if any(i in decontaminate.item_bytes(rows[d]["text"]) for i in items)}
     assert exact and ids["decontamination"] == ids["near_duplicates"] - exact
 
-    p = pseudonyms.Pseudonyms(pseudonyms.EXAMPLE_KEY)
+    p = pseudonyms.Pseudonyms(pseudonyms.key_of(spark))
     assert {r["doc_id"]: r["text"] for r in seen["pii"].collect()} == {d: pseudonyms.rewrite(rows[d]["text"], p)[0] for d in ids["decontamination"]}
 
     from test_mixing import copies
