@@ -16,7 +16,7 @@ from paddock.llm.common import stored, table
 from paddock.llm.decontaminate import without_contaminated
 from paddock.llm.jaccard_join import one_of_each
 from paddock.llm.mixing import mixed
-from paddock.llm.pseudonyms import rewritten
+from paddock.llm.pseudonyms import key_of, rewritten
 from paddock.llm.quality import fit_quality, good_documents
 
 
@@ -36,8 +36,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts become pseudonyms."""
-    return rewritten(docs)
+    """Personal data in the texts become pseudonyms, by the key of the session."""
+    return rewritten(docs, key_of(spark))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
