@@ -14,7 +14,8 @@ and last row of each partition meet their neighbours in a second step over
 these rows alone.  Only hashes of template lines take part; the texts are
 shuffled once, to their pair.
 
-Defined cases: NULL or empty html: empty text.  NULL url: a host of its own.
+Defined cases: NULL or empty html: empty text.  NULL url: a host of its own;
+so are all urls without // whose first segment has no dot.
 Pages with the same host and path are one place (query and fragment do not
 count) and are not compared with each other.  Repeated rows give repeated
 results.  White space is any that Unicode names; ``br`` counts as white space.
@@ -232,12 +233,14 @@ def nearest_pages(places: DataFrame) -> DataFrame:
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, n_shared (template lines that the nearest page shares) for every row."""
-    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*://"
+    """page_id, url, text, n_chars, n_shared (lines outside the article that the nearest page
+    shares, deleted by differencing), n_unwanted (lines that differencing leaves and markup deletes) for every row."""
+    # A host follows // or, without that, is a first segment with a dot in it.
+    start = r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)|([^/?#:\s]+\.[^/?#\s]+))"
     url = F.coalesce("url", F.lit(""))
     placed = pages.select("page_id", "url", "html").withColumns({
-        "host": F.lower(F.regexp_extract(url, scheme + r"([^/?#]*)", 1)),
-        "path": F.regexp_replace(F.regexp_extract(url, scheme + r"[^/?#]*([^?#]*)", 1), r"(/|\.html?)$", "")})
+        "host": F.lower(F.concat(F.regexp_extract(url, start, 1), F.regexp_extract(url, start, 2))),
+        "path": F.regexp_replace(F.regexp_extract(url, start + r"?([^?#]*)", 3), r"(/|\.html?)$", "")})
 
     def lines(htmls: list[str | None]) -> list:
         return [[[line_hash(line) for line, _ in split_page(h)[1]] for h in htmls]]
@@ -255,12 +258,13 @@ def main_texts(pages: DataFrame) -> DataFrame:
     paired = parsed.join(nearest, ["host", "path"], "left").select("page_id", "url", F.struct("inside", "other", "partner").alias("page"))
 
     def differ(rows: list[dict]) -> list:
-        texts, counts = [], []
+        texts, counts, unwanted = [], [], []
         for r in rows:
             shared = common_lines([x["hash"] for x in r["other"]], r["partner"]) if r["partner"] else set()
             rest = [x["line"] for i, x in enumerate(r["other"]) if x["wanted"] and i not in shared]
             texts.append("\n".join(([r["inside"]] if r["inside"] else []) + rest))
             counts.append(len(shared))
-        return [texts, [len(t) for t in texts], counts]
+            unwanted.append(len(r["other"]) - len(shared) - len(rest))
+        return [texts, [len(t) for t in texts], counts, unwanted]
 
-    return with_computed(paired, ["page_id", "url"], "page", differ, "text string, n_chars long, n_shared long")
+    return with_computed(paired, ["page_id", "url"], "page", differ, "text string, n_chars long, n_shared long, n_unwanted long")

@@ -30,6 +30,7 @@ from paddock.llm.common import remainder, unit_hash, with_computed
 from paddock.llm.decontaminate import normal_bytes
 
 MAX_PER_LANGUAGE = 800
+MAX_SAMPLE = 16_000
 BITS = 12
 GRAMS = (1, 2, 3, 4)
 ROUNDS, RIDGE = 150, 1e-4
@@ -146,12 +147,16 @@ def fit(languages: list[str], counts: np.ndarray) -> LanguageModel:
 
 
 def learn_languages(docs: DataFrame, per_language: int = MAX_PER_LANGUAGE, skip: int = 2) -> LanguageModel:
-    """Machines from documents whose crc32 remainder modulo 4 is not ``skip``."""
+    """Machines from documents whose crc32 remainder modulo 4 is not ``skip``:
+    about ``per_language`` texts of each language, ``MAX_SAMPLE`` of all together
+    (16 kB each on the driver), at most twice as many where ids repeat."""
     rows = docs.where(F.col("lang").isNotNull() & (remainder(F.col("doc_id"), 4) != skip)).select("doc_id", "lang", "text")
     share = F.lit(0.0)
-    for r in rows.groupBy("lang").count().collect():        # one row for each language
+    known = rows.groupBy("lang").count().collect()          # one row for each language
+    per_language = min(per_language, max(1, MAX_SAMPLE // max(1, len(known))))
+    for r in known:
         share = F.when(F.col("lang") == r["lang"], F.lit(per_language / r["count"])).otherwise(share)
-    sample = rows.where(unit_hash(F.col("doc_id"), seed=4) < share)
+    sample = rows.where(unit_hash(F.col("doc_id"), seed=4) < share).limit(2 * MAX_SAMPLE)
 
     def measure(texts: list[str | None]) -> list:
         return [[zlib.compress(gram_counts(t).astype("<u4").tobytes(), 1) if has_letter(t) else None for t in texts]]

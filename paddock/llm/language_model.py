@@ -9,9 +9,9 @@ three discounts of each level come from its counts of counts.
 Counting.  Tasks count the words, then the word pairs, of a block of texts and
 send packed arrays to hash-range buckets: a frequent word or pair is one entry
 a block.  Pairs are dealt by their first word, so a bucket can sum up each
-context; the pairs of words that make up more than 1/2000 of all tokens (fewer
-than 2000 words) are dealt by the whole pair instead and their sums are added
-up afterwards.  Each bucket writes its arrays to the shared folder under its
+context; the pairs of words that make up more than 1/2000 of all tokens, or than
+a mean bucket where there are more buckets (so fewer words than buckets), are
+dealt by the whole pair instead and their sums are added up afterwards.  Each bucket writes its arrays to the shared folder under its
 own name (written aside and renamed, so a repeated task changes nothing).
 
 Scoring.  A narrow pass over whole texts; the look-ups of a block are sorted,
@@ -381,7 +381,7 @@ def learn(docs: DataFrame) -> KneserNey:
     hot = [START >> _SHIFT]
     for r in words:
         k = len(r["top"]) // 2
-        hot += [np.uint64(key & (1 << 64) - 1) >> _SHIFT for key, n in zip(r["top"][:k], r["top"][k:], strict=True) if n * HOT_SHARE > tokens]
+        hot += [np.uint64(key & (1 << 64) - 1) >> _SHIFT for key, n in zip(r["top"][:k], r["top"][k:], strict=True) if n * max(HOT_SHARE, buckets) > tokens]
     hot_words = np.unique(np.array(hot, dtype=np.uint64))
     sides = (texts.mapInPandas(_count_pairs(buckets, hot_words), _PAIRS).groupBy("bucket").applyInPandas(_write_pairs(folder, buckets), _SIDES)
              .groupBy("bucket").applyInPandas(_write_sides(folder), _STATS).collect())

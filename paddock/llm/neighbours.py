@@ -198,8 +198,8 @@ def nearest_vectors(vectors: DataFrame, queries: Column, k: int = 10, sample: in
     lengths = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
     total = lengths["count"] if lengths else 0
     rows = rows.where(F.size("vec") == (lengths["d"] if lengths else 0))
-    # At most about SAMPLE vectors come to the driver.
-    got = rows.where(unit_hash(F.col("vec_id"), seed=3) < sample / max(1, total)).select("vec_id", "vec").toPandas()
+    # About SAMPLE vectors come to the driver, at most twice as many where ids repeat.
+    got = rows.where(unit_hash(F.col("vec_id"), seed=3) < sample / max(1, total)).select("vec_id", "vec").limit(2 * sample).toPandas()
     x = np.stack(got["vec"])[np.argsort([hash_order(i) for i in got["vec_id"]], kind="stable")] if len(got) else np.zeros((0, 1))
     parts = int(np.clip(round(total**0.5 / 4), 1, MAX_PARTS))
     router = learn_router(x, parts, k) if parts > 1 and len(x) > 64 * k else None

@@ -124,7 +124,8 @@ def grow(x: np.ndarray, y: np.ndarray) -> Trees:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, skip: int = 2) -> Trees:
     """Trees from a hash sample of about ``max_train`` labelled rows at most,
-    of documents whose crc32 remainder modulo 4 is not ``skip``."""
+    of documents whose crc32 remainder modulo 4 is not ``skip``.  Where sampled ids
+    repeat in ``docs``, at most ``2 * max_train`` rows are taken."""
     known = labels.where(F.col("quality").isin(0, 1) & (remainder(F.col("doc_id"), 4) != skip)).select("doc_id", "quality")
     share = max_train / max(1, known.count())
     # At most about max_train rows of two numbers.
@@ -135,7 +136,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN,
         for batch in batches:
             yield pd.DataFrame({"quality": batch["quality"], "x": list(statistics(batch["text"].tolist()))})
 
-    rows = docs.select("doc_id", "text").join(known, "doc_id").select("text", "quality").mapInPandas(measure, f"quality int, x {kind}").toPandas()
+    rows = docs.select("doc_id", "text").join(known, "doc_id").select("text", "quality").limit(2 * max_train).mapInPandas(measure, f"quality int, x {kind}").toPandas()
     x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), len(NAMES))
     y = rows["quality"].to_numpy(dtype=float)
     # Rows come in any order; sums of floats shall not depend on it.

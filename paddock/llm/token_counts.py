@@ -11,8 +11,8 @@ The vocabulary is examined once, on the driver, with the library itself:
   token.  A pre-token among them counts 1 without any merging.
 
 Only the rest is merged by the library, each distinct pre-token once per worker
-while it stays in a bounded table.  If a vocabulary does not allow the proof,
-``prove`` raises.
+while it stays in a table bounded by bytes (long ones don't enter it).  If a
+vocabulary does not allow the proof, ``prove`` raises.
 
 Defined cases: NULL and empty texts have 0 bytes and 0 tokens.  Special
 strings inside texts are ordinary text (the library's default).  Rows are
@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from paddock.llm.common import with_computed
 
 OVER = 4096
-KEPT = 400_000
+KEPT_BYTES = 44 << 20
+KEPT_LENGTH = 64
 _MARK = "▁"
 _PRE = re.compile(f"{_MARK}*[^{_MARK}\n]+|{_MARK}+")
 
@@ -43,6 +44,7 @@ class PieceCounter:
         self.whole = dict.fromkeys(self.prove() if whole is None else whole, 1)
         self.line_feed = len(self.library.encode("\n\n")) - len(self.library.encode("\n"))
         self.known = dict(self.whole)
+        self.held = 0
 
     def prove(self) -> list[str]:
         """Vocabulary strings that are one token alone; raises if pre-tokens aren't independent."""
@@ -76,10 +78,16 @@ class PieceCounter:
         parts = _PRE.findall(_MARK + text.replace(" ", _MARK))
         counts = list(map(self.known.get, parts))
         if None in counts:
-            if len(self.known) > KEPT:
-                self.known = dict(self.whole)
-            self.merge(list({p for p in parts if p not in self.known}))
+            if self.held > KEPT_BYTES:
+                self.known, self.held = dict(self.whole), 0
+            new = list({p for p in parts if p not in self.known})
+            self.merge(new)
             counts = list(map(self.known.__getitem__, parts))
+            for p in new:
+                if len(p) <= KEPT_LENGTH:
+                    self.held += 100 + len(p)
+                else:
+                    del self.known[p]
         return sum(counts) + text.count("\n") * self.line_feed
 
 

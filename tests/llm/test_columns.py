@@ -1,0 +1,65 @@
+"""Extra columns of any name pass through every operator and stage."""
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline as C
+from paddock.llm import common, decontaminate, jaccard_join, language_id, language_model, mixing, neighbours, piece_codec, pseudonyms, quality, resampling, token_counts, vector_codes
+
+NAMES = ["meta.url", "a`b", "__cdf", "__source", "copies", "rate_cdf", "set_digest", "c0", "k0", "a0", "id_hash", "bucket", "n", "digest", "key", "rank", "row", "numbers", "part", "hits"]
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="module")
+def tables(spark, sf_small, tmp_path_factory):
+    """Small tables with the names above; documents with a repeated and a NULL id, so that every branch runs."""
+    def read(name):
+        return spark.read.parquet(f"{sf_small}/{name}.parquet")
+
+    more = {n: F.lit(i) for i, n in enumerate(NAMES)}
+    docs = read("documents").limit(60)
+    docs = docs.unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    root = str(tmp_path_factory.mktemp("named"))
+    out = {}
+    for name, df in (("documents", docs), ("benchmark", read("benchmark")), ("labels", read("labels")), ("embeddings", read("embeddings").limit(120))):
+        for n, value in more.items():
+            df = df.select("*", value.alias(n))
+        df.write.parquet(f"{root}/{name}.parquet")
+        out[name] = spark.read.parquet(f"{root}/{name}.parquet")
+    return root, out
+
+
+def test_stages(spark, tables):
+    root, t = tables
+    now = t["documents"]
+    for name, stage in C.STAGES:
+        out = common.stored(stage(spark, now, root), f"columns-{name}")
+        assert out.columns == now.columns + (["copy_no", "mix_key"] if name == "mixing" else [])
+        assert out.count() > 0 and all(out.where(common.named(n) == i).count() == out.count() for i, n in enumerate(NAMES))
+        now = out
+
+
+def test_operators(spark, tables):
+    _, t = tables
+    docs = t["documents"]
+    n = docs.count()
+    assert decontaminate.contaminations(docs, t["benchmark"]).columns == ["doc_id", "item_id", "begin", "end", "edits"]
+    assert mixing.mixed(docs).columns == [*docs.columns, "copy_no", "mix_key"]
+    assert language_id.languages(docs, language_id.learn_languages(docs)).count() == n
+    assert token_counts.token_counts(docs, MODEL).count() == n
+    assert quality.quality_scores(docs, quality.fit_quality(docs, t["labels"])).count() == n
+    assert language_model.model_scores(docs).count() == n
+    assert jaccard_join.jaccard_components(docs).count() == n
+    assert pseudonyms.pseudonymised(docs, b"k").columns == [*docs.columns, "n_found", "found", "key_id"]
+    assert piece_codec.decoded(piece_codec.encoded(docs, MODEL, tuple(c for c in docs.columns if c != "text")), MODEL).count() == n
+    assert resampling.importance_sample(docs, t["benchmark"]).count() == n
+    assert vector_codes.vector_codes(t["embeddings"]).count() == 120
+    assert neighbours.nearest_vectors(t["embeddings"], F.col("vec_id") % 20 == 0).count() == 10 * t["embeddings"].where("vec_id % 20 = 0").count()
+
+
+def test_sources_beyond_the_broadcast_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "x", "s" if i % 3 else f"r{i}", 1) for i in range(3000)] + [(-1, None, None, 2)], "doc_id long, text string, source string, rate_cdf int")
+    want = sorted(map(str, mixing.mixed(docs).collect()))
+    monkeypatch.setattr(mixing, "MAX_BYTES", 0)
+    assert sorted(map(str, mixing.mixed(docs).collect())) == want and want

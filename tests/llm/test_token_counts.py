@@ -35,12 +35,12 @@ def test_equals_the_library(spark, model, sf_small):
 def test_the_table_stays_bounded(model, monkeypatch):
     with open(model, "rb") as f:
         counter = T.PieceCounter(f.read())
-    monkeypatch.setattr(T, "KEPT", len(counter.whole) + 50)
+    monkeypatch.setattr(T, "KEPT_BYTES", 5000)
     rng = random.Random(6)
     for _ in range(500):
         text = " ".join("".join(rng.choice("abcxyz") for _ in range(9)) for _ in range(10))
         assert counter.count(text) == len(counter.library.encode(text))
-    assert len(counter.known) < len(counter.whole) + 80
+    assert len(counter.known) < len(counter.whole) + 130 and max(map(len, counter.known)) <= T.KEPT_LENGTH
 
 
 def test_whole_tokens_are_one_token(model):
