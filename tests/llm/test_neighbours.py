@@ -78,3 +78,14 @@ def test_defined_cases(spark):
     assert [v for _, v, _ in twice[0]] == [1, 1, 3, 3, 2, 2]
     assert N.nearest_vectors(docs.where("false"), F.col("vec_id") % 100 == 0).collect() == []
     assert N.nearest_vectors(docs.where("vec_id = 0"), F.col("vec_id") % 100 == 0).collect() == []
+
+
+def test_recall_of_the_registered_query(spark):
+    """Production sample and queries, every row a candidate."""
+    from paddock.llm.queries import op3_nearest
+
+    folder = "/root/testdata/sf0.1"
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    want = brute(rows, [i for i, _ in rows if i % 100 == 0], 10)
+    got = found(op3_nearest(spark, folder))
+    assert set(got) == set(want) and recall(got, want) >= 0.9

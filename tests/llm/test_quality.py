@@ -71,3 +71,51 @@ def test_scores_read_only_the_text(spark):
     b = a.select((F.col("doc_id") + 100).alias("doc_id"), "text", F.lit("de").alias("lang"))
     score = lambda d: [r["score"] for r in Q.quality_scores(d, trees).orderBy("doc_id").collect()]
     assert score(a) == pytest.approx(score(b))
+
+
+def test_trees_grow_by_the_best_splits(monkeypatch):
+    """Every split against all features and cuts, rows one by one; leaves against their formula."""
+    for name, value in (("TREES", 4), ("DEPTH", 3), ("BINS", 8), ("LEAST", 5)):
+        monkeypatch.setattr(Q, name, value)
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(size=(400, 3)), 1)
+    x[:, 2] = x[:, 2] > 0
+    y = ((x[:, 0] > 0.3) ^ (x[:, 2] > 0)).astype(float)
+    y[rng.random(400) < 0.1] = 1
+    trees = Q.grow(x, y)
+    cuts = [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, Q.BINS + 1)[1:-1]).tolist())) for j in range(3)]
+    total = [trees.base] * len(y)
+    assert trees.base == pytest.approx(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+    inner, split = (1 << Q.DEPTH) - 1, 0
+    for t in range(Q.TREES):
+        p = [1 / (1 + np.exp(-s)) for s in total]
+        g, h = [a - b for a, b in zip(y, p, strict=True)], [q * (1 - q) for q in p]
+        members = {0: list(range(len(y)))}
+        for node in range(inner):
+            rows = members.get(node, [])
+
+            def value(of):
+                return sum(g[i] for i in of) ** 2 / (sum(h[i] for i in of) + Q.SMOOTH)
+
+            def gain(j, c, rows=rows):
+                low = [i for i in rows if x[i, j] <= c]
+                high = [i for i in rows if x[i, j] > c]
+                return value(low) + value(high) - value(rows) if min(len(low), len(high)) >= Q.LEAST else 0.0
+
+            best = max((gain(j, c) for j in range(3) for c in cuts[j]), default=0.0)
+            j, c = int(trees.feature[t, node]), float(trees.cut[t, node])
+            if np.isinf(c):
+                assert best <= 1e-6 + 1e-9
+            else:
+                split += 1
+                assert c in cuts[j] and gain(j, c) == pytest.approx(best, abs=1e-9)
+            members[2 * node + 1] = [i for i in rows if x[i, j] <= c]
+            members[2 * node + 2] = [i for i in rows if x[i, j] > c]
+        for leaf in range(inner + 1):
+            rows = members[inner + leaf]
+            want = Q.RATE * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + Q.SMOOTH)
+            assert trees.leaf[t, leaf] == pytest.approx(want, abs=1e-9)
+            for i in rows:
+                total[i] += want
+    assert split > 10
+    assert trees.score(x) == pytest.approx(1 / (1 + np.exp(-np.array(total))), abs=1e-9)
