@@ -11,6 +11,10 @@
    vectors.  How many parts are visited is measured on held-out vectors of the
    sample: the fewest with a recall of at least ``TARGET``.
 
+The number of parts grows with the root of the rows.  Beyond ``MAX_PARTS`` each part
+is cut again by a router of its own, learnt from a sample of its rows in one task a
+part; a query then visits the most probable inner parts of its most probable parts.
+
 Every row is indexed.  A part of any size is cut into blocks of at most about
 ``ROWS`` rows and ``QUERIES`` queries, so a vector that a third of the rows
 share only makes more blocks; nothing is capped.
@@ -24,6 +28,8 @@ candidates: all of them.  Few rows: one part, hence exact.  Empty: empty.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +40,7 @@ from pyspark.sql import functions as F
 from paddock.llm.common import stored, unit_hash, with_computed
 
 SAMPLE = 8_192
+INNER_SAMPLE = 8_192
 HELD_OUT = 512
 TARGET = 0.94
 NEAR = 12
@@ -138,7 +145,7 @@ def train(x: np.ndarray, goal: np.ndarray, seed: int = 3) -> Router:
     return r
 
 
-def learn_router(x: np.ndarray, parts: int, k: int) -> Router:
+def learn_router(x: np.ndarray, parts: int, k: int, target: float = TARGET) -> Router:
     """From sampled vectors; the number of probes is measured on rows that the training leaves out."""
     held = min(HELD_OUT, len(x) // 8)
     test, base = x[:held], x[held:]
@@ -154,7 +161,7 @@ def learn_router(x: np.ndarray, parts: int, k: int) -> Router:
     rank = np.empty_like(scores, dtype=np.int64)
     np.put_along_axis(rank, np.argsort(-scores, axis=1, kind="stable"), np.arange(parts)[None, :], axis=1)
     need = np.take_along_axis(rank, wanted, axis=1)
-    router.probes = next(p for p in range(1, parts + 1) if (need < p).mean() >= TARGET)
+    router.probes = next(p for p in range(1, parts + 1) if (need < p).mean() >= target)
     return router
 
 
@@ -191,6 +198,49 @@ def _search(k: int):
     return nearest
 
 
+def inner_routers(placed: DataFrame, inner: int, k: int, target: float) -> dict[int, Router | None]:
+    """A router for each part, learnt in Spark from about ``INNER_SAMPLE`` of its rows; None for small parts.
+
+    What the driver gets is bounded by MAX_PARTS * HIDDEN * (dimension + inner) numbers."""
+    rows = placed.groupBy("part").count()
+    drawn = placed.join(F.broadcast(rows), "part").where(F.rand(5) < INNER_SAMPLE / F.col("count")).select("part", "vec_id", "vec")
+
+    def learn(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.iloc[np.argsort([hash_order(i) for i in group["vec_id"]], kind="stable")]
+        x = np.stack(group["vec"])
+        router = learn_router(x, inner, k, target) if len(x) > max(64 * k, 8 * inner) else None
+        return pd.DataFrame({"part": [group["part"].iloc[0]], "router": [pickle.dumps(router)]})
+
+    return {r["part"]: pickle.loads(r["router"]) for r in drawn.groupBy("part").applyInPandas(learn, "part int, router binary").collect()}
+
+
+def cut_again(placed: DataFrame, routed: DataFrame, inner: int, k: int, target: float) -> tuple[DataFrame, DataFrame]:
+    """Every part cut in ``inner`` parts by a router of its own: number part * inner + the part within."""
+    routers = inner_routers(placed, inner, k, target)
+
+    def within(part: pd.Series, vec: pd.Series, choose) -> list:
+        out: list = [None] * len(part)
+        for p in part.unique():
+            at = np.flatnonzero(part.to_numpy() == p)
+            router = routers.get(int(p))
+            chosen = choose(router, np.stack(vec.iloc[at])) if router else [[0]] * len(at)
+            for i, c in zip(at, chosen, strict=True):
+                out[i] = [int(p) * inner + int(x) for x in c]
+        return out
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            parts = within(b["part"], b["vec"], lambda r, x: r.parts(x)[:, None])
+            yield b.assign(part=np.array([p[0] for p in parts], dtype=np.int32))
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            parts = within(b["part"], b["vec"], lambda r, x: np.argsort(-r.scores(x), axis=1, kind="stable")[:, :r.probes])
+            yield b.assign(part=pd.Series(parts, index=b.index)).explode("part").astype({"part": "int32"})
+
+    return stored(placed.mapInPandas(place, placed.schema), "placed-again"), stored(routed.mapInPandas(route, routed.schema), "routed-again")
+
+
 def nearest_vectors(vectors: DataFrame, queries: Column, k: int = 10, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for the rows where
     ``queries`` holds.  ``vectors``: vec_id, embedding."""
@@ -201,10 +251,12 @@ def nearest_vectors(vectors: DataFrame, queries: Column, k: int = 10, sample: in
     # About SAMPLE vectors come to the driver, at most twice as many where ids repeat.
     got = rows.where(unit_hash(F.col("vec_id"), seed=3) < sample / max(1, total)).select("vec_id", "vec").limit(2 * sample).toPandas()
     x = np.stack(got["vec"])[np.argsort([hash_order(i) for i in got["vec_id"]], kind="stable")] if len(got) else np.zeros((0, 1))
-    parts = int(np.clip(round(total**0.5 / 4), 1, MAX_PARTS))
-    router = learn_router(x, parts, k) if parts > 1 and len(x) > 64 * k else None
-    if not router:
-        parts = 1
+    wanted = max(1, round(total**0.5 / 4))
+    parts = min(wanted, MAX_PARTS)
+    inner = -(-wanted // parts)
+    # With two levels a neighbour must be found by both.
+    target = TARGET if inner == 1 else TARGET**0.5
+    router = learn_router(x, parts, k, target) if parts > 1 and len(x) > 64 * k else None
     probes = router.probes if router else 1
 
     def place(batch: list) -> list:
@@ -221,15 +273,17 @@ def nearest_vectors(vectors: DataFrame, queries: Column, k: int = 10, sample: in
     asked = rows.where("asks").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("vec"))
     routed = with_computed(asked, ["query_id", "vec"], "vec", route, "parts array<int>").select("query_id", "vec", F.explode("parts").alias("part"))
     placed, routed = stored(placed, "placed"), stored(routed, "routed")
-    # One row for each part (at most MAX_PARTS).
-    blocks = lambda df, size: {r["part"]: -(-r["count"] // size) for r in df.groupBy("part").count().collect()}
-    row_blocks, query_blocks = blocks(placed, ROWS), blocks(routed, QUERIES)
-    of = lambda table: F.element_at(F.create_map(*[F.lit(v) for p in range(parts) for v in (p, table.get(p, 1))]), F.col("part"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    own = lambda n, name: F.pmod(F.xxhash64(name), n).cast("int")
+    if router and inner > 1:
+        placed, routed = cut_again(placed, routed, inner, k, target)
+    # One row for each part (about a quarter of the root of the rows).
+    blocks = placed.groupBy("part").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("rblocks")).join(
+        routed.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qblocks")), "part")
+    blocks = F.broadcast(stored(blocks, "blocks"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n, name: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
     keys = ["part", "rblock", "qblock"]
-    left = placed.withColumn("rblock", own(of(row_blocks), "vec_id")).withColumn("qblock", every(of(query_blocks)))
-    right = routed.withColumn("qblock", own(of(query_blocks), "query_id")).withColumn("rblock", every(of(row_blocks)))
+    left = placed.join(blocks, "part").withColumn("rblock", own("rblocks", "vec_id")).withColumn("qblock", every("qblocks")).select(*keys, "vec_id", "vec")
+    right = routed.join(blocks, "part").withColumn("qblock", own("qblocks", "query_id")).withColumn("rblock", every("rblocks")).select(*keys, "query_id", "vec")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_search(k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -89,3 +89,27 @@ def test_recall_of_the_registered_query(spark):
     want = brute(rows, [i for i, _ in rows if i % 100 == 0], 10)
     got = found(op3_nearest(spark, folder))
     assert set(got) == set(want) and recall(got, want) >= 0.9
+
+
+def test_two_levels_of_parts(spark, monkeypatch):
+    """Beyond MAX_PARTS every part is cut again: recall holds, and queries meet fewer rows."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 12)) * 6
+    rows = [(i, [float(v) for v in np.float32(centres[i % 60] + rng.normal(size=12))], "p") for i in range(9000)]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    want = brute([(i, v) for i, v, _ in rows], [i for i in range(0, 9000, 100)], 10)
+    seen = {}
+    tables = {}
+    keep = N.stored
+    monkeypatch.setattr(N, "stored", lambda df, name: tables.setdefault(name, keep(df, name)))
+    for parts in (24, 6):
+        monkeypatch.setattr(N, "MAX_PARTS", parts)
+        tables.clear()
+        got = found(N.nearest_vectors(table, F.col("vec_id") % 100 == 0))
+        assert set(got) == set(want) and recall(got, want) >= 0.9
+        placed, routed = (tables.get(f"{n}-again", tables[n]) for n in ("placed", "routed"))
+        assert placed.count() == 9000
+        size = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}
+        seen[parts] = sum(size.get(r["part"], 0) for r in routed.select("part").collect()) / len(want)
+        assert len(size) > 12
+    assert "placed-again" in tables and max(seen.values()) < 9000 / 3
