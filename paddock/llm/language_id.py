@@ -156,12 +156,12 @@ def learn_languages(docs: DataFrame, per_language: int = MAX_PER_LANGUAGE, skip:
     per_language = min(per_language, max(1, MAX_SAMPLE // max(1, len(known))))
     for r in known:
         share = F.when(F.col("lang") == r["lang"], F.lit(per_language / r["count"])).otherwise(share)
-    sample = rows.where(unit_hash(F.col("doc_id"), seed=4) < share).limit(2 * MAX_SAMPLE)
+    sample = rows.where(unit_hash(F.col("doc_id"), seed=4) < share)
 
     def measure(texts: list[str | None]) -> list:
         return [[zlib.compress(gram_counts(t).astype("<u4").tobytes(), 1) if has_letter(t) else None for t in texts]]
 
-    got = with_computed(sample, ["lang"], "text", measure, "grams binary").where("grams IS NOT NULL").toPandas()
+    got = with_computed(sample, ["lang"], "text", measure, "grams binary").where("grams IS NOT NULL").limit(2 * MAX_SAMPLE).toPandas()
     counts = np.zeros((len(got), 1 << BITS), dtype=np.float32)
     for i, g in enumerate(got["grams"]):
         counts[i] = np.frombuffer(zlib.decompress(g), dtype="<u4")

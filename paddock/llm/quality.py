@@ -136,7 +136,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN,
         for batch in batches:
             yield pd.DataFrame({"quality": batch["quality"], "x": list(statistics(batch["text"].tolist()))})
 
-    rows = docs.select("doc_id", "text").join(known, "doc_id").select("text", "quality").limit(2 * max_train).mapInPandas(measure, f"quality int, x {kind}").toPandas()
+    rows = docs.select("doc_id", "text").join(known, "doc_id").select("text", "quality").mapInPandas(measure, f"quality int, x {kind}").limit(2 * max_train).toPandas()
     x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), len(NAMES))
     y = rows["quality"].to_numpy(dtype=float)
     # Rows come in any order; sums of floats shall not depend on it.
