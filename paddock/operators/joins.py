@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 # A selected-races side is (race_id + a few small columns), ~50 bytes a row,
 # so the bound keeps a broadcast under ~25 MB.
 MAX_BROADCAST_ROWS = 500_000
+# Rows of a part that ``parts_of`` aims at, and the parts below which the session's own
+# partitions are as small.
+PART_ROWS = 500_000
+MIN_PARTS = 16
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
@@ -31,3 +35,14 @@ def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tupl
     if fits(df, max_rows):
         return F.broadcast(df), True
     return df, False
+
+
+def parts_of(df: DataFrame, part_rows: int = PART_ROWS) -> int | None:
+    """Partitions of at most about ``part_rows`` rows for ``df``; ``None`` when
+    it is small enough for the session's own.
+
+    AQE coalesces shuffles to few partitions of a size in compressed bytes,
+    whatever the sorts and hash tables of their tasks make of them; a number
+    given to ``repartition`` stands.  Counted as in ``fits``."""
+    parts = -(-df.count() // part_rows)
+    return parts if parts >= MIN_PARTS else None

@@ -9,6 +9,7 @@ import re
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from fixture_tables import random_tables as random_race_tables
 from fixture_tables import write_tables as write_fixture_tables
@@ -132,6 +133,24 @@ def test_hot_race_is_ranked_in_pieces(spark, no_broadcast):
             spark.conf.set(k, v)
 
 
+def test_counted_runners_are_dealt_in_bounded_parts(spark, no_broadcast):
+    """Counting and ranking run in parts whose rows are bounded, not in the few that AQE coalesces to."""
+    from paddock.operators.race_rank import dealt_runners, in_race_rank
+
+    result = spark.range(0, 12_000, 1, 4).selectExpr(
+        "CASE WHEN id % 500 = 0 THEN NULL ELSE id DIV 8 END AS race_id", "id AS seq",
+        "CASE WHEN id % 5 = 1 THEN NULL ELSE CAST(30 + id % 7 / 10 AS DECIMAL(4,1)) END AS seconds_3f")
+    races = spark.range(0, 1400).union(spark.range(0, 20)).selectExpr("id AS race_id")
+    assert dealt_runners(result, races, "seconds_3f") is None
+    runners = result.join(races, "race_id")
+    dealt = dealt_runners(result, races, "seconds_3f", part_rows=500)
+    parts = [n for (n,) in dealt.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(parts) == 24 and max(parts) < 1000
+    ranked = in_race_rank(runners, "seconds_3f", "r", dealt)
+    plain = runners.selectExpr("*", "CAST(rank() OVER (PARTITION BY race_id ORDER BY seconds_3f ASC NULLS FIRST) AS INT) AS r")
+    assert sorted(map(str, ranked.collect())) == sorted(map(str, plain.select(ranked.columns).collect()))
+
+
 def test_hot_race_join_is_split(spark, tmp_path_factory, no_broadcast):
     """One race with about 40 % of the runners: AQE splits the race join, values stay."""
     root = str(tmp_path_factory.mktemp("hot"))
