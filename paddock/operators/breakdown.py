@@ -141,9 +141,11 @@ def _side(key: str, counts: bool, win: bool, place: bool) -> str:
 def rank_sums(fact: DataFrame, dim: Dimension, carry: tuple = ()) -> DataFrame:
     """An in-race rank dimension (rank 1: smallest time, NULL first)."""
     rows = fact.selectExpr(*_cols(carry), "race_id", f"{ident(dim.source)} AS rr_time", "1L AS c_rows", *measures_sql())
-    per_time = rows.groupBy(*carry, "race_id", "rr_time").agg(
+    # Race first: rows are sorted by the number that tells most of them apart, not by the few courses.
+    part = ("race_id", *carry)
+    per_time = rows.groupBy(*part, "rr_time").agg(
         F.sum("c_rows").alias("c_rows"), *[F.sum(m).alias(m) for m in MEASURES])
-    ranked = value_ranks(per_time, (*carry, "race_id"), "rr_time",
+    ranked = value_ranks(per_time, part, "rr_time",
                          {"rank_c": "c_rows", "rank_w": "w_rows", "rank_p": "p_rows"})
     sides = (f"CASE WHEN rank_c = rank_w AND rank_c = rank_p THEN array({_side('rank_c', True, True, True)}) "
              f"ELSE array({_side('rank_c', True, False, False)}, {_side('rank_w', False, True, False)}, "

@@ -81,6 +81,12 @@ def test_all_courses_plan_shape(real_tables, no_broadcast):
         assert not any(bad in line for line in lines)
 
 
+def test_rank_rows_are_sorted_by_race_first(real_tables, no_broadcast):
+    plan = plan_text(all_courses_breakdown(real_tables, CHECK_SINCE, ["seconds_3f_rank"], max_broadcast_rows=0))
+    window = plan[re.search(r"Window \[.*sum.*race_id", plan).start():]
+    assert re.search(r"Sort \[(\w+)#", window)[1] == "race_id"
+
+
 def test_one_course_reads_its_runners_once(real_tables):
     lines = final_plan(CourseAnalysis(real_tables, CHECK_COURSE).breakdown_all())
     assert sum("ReusedExchange" in line for line in lines) >= 2
