@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from paddock.functions.sql import ident, quote
 from paddock.functions.text import percent_text_sql, record_sql
 from paddock.operators.fact import runner_fact
-from paddock.operators.joins import fits
+from paddock.operators.joins import PART, fits, unpruned
 from paddock.operators.race_rank import value_ranks
 from paddock.operators.rate_rank import piece_ranks, window_ranks
 from paddock.plans.dimensions import BUCKET, JOCKEY, RACE_RANK, Dimension
@@ -71,6 +71,11 @@ def _cols(names) -> list[str]:
     return [ident(c) for c in names]
 
 
+def finish_sql() -> str:
+    """A runner's finish as the counts tell it apart: 1, 2, 3, 4 (any later one) or NULL (none counted)."""
+    return "CASE WHEN seq IS NOT NULL AND arrival_order > 0 THEN least(arrival_order, 4) END"
+
+
 def measures_sql() -> list[str]:
     """Measures of one runner row (a fact row)."""
 
@@ -122,9 +127,12 @@ def jockey_sums(fact: DataFrame, horse: DataFrame, jockey: DataFrame, dim: Dimen
     size, as planned or as measured by AQE, is under its threshold."""
     horses = horse.groupBy(F.col("id").alias("horse_id")).agg(F.count(F.lit(1)).alias("horse_n"))
     jockeys = jockey.select(F.col("id").alias("jockey_id"), F.col("name").alias("dim_key"))
+    # What the measures are made from is narrower than the measures.
     rows = fact.where("horse_id IS NOT NULL AND jockey_id IS NOT NULL").selectExpr(
-        *_cols(carry), "horse_id", "jockey_id", *measures_sql())
-    named = rows.join(jockeys, "jockey_id").join(horses, "horse_id")
+        *_cols(carry), "horse_id", "jockey_id", f"CAST({finish_sql()} AS TINYINT) AS arrival_order", "w_n", "w_sum", "p_n", "p_sum")
+    named = rows.join(horses, "horse_id").join(jockeys, "jockey_id").selectExpr(
+        *_cols(carry), "dim_key", "horse_n", "1 AS seq", "arrival_order", "w_n", "w_sum", "p_n", "p_sum").selectExpr(
+        *_cols(carry), "dim_key", "horse_n", *measures_sql())
     return _keyed(_summed(named, (*carry, "dim_key"), "horse_n").withColumn("dim", F.lit(dim.slug)), carry)
 
 
@@ -140,9 +148,9 @@ def _side(key: str, counts: bool, win: bool, place: bool) -> str:
 
 def rank_sums(fact: DataFrame, dim: Dimension, carry: tuple = ()) -> DataFrame:
     """An in-race rank dimension (rank 1: smallest time, NULL first)."""
-    rows = fact.selectExpr(*_cols(carry), "race_id", f"{ident(dim.source)} AS rr_time", "1L AS c_rows", *measures_sql())
     # Race first: rows are sorted by the number that tells most of them apart, not by the few courses.
-    part = ("race_id", *carry)
+    part = (*_race(fact), *carry)
+    rows = fact.selectExpr(*_cols(part), f"{ident(dim.source)} AS rr_time", "1L AS c_rows", *measures_sql())
     per_time = rows.groupBy(*part, "rr_time").agg(
         F.sum("c_rows").alias("c_rows"), *[F.sum(m).alias(m) for m in MEASURES])
     ranked = value_ranks(per_time, part, "rr_time",
@@ -160,19 +168,19 @@ def aggregate(rows: DataFrame, group: tuple) -> DataFrame:
                                     *[F.max(f).alias(f) for f in FLAGS])
 
 
+def _race(fact: DataFrame) -> tuple:
+    """The race id of ``fact``, and its part where the rows were dealt by race."""
+    return ("race_id", PART) if PART in fact.columns else ("race_id",)
+
+
 def shared_fact(fact: DataFrame, dims: list[Dimension], carry: tuple) -> DataFrame:
     """``fact`` with exactly the columns that ``dims`` need together, for several plans over it.
 
-    Each plan reads other columns, and Catalyst would prune each one's scans and
-    exchanges to its own: the same runners read and shuffled once a plan.  The
-    rows pass a Generate of one row that names every column; nothing is pruned
-    through it, so the exchanges below are equal and Spark reuses them.  Race id
-    and carried columns pass beside it, which keeps the clustering by race."""
+    Race id and carried columns pass beside the Generate, which keeps the clustering by race."""
     names = dict.fromkeys(FACT_MEASURES)
     for d in dims:
         names.update(dict.fromkeys(("horse_id", "jockey_id") if d.kind == JOCKEY else (d.source,)))
-    fields = ", ".join(f"{quote(c)}, {ident(c)}" for c in names)
-    return fact.selectExpr(*_cols((*carry, "race_id")), f"inline(array(named_struct({fields})))")
+    return unpruned(fact, names, (*carry, *_race(fact)))
 
 
 def breakdown_sums(tables: RaceTables, races: DataFrame, dims: list[Dimension], carry: tuple = (),
@@ -230,6 +238,8 @@ def finish(agg: DataFrame, dims: list[Dimension], part: tuple = (),
              "fukusho_rate_ranking": ("n123", "total_count")}
     jockey_slugs = ", ".join(quote(d.slug) for d in dims if d.kind == JOCKEY)
     if jockeys_are_many and jockey_slugs:
+        # Three plans read these rows: without this each would sum the runners again.
+        kept = unpruned(kept, kept.columns)
         few, many = (kept.where(f"dim {is_in} ({jockey_slugs})") for is_in in ("NOT IN", "IN"))
         ranked = window_ranks(few, group, rates).unionByName(piece_ranks(many, group, "dim_key", rates))
     else:

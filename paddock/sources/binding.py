@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paddock.operators.joins import PART, dealt, unpruned
 from paddock.schemas import PLACE_TICKET, WIN_TICKET
 from paddock.sources.tables import RaceTables, master_place_df
 
@@ -40,18 +41,32 @@ def bind_race(orders: DataFrame) -> DataFrame:
     )
 
 
-def bind_result(lineitem: DataFrame) -> DataFrame:
-    # Rename first, then rank per race_id: the window's shuffle is then on
-    # race_id, and the later per-race work (payout window, race join) can
-    # reuse that partitioning.
-    runners = lineitem.selectExpr(
-        "l_orderkey * 8 + l_linenumber AS seq",
-        "l_orderkey AS race_id",
+LINE_COLUMNS = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax", "l_returnflag")
+
+
+def dealt_lines(lineitem: DataFrame, parts: int) -> DataFrame:
+    """Lines dealt by race, with every column that ``bind_result`` needs: result and refund share the shuffle."""
+    lines = dealt(lineitem.withColumnRenamed("l_orderkey", "race_id").select("race_id", *LINE_COLUMNS), "race_id", parts)
+    return unpruned(lines, LINE_COLUMNS, ("race_id", PART))
+
+
+def bind_result(lines: DataFrame, *with_race: str) -> DataFrame:
+    """Results from line items by ``race_id``; ``with_race``: columns that go with it and stay."""
+    # The key is renamed before the rank: the window's shuffle is then on race_id,
+    # and the later per-race work (payout window, race join) can reuse that
+    # partitioning.  The shuffle carries the columns as they are read; what is
+    # computed from them comes after it.
+    race = ", ".join(("race_id", *with_race))
+    ranked = lines.selectExpr(
+        "race_id", *with_race, "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax", "l_returnflag",
+        f"rank() OVER (PARTITION BY {race} ORDER BY l_extendedprice DESC) AS price_rank")
+    return ranked.selectExpr(
+        "race_id * 8 + l_linenumber AS seq",
+        "race_id", *with_race,
         "CAST(l_linenumber AS INT) AS horse_no",
         "l_partkey AS horse_id",
         "l_suppkey AS jockey_id",
-        "l_extendedprice",
-        "l_tax",
+        "CASE WHEN l_tax = 0 THEN NULL ELSE CAST(price_rank AS INT) END AS arrival_order",
         "CAST(1 + (l_linenumber + l_suppkey) % 8 AS INT) AS frame_no",
         "CAST(1 + l_partkey % 18 AS INT) AS popularity_order",
         "l_returnflag AS horse_sex",
@@ -62,16 +77,9 @@ def bind_result(lineitem: DataFrame) -> DataFrame:
         "CASE WHEN l_tax = 0 THEN NULL ELSE CAST((310 + l_partkey % 60) / 10.0 AS DECIMAL(4,1)) END "
         "AS seconds_3f",
     )
-    return runners.selectExpr(
-        "seq", "race_id", "horse_no", "horse_id", "jockey_id",
-        "CASE WHEN l_tax = 0 THEN NULL ELSE CAST(rank() OVER "
-        "(PARTITION BY race_id ORDER BY l_extendedprice DESC) AS INT) END AS arrival_order",
-        "frame_no", "popularity_order", "horse_sex", "horse_weight", "horse_age", "jokey_weight",
-        "corner4", "seconds_3f",
-    )
 
 
-def bind_refund(result: DataFrame) -> DataFrame:
+def bind_refund(result: DataFrame, *with_race: str) -> DataFrame:
     """Win payout for finishers at 1, place payout for 1-3; one row per
     (race, horse number, ticket type), the largest when numbers repeat.
 
@@ -79,7 +87,7 @@ def bind_refund(result: DataFrame) -> DataFrame:
     keyed by (race, horse number) and then split into rows.  Conditions stand
     inside the aggregates, so a semi join on race ids is pushed down to the
     scan."""
-    per_runner = result.groupBy("race_id", "horse_no").agg(
+    per_runner = result.groupBy("race_id", *with_race, "horse_no").agg(
         F.max(F.expr("CASE WHEN arrival_order = 1 THEN 110 + (horse_id * 37) % 1900 END")).alias("win"),
         F.max(F.expr("CASE WHEN arrival_order <= 3 THEN 100 + (horse_id * 17) % 400 END")).alias("place"))
     tickets = (f"filter(array(named_struct('ticket_type', {WIN_TICKET}, 'refund', win), "
@@ -106,14 +114,18 @@ def bind_driver_tables(spark: SparkSession, sf_dir: str) -> RaceTables:
 
 def _bind(spark: SparkSession, sf_dir: str) -> RaceTables:
     lineitem = _read(spark, sf_dir, "lineitem")
-    result = bind_result(lineitem)
+    result = bind_result(lineitem.withColumnRenamed("l_orderkey", "race_id"))
 
     def results_of(race_ids: DataFrame) -> DataFrame:
         # The finish rank is a window per order, so keeping only the lines of
         # the selected orders *before* it is exact -- and the window then
         # sorts only those lines.
         ids = race_ids.select(F.col("race_id").alias("l_orderkey"))
-        return bind_result(lineitem.join(ids, "l_orderkey", "left_semi"))
+        return bind_result(lineitem.join(ids, "l_orderkey", "left_semi").withColumnRenamed("l_orderkey", "race_id"))
+
+    def dealt_by_race(parts: int) -> tuple[DataFrame, DataFrame]:
+        dealt_result = bind_result(dealt_lines(lineitem, parts), PART)
+        return dealt_result, bind_refund(dealt_result, PART)
 
     horse = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
     jockey = _read(spark, sf_dir, "supplier").select(
@@ -128,4 +140,5 @@ def _bind(spark: SparkSession, sf_dir: str) -> RaceTables:
         jockey=jockey,
         master_place=master_place_df(spark),
         results_of=results_of,
+        dealt_by_race=dealt_by_race,
     )

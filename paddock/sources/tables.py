@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DecimalType, StructField, StructType
 
+from paddock.operators.joins import dealt
 from paddock.schemas import TABLE_SCHEMAS
 
 # ---------------------------------------------------------------------------
@@ -29,7 +30,10 @@ class RaceTables:
 
     ``results_of`` optionally gives the result rows of a set of races (a
     DataFrame of ``race_id``) more cheaply than joining the whole table --
-    when ``result`` is itself derived per race.
+    when ``result`` is itself derived per race.  ``dealt_by_race`` optionally
+    gives ``result`` dealt by race in a number of parts (``joins.dealt``) and the
+    ``refund`` that goes with it more cheaply than dealing the whole table -- when
+    both are derived from the same rows.
     """
 
     race: DataFrame
@@ -39,11 +43,16 @@ class RaceTables:
     jockey: DataFrame
     master_place: DataFrame
     results_of: Callable[[DataFrame], DataFrame] | None = None
+    dealt_by_race: Callable[[int], tuple[DataFrame, DataFrame]] | None = None
 
     def results_for(self, race_ids: DataFrame) -> DataFrame:
         """The result table, or only its rows of the races in ``race_ids``."""
         return self.result if self.results_of is None else self.results_of(race_ids)
 
+    def dealt_results(self, parts: int) -> tuple[DataFrame, DataFrame]:
+        """The result table dealt by race in ``parts``, and the refund table."""
+        return (dealt(self.result, "race_id", parts), self.refund) if self.dealt_by_race is None else self.dealt_by_race(parts)
+
 
 def master_place_df(spark: SparkSession) -> DataFrame:
     """The ten racecourses as a literal DataFrame."""
