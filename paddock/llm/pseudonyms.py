@@ -273,7 +273,10 @@ class Pseudonyms:
     def token(self, m: re.Match, back: bool) -> str | None:
         if not any(c.isdigit() for c in m["value"]):
             return None
-        return m["before"] + self._signs(m["value"], "token" + m["before"], back)
+        # The beginning of a web token's second part stays, as that of the first: the pseudonym is found again by both.
+        head, begin, rest = m["value"].partition(".eyJ")
+        new = self._signs(head + rest, "token" + m["before"], back)
+        return m["before"] + new[:len(head)] + begin + new[len(head):]
 
     def private_key(self, m: re.Match, back: bool) -> str | None:
         lines = re.split(r"(\s+)", m["body"])
